@@ -7,13 +7,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewheel.llm import quality_rules, sharding
+import public_tokenizers
+
+from tidewheel.llm import jaccard_join, packing, quality_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the size of their 4-word shingle set and their component at a similarity of 0.85."""
+    found = jaccard_join.jaccard_classes(_table(spark, sf_dir, "documents"), k=4, percent=85)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 4096 ids."""
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 40 shards whose row counts differ by one at most."""
     placed = sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=40)
@@ -30,6 +43,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "op1_jaccard_join": r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
+        list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+s AS (SELECT DISTINCT rid, sh FROM (
+        SELECT rid, list_slice(ws, i, i + 3) AS sh FROM d, unnest(range(1, len(ws) - 2)) AS t(i) WHERE len(ws) >= 4
+        UNION ALL SELECT rid, ws FROM d WHERE len(ws) BETWEEN 1 AND 3)),
+n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid),
+p AS (SELECT x.rid AS a, y.rid AS b, count(*) AS c FROM s x JOIN s y ON x.sh = y.sh AND x.rid < y.rid GROUP BY ALL),
+e AS (SELECT a, b FROM p JOIN n na ON na.rid = a JOIN n nb ON nb.rid = b WHERE 100 * c >= 85 * (na.n + nb.n - c)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT rid AS node, rid AS root FROM d UNION SELECT u.b, r.root FROM r JOIN u ON u.a = r.node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, c.component_id FROM d LEFT JOIN n USING (rid)
+JOIN (SELECT r.node, min(m.doc_id) AS component_id FROM r JOIN d m ON m.rid = r.root GROUP BY r.node) c ON c.node = d.rid""",
     "op10_quality_rules": r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, text, list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
@@ -52,7 +78,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_sharding": op8_sharding, "op10_quality_rules": op10_quality_rules}
+    return {"op1_jaccard_join": op1_jaccard_join, "op5_packing": op5_packing, "op8_sharding": op8_sharding, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

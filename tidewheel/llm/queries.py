@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewheel.llm import jaccard_join, packing, quality_rules, sharding
+from tidewheel.llm import jaccard_join, packing, quality_rules, sharding, toxicity, url_filter
+from tidewheel.llm.scratch import doc_hash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +23,17 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+#: The rules of the url filter, and host names that are blocked under every ending.
+URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
+BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+BLOCKED_HOSTS = tuple(f"{n}.example.{e}" for n in BLOCKED_NAMES for e in ("com", "net", "org"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All page urls judged by the rules, and by the list of blocked hosts where none fits."""
+    return url_filter.judge_urls(_table(spark, sf_dir, "pages"), [url_filter.Rule(*r) for r in URL_RULES], BLOCKED_HOSTS)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -33,6 +45,13 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "row_number")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their toxicity score."""
+    docs, labels = (_table(spark, sf_dir, x) for x in ("documents", "labels"))
+    scored = toxicity.add_scores(docs, labels, ["doc_id"])
+    return scored.select("doc_id", (doc_hash() % 5 == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rule ledger of all documents, with the verdict of the newest policy."""
     book = quality_rules.ledger(_table(spark, sf_dir, "documents"))
@@ -43,6 +62,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL: dict[str, str] = {
+    "op3_url_filter": """
+WITH r(verdict, host, path) AS (VALUES """
+    + ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)
+    + """), b(host) AS (VALUES """
+    + ", ".join(f"('{h}')" for h in BLOCKED_HOSTS)
+    + r"""),
+u AS (SELECT row_number() OVER () AS rid, page_id, translate(regexp_extract(coalesce(url, ''), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM pages),
+f AS (SELECT rid, r.host || r.path AS rule, r.verdict, row_number() OVER (PARTITION BY rid ORDER BY length(r.host || r.path) DESC) AS k
+      FROM u JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
+SELECT page_id, u.host, u.path, f.rule, coalesce(f.verdict, CASE WHEN EXISTS (SELECT 1 FROM b WHERE u.host = b.host OR ends_with(u.host, '.' || b.host)) THEN 'block' ELSE 'allow' END) AS verdict
+FROM u LEFT JOIN f ON f.rid = u.rid AND f.k = 1""",
     "op1_jaccard_join": r"""
 WITH RECURSIVE d AS (SELECT row_number() OVER () AS rid, doc_id,
         list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
@@ -78,7 +109,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard_join": op1_jaccard_join, "op5_packing": op5_packing, "op8_sharding": op8_sharding, "op10_quality_rules": op10_quality_rules}
+    return {"op1_jaccard_join": op1_jaccard_join, "op3_url_filter": op3_url_filter, "op5_packing": op5_packing, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -16,6 +16,8 @@ _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32
 _space = np.zeros(256, dtype=bool)
 _space[[9, 10, 11, 12, 13, 32]] = True
+#: Every ASCII sign that is neither a letter nor a digit separates words, for models that read bare words.
+SIGNS = np.array([b < 128 and not (48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122) for b in range(256)])
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -60,14 +62,33 @@ def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, their byte starts and ends, and the word offsets of the rows."""
+def heads(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> np.ndarray:
+    """A row of hashes for each size: of the first so many bytes of every word, apart from those of whole words."""
+    total = byte_sums(data)
+    return np.stack([mix(parts(total, starts, np.minimum(starts + n, ends)) + np.uint64(n)) for n in sizes]) if len(starts) else np.zeros((len(sizes), 0), dtype=np.uint64)
+
+
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of the lower-cased bytes times powers: ``parts`` takes hashes of stretches from them."""
+    up, _ = _power(len(data) + 1)
+    total = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum((_lower[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
+    return total
+
+
+def parts(total: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of the bytes from starts to ends, wherever they stand."""
+    return (total[ends] - total[starts]) * _power(len(total))[1][starts]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = _space) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the A-Z lower-cased words, their byte starts and ends, and the word offsets of the rows."""
     rows = len(offsets) - 1
     if not len(data):
         none = np.zeros(0, dtype=np.int64)
         return none.astype(np.uint64), none, none, np.zeros(rows + 1, dtype=np.int64)
-    low = _lower[data] if lower else data
-    solid = ~_space[data]
+    total = byte_sums(data)
+    solid = ~breaks[data]
     cut = np.zeros(len(data) + 1, dtype=bool)  # a row begins here
     cut[offsets] = True
     first = solid.copy()
@@ -75,11 +96,7 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np
     last = solid.copy()
     last[:-1] &= ~solid[1:] | cut[1:-1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * down[starts])
-    return hashes, starts, ends, np.searchsorted(starts, offsets)
+    return mix(parts(total, starts, ends)), starts, ends, np.searchsorted(starts, offsets)
 
 
 def shingles(hashes: np.ndarray, bounds: np.ndarray, k: int) -> Iterator[np.ndarray]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewheel.llm import jaccard_join, packing, quality_rules, sharding, toxicity, url_filter
+from tidewheel.llm import jaccard_join, language_id, packing, quality_rules, sharding, toxicity, url_filter
 from tidewheel.llm.scratch import doc_hash
 
 
@@ -34,6 +34,12 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge_urls(_table(spark, sf_dir, "pages"), [url_filter.Rule(*r) for r in URL_RULES], BLOCKED_HOSTS)
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with their language."""
+    found = language_id.identify(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", (doc_hash() % 5 == 0).alias("held_out"), "lang_pred", "score")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of at most 4096 ids."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
@@ -109,7 +115,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard_join": op1_jaccard_join, "op3_url_filter": op3_url_filter, "op5_packing": op5_packing, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules}
+    return {"op1_jaccard_join": op1_jaccard_join, "op3_url_filter": op3_url_filter, "op4_language_id": op4_language_id, "op5_packing": op5_packing, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewheel.llm import jaccard_join, language_id, packing, quality_rules, sharding, toxicity, url_filter
+from tidewheel.llm import decontamination, jaccard_join, language_id, license_scan, lm_scoring, packing, quality_rules, sharding, toxicity, url_filter
 from tidewheel.llm.scratch import doc_hash
 
 
@@ -23,6 +23,12 @@ def op1_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the model's and the base's log10 probability."""
+    scored = lm_scoring.score_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return scored.select("doc_id", (doc_hash() % 7 == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 #: The rules of the url filter, and host names that are blocked under every ending.
 URL_RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 BLOCKED_NAMES = ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
@@ -45,6 +51,24 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it leaks, of all documents and items."""
+    found = decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "covered_words", "item_words", F.size("tiles").cast("long").alias("n_tiles"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document, its own or inherited.
+
+    Paths are made from the table: source, language, a folder of 64 ids; the first
+    id of each folder stands one level higher.
+    """
+    docs = _table(spark, sf_dir, "documents")
+    folder = F.when(F.col("doc_id") % 64 != 0, F.concat(F.lit("/"), F.floor(F.col("doc_id") / 64).cast("string"))).otherwise("")
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.coalesce(folder, F.lit("")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))
+    return license_scan.scan(docs.withColumn("path", path))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents dealt to 40 shards whose row counts differ by one at most."""
     placed = sharding.shard_rows(_table(spark, sf_dir, "documents"), shards=40)
@@ -115,7 +139,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard_join": op1_jaccard_join, "op3_url_filter": op3_url_filter, "op4_language_id": op4_language_id, "op5_packing": op5_packing, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules}
+    return {"op1_jaccard_join": op1_jaccard_join, "op2_lm_scoring": op2_lm_scoring, "op3_url_filter": op3_url_filter, "op4_language_id": op4_language_id, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules}
 
 
 def oracle_sql() -> dict[str, str]:

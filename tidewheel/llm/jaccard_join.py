@@ -46,6 +46,8 @@ from tidewheel.llm.scratch import save
 #: log2 of the number of frequency counters; most matches asked for; cost of a verified pair per shingle, of a posting.
 SKETCH_BITS, MOST_MATCHES, VERIFY_COST, POSTING_COST = 20, 8, 0.02, 0.5
 _PARTS = 64
+#: The most that is broadcast, and what a wanted class takes there.
+BROADCAST_BYTES, WANTED_ROW = 64 << 20, 48
 
 
 def _count_cells(k: int, bits: int) -> Callable:
@@ -151,11 +153,15 @@ def _judge(k: int, percent: int) -> Callable:
 
 def _keyed(k: int) -> Callable:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # rows that repeat an id and a text need not travel again
         for batch in batches:
             with np.errstate(over="ignore"):
-                own = np.array([set_key(s) for s in textkit.shingle_sets(batch.column("text"), k)], dtype=np.int64)
-            same = own == batch.column("key").to_numpy()
-            yield batch.select(["key", "text"]).filter(pa.array(same))
+                own = [set_key(s) for s in textkit.shingle_sets(batch.column("text"), k)]
+            same = []
+            for mine, key in zip(own, batch.column("key").to_pylist(), strict=True):
+                same.append(mine == key and key not in seen)
+                seen.add(key)
+            yield batch.select(["key", "text"]).filter(pa.array(same, pa.bool_()))
 
     return keyed
 
@@ -165,10 +171,11 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
     pairs = save(pairs, "pairs")
     named = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct().join(classes.select("key", "rep"), "key")
     wanted = save(named, "wanted")
-    # An id may stand for several texts: only the one with the wanted set counts.
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text").mapInArrow(_keyed(k), "key long, text string")
-    one = save(found.groupBy("key").agg(F.first("text").alias("text")), "texts")
-    a, b = (one.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
+    # With few wanted classes their ids go to the texts; with many, texts are dealt out by id.
+    hint = F.broadcast(wanted) if wanted.count() * WANTED_ROW <= BROADCAST_BYTES else wanted
+    # An id may stand for several texts: only those with the wanted set count.
+    found = texts.join(hint, F.col("doc_id").eqNullSafe(F.col("rep"))).select("key", "text").mapInArrow(_keyed(k), "key long, text string")
+    a, b = (found.select(F.col("key").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
     return save(both.mapInArrow(_judge(k, percent), "a long, b long"), "links")
 
@@ -187,25 +194,30 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     classes = save(
         signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("tokens").alias("tokens")), "classes"
     )
-    postings = classes.select("key", "matches", F.explode("tokens").alias("token"))
-    lists = postings.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi")
+    postings = classes.select("key", "n", "matches", F.explode("tokens").alias("token"))
+    entry = F.struct("key", "n")
+    lists = postings.groupBy("token").agg(F.min(entry).alias("lo"), F.max(entry).alias("hi")).where("lo.key <> hi.key")
     shared = save(postings.join(lists, "token"), "shared")
 
+    def alike(x: Column, y: Column) -> Column:
+        """Sets of sizes further apart than this can't link."""
+        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
+
     # Round one: every class against the least and greatest on its lists.
-    hubs = shared.select("key", "matches", F.explode(F.array("lo", "hi")).alias("hub")).where("key <> hub")
-    likely = hubs.groupBy("key", "hub", "matches").agg(F.count("*").alias("hits")).where("hits >= matches")
+    hubs = shared.select("key", "n", "matches", F.explode(F.array("lo", "hi")).alias("hub")).where((F.col("key") != F.col("hub.key")) & alike(F.col("n"), F.col("hub.n")))
+    likely = hubs.groupBy("key", F.col("hub.key").alias("hub"), "matches").agg(F.count("*").alias("hits")).where("hits >= matches")
     first = save(likely.select(*_ordered(F.col("key"), F.col("hub"))).distinct(), "first")
     links = _verified(first, classes, texts, k, percent)
     comps = save(components(links), "comps")
 
     # Round two: pairs on one list from different components.
-    at = shared.select("token", "key", "matches").join(comps, F.col("key") == F.col("node"), "left").select("token", "key", "matches", F.coalesce("comp", "key").alias("comp"))
+    at = shared.select("token", "key", "n", "matches").join(comps, F.col("key") == F.col("node"), "left").select("token", "key", "n", "matches", F.coalesce("comp", "key").alias("comp"))
     open_lists = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     at = save(at.join(open_lists, "token"), "open")
     met = at.select("token", "comp").distinct()
     meet = met.withColumnRenamed("comp", "comp_a").join(met.withColumnRenamed("comp", "comp_b"), "token").where("comp_a < comp_b")
-    side = lambda x: at.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "key", "matches")])
-    rows = meet.join(side("a"), ["token", "comp_a"]).join(side("b"), ["token", "comp_b"])
+    side = lambda x: at.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "key", "n", "matches")])
+    rows = meet.join(side("a"), ["token", "comp_a"]).join(side("b"), ["token", "comp_b"]).where(alike(F.col("n_a"), F.col("n_b")))
     crossed = rows.groupBy("key_a", "key_b", "matches_a", "matches_b").agg(F.count("*").alias("hits")).where("hits >= least(matches_a, matches_b)")
     second = crossed.select(*_ordered(F.col("key_a"), F.col("key_b"))).join(first, ["a", "b"], "left_anti")
     more = _verified(second, classes, texts, k, percent)

@@ -5,11 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewheel.operators import events as E
+from tidewheel.operators import features as X
+from tidewheel.plans import feature_sql
+from tidewheel.sources import bind_events, table
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def rounded(df: DataFrame, keys: tuple[str, ...] = ("entity_id",), digits: int = 6) -> DataFrame:
+    """All but the keys as doubles with so many digits, for comparison across engines."""
+    return df.select(*keys, *[F.round(F.col(c).cast("double"), digits).alias(c) for c in df.columns if c not in keys])
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaned and aligned events."""
+    return E.align(E.clean(bind_events(table(spark, sf_dir, "events"))))
+
+
+def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All 117 features of every entity."""
+    return X.extract(history(spark, sf_dir))
+
+
+def _group(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = X.extract(history(spark, sf_dir), (name,), feature_sql.WINDOWS)
+        return rounded(found.drop("rr_duration_correlation_pvalue", "trajectory_slope_pvalue"))
+
+    query.__doc__ = f"The {name} features of every entity."
+    return query
+
+
+def queries() -> dict[str, Query]:
+    return {"features_all": features_all} | {f"features_{g}": _group(g) for g in X.GROUPS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {f"features_{g}": getattr(feature_sql, g)() for g in X.GROUPS}

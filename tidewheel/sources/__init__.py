@@ -1 +1,22 @@
+"""Table readers and the binding of tables to the event schema."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A parquet table of a folder."""
+    return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def bind_events(events: DataFrame, anchor: str = "2024-01-01") -> DataFrame:
+    """The event schema from an ``events`` table: value is the duration, props.k gives the rate interval."""
+    hour = F.hour("ts")
+    part = F.when(hour < 6, "night 00-05:59").when(hour < 12, "morning 6-11:59").when(hour < 18, "afternoon 12-17:59").otherwise("evening 18-23:59")
+    rr = 200 + 18 * F.get_json_object("props", "$.k").cast("double")
+    return events.select(
+        F.col("user_id").alias("entity_id"), F.col("event_id").alias("seq"), F.col("ts").alias("start_ts"), F.col("value").alias("duration"),
+        F.lit(anchor).cast("timestamp_ntz").alias("anchor_ts"), rr.alias("rr"), (60000 / rr).alias("rate"), part.alias("day_part"),
+    )

@@ -9,15 +9,21 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import events as E
 from tidewheel.operators import features as X
-from tidewheel.plans import feature_sql
+from tidewheel.operators import integration as I
+from tidewheel.operators import series as T
+from tidewheel.operators import stats as H
+from tidewheel.operators import survival as K
+from tidewheel.operators import validity as V
+from tidewheel.plans import feature_sql, library_sql
 from tidewheel.sources import bind_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+DAYS = 30
 
 
 def rounded(df: DataFrame, keys: tuple[str, ...] = ("entity_id",), digits: int = 6) -> DataFrame:
-    """All but the keys as doubles with so many digits, for comparison across engines."""
-    return df.select(*keys, *[F.round(F.col(c).cast("double"), digits).alias(c) for c in df.columns if c not in keys])
+    """All but the keys as doubles with so many digits (and no -0), for comparison across engines."""
+    return df.select(*keys, *[(F.round(F.col(c).cast("double"), digits) + 0.0).alias(c) for c in df.columns if c not in keys])
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +31,30 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.align(E.clean(bind_events(table(spark, sf_dir, "events"))))
 
 
+def wild(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose rate intervals leave the plausible range at both ends."""
+    events = table(spark, sf_dir, "events")
+    return bind_events(events).withColumn("rr", (F.col("rr") - 200) / 18 * 25 + 100)
+
+
+def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each customer: balance, segment, orders with status F, and survival to the first of these."""
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_acctbal").alias("balance"), F.col("c_mktsegment").alias("segment"))
+    o = table(spark, sf_dir, "orders")
+    late, final = F.col("o_orderdate") >= F.lit("1998-07-01").cast("timestamp_ntz"), F.col("o_orderstatus") == "F"
+    day = lambda x: F.datediff(x, F.min("o_orderdate"))
+    per = o.groupBy(F.col("o_custkey").alias("entity_id")).agg(
+        F.count("*").alias("n_orders"), F.count_if(final).alias("n_final"), F.avg(F.when(~late, F.col("o_totalprice"))).alias("price_before"), F.avg(F.when(late, F.col("o_totalprice"))).alias("price_after"),
+        F.coalesce(day(F.min(F.when(final, F.col("o_orderdate")))), day(F.max("o_orderdate"))).alias("time"),
+    )
+    return I.attach(customers, per).withColumn("event", (F.coalesce("n_final", F.lit(0)) > 0).cast("int"))
+
+
+def points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select(F.col("vec_id").alias("entity_id"), F.col("label").alias("cluster"), F.col("embedding").cast("array<double>").alias("features"))
+
+
 def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 117 features of every entity."""
     return X.extract(history(spark, sf_dir))
@@ -39,9 +69,186 @@ def _group(name: str) -> Query:
     return query
 
 
+def clean_report(spark, sf_dir):
+    return rounded(E.cleaning_report(wild(spark, sf_dir), E.CleanConfig(min_duration=2)), ())
+
+
+def clean_without_overlaps(spark, sf_dir):
+    kept = E.clean(wild(spark, sf_dir), E.CleanConfig(drop_overlaps=True))
+    return rounded(kept.groupBy("entity_id").agg(F.count("*").alias("n"), F.sum("duration").alias("total")))
+
+
+def validity_by_entity(spark, sf_dir):
+    return rounded(E.entity_summary(wild(spark, sf_dir), E.CleanConfig(min_duration=10, max_duration=240)))
+
+
+def window_counts(spark, sf_dir):
+    w = history(spark, sf_dir).groupBy(E.window_label(F.col("days"), feature_sql.WINDOWS).alias("window")).agg(F.count("*").alias("n"), F.sum("duration").alias("total"))
+    return rounded(w, ("window",), 4)
+
+
+def duration_bins(spark, sf_dir):
+    return history(spark, sf_dir).groupBy(E.duration_bin(F.col("duration")).alias("bin")).agg(F.count("*").alias("n"))
+
+
+def follow_up(spark, sf_dir):
+    return rounded(E.follow_up(history(spark, sf_dir)))
+
+
+def daily_burden(spark, sf_dir):
+    return rounded(E.daily(history(spark, sf_dir)), ("entity_id", "day"))
+
+
+def cumulative_burden(spark, sf_dir):
+    return rounded(E.cumulative_burden(history(spark, sf_dir)).select("entity_id", "seq", "cum_minutes", "cum_hours", "cum_days"), ("entity_id", "seq"), 9)
+
+
+def entity_join(spark, sf_dir):
+    burden = history(spark, sf_dir).groupBy("entity_id").agg(F.count("*").alias("n_events"), F.sum("duration").alias("total"))
+    return rounded(I.attach(burden, entities(spark, sf_dir), ["balance", "n_orders", "n_final", "not_there"]))
+
+
+def id_overlap(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("entity_id"))
+    label = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id"))
+    return I.overlap({"documents": d, "labels": label, "events": history(spark, sf_dir)})
+
+
+def cohort_attrition(spark, sf_dir):
+    return I.cohort(history(spark, sf_dir), entities(spark, sf_dir).where("n_final > 5"), "n_final", 60)[1].select("step", "n")
+
+
+def missing_columns(spark, sf_dir):
+    return rounded(I.missingness(entities(spark, sf_dir)), ("column",))
+
+
+def describe_entities(spark, sf_dir):
+    return rounded(I.describe(entities(spark, sf_dir), ["balance", "n_orders", "price_before", "price_after"]), ("feature",), 4)
+
+
+def segment_frequencies(spark, sf_dir):
+    return rounded(I.frequencies(entities(spark, sf_dir), "segment"), ("value",))
+
+
+def segment_crosstab(spark, sf_dir):
+    return I.crosstab(entities(spark, sf_dir), "segment", "event")
+
+
+def price_changes(spark, sf_dir):
+    return rounded(I.changes(entities(spark, sf_dir), {"change": ("price_before", "price_after")}).where("change IS NOT NULL").select("entity_id", "change"), digits=4)
+
+
+def scaled_entities(spark, sf_dir):
+    return rounded(I.preprocess(entities(spark, sf_dir), ["balance", "n_orders", "price_before", "price_after"]))
+
+
+def feature_correlations(spark, sf_dir):
+    f = X.extract(history(spark, sf_dir), ("burden", "episode"))
+    return rounded(I.correlations(f, ["total_af_minutes", "n_episodes", "mean_episode_duration", "max_episode_duration", "std_episode_duration", "duration_p90"], 0.0), ("a", "b"))
+
+
+def segment_profile(spark, sf_dir):
+    return rounded(I.profile(entities(spark, sf_dir), "segment", ["balance", "n_orders"]), ("segment", "feature"))
+
+
+def series_cumulative(spark, sf_dir):
+    return rounded(T.cumulative_series(history(spark, sf_dir), 10, DAYS), ("entity_id", "pos"))
+
+
+def series_rate(spark, sf_dir):
+    return rounded(T.rate_series(history(spark, sf_dir), 10, DAYS), ("entity_id", "pos"))
+
+
+def series_count(spark, sf_dir):
+    return rounded(T.count_series(history(spark, sf_dir), 11, DAYS), ("entity_id", "pos"))
+
+
+def series_zscore(spark, sf_dir):
+    return rounded(T.normalise(T.rate_series(history(spark, sf_dir), 10, DAYS), "zscore").drop("time"), ("entity_id", "pos"))
+
+
+def series_distances(spark, sf_dir):
+    return rounded(T.distances(T.rate_series(history(spark, sf_dir), 10, DAYS)), ("a", "b"))
+
+
+def day_curves(spark, sf_dir):
+    found = T.group_curve(T.day_trajectory(history(spark, sf_dir), DAYS), entities(spark, sf_dir), "segment")
+    return rounded(found, ("segment", "pos"))
+
+
+def _states(spark, sf_dir):
+    units = T.unit_burden(history(spark, sf_dir), "daily")
+    return T.states(units, T.thresholds(units), DAYS)
+
+
+def state_sequences(spark, sf_dir):
+    return _states(spark, sf_dir)
+
+
+def state_features(spark, sf_dir):
+    return rounded(T.state_features(_states(spark, sf_dir)))
+
+
+def state_transitions(spark, sf_dir):
+    return rounded(T.transitions(_states(spark, sf_dir)), ("state", "next"))
+
+
+def cluster_silhouettes(spark, sf_dir):
+    return rounded(V.silhouettes(points(spark, sf_dir)), ("entity_id", "cluster"))
+
+
+def cluster_validity(spark, sf_dir):
+    p = points(spark, sf_dir)
+    return rounded(V.calinski_harabasz(p).join(F.broadcast(V.davies_bouldin(p))), ())
+
+
+def cluster_representatives(spark, sf_dir):
+    return rounded(V.representatives(points(spark, sf_dir)), ("cluster", "rank", "entity_id"))
+
+
+def label_agreement(spark, sf_dir):
+    p = points(spark, sf_dir).select("entity_id", "cluster", (F.col("cluster") % 3).alias("other"))
+    return rounded(V.agreement(p, "cluster", "other"), ())
+
+
+def test_chi_square(spark, sf_dir):
+    return rounded(H.chi_square(entities(spark, sf_dir), "segment", "event").select("statistic", "dof", "n"), ())
+
+
+def test_anova(spark, sf_dir):
+    return rounded(H.anova(entities(spark, sf_dir), "balance", "segment").select("statistic", "dof1", "dof2"), ())
+
+
+def test_kruskal(spark, sf_dir):
+    return rounded(H.kruskal(entities(spark, sf_dir), "n_orders", "segment").select("statistic", "dof"), ())
+
+
+def outcome_spearman(spark, sf_dir):
+    return rounded(H.outcome_correlations(entities(spark, sf_dir), ["balance", "n_orders", "price_before"], "time", "spearman").select("feature", "r", "n"), ("feature",))
+
+
+def outcome_table(spark, sf_dir):
+    return rounded(H.outcome_table(entities(spark, sf_dir), ["event", "n_orders"], "segment"), ("segment", "outcome", "kind"))
+
+
+def survival_curves(spark, sf_dir):
+    return rounded(K.kaplan_meier(entities(spark, sf_dir).where("time IS NOT NULL"), "segment").select("segment", "time", "at_risk", "deaths", "survival"), ("segment",))
+
+
+def survival_horizons(spark, sf_dir):
+    return rounded(K.survival_at(entities(spark, sf_dir).where("time IS NOT NULL"), "segment", (90, 365, 730)), ("segment",))
+
+
+NAMED = (
+    features_all, clean_report, clean_without_overlaps, validity_by_entity, window_counts, duration_bins, follow_up, daily_burden, cumulative_burden, entity_join, id_overlap, cohort_attrition, missing_columns, describe_entities, segment_frequencies,
+    segment_crosstab, price_changes, scaled_entities, feature_correlations, segment_profile, series_cumulative, series_rate, series_count, series_zscore, series_distances, day_curves, state_sequences, state_features, state_transitions,
+    cluster_silhouettes, cluster_validity, cluster_representatives, label_agreement, test_chi_square, test_anova, test_kruskal, outcome_spearman, outcome_table, survival_curves, survival_horizons,
+)
+
+
 def queries() -> dict[str, Query]:
-    return {"features_all": features_all} | {f"features_{g}": _group(g) for g in X.GROUPS}
+    return {q.__name__: q for q in NAMED} | {f"features_{g}": _group(g) for g in X.GROUPS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"features_{g}": getattr(feature_sql, g)() for g in X.GROUPS}
+    return {f"features_{g}": getattr(feature_sql, g)() for g in X.GROUPS} | library_sql.SQL

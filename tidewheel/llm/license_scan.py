@@ -1,7 +1,7 @@
 """Licence scans, in DataFrame functions only.
 
-Every line of a file that holds a telling word of some licence template is
-compared with all templates by the cosine of sparse TF-IDF vectors; the best
+Every line of a file that holds a telling word of some licence template (the
+rarer half of its words) is compared with all templates by the cosine of sparse TF-IDF vectors; the best
 one above a threshold is the file's own licence.  Document frequencies of the
 template words are counted over all files, so what is common in the corpus
 weighs little; words of no template weigh as much as one that no file has.
@@ -43,8 +43,8 @@ TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
 }
 TERM = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
-#: Least cosine of a licence; other words of a licence file at most; share of files above which a word tells nothing.
-THRESHOLD, OTHER_WORDS, COMMON = 0.6, 20, 0.05
+#: Least cosine of a licence; other words of a licence file at most.
+THRESHOLD, OTHER_WORDS = 0.6, 20
 
 
 def terms_of(text: Column) -> Column:
@@ -58,7 +58,11 @@ def weights(files: DataFrame, text_col: str, templates: dict[str, str]) -> tuple
     n = files.count()
     df = {r["term"]: r["n"] for r in files.select(F.explode(there).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
     idf = {t: math.log((n + 2) / (df.get(t, 0) + 1)) for t in every}
-    return idf, math.log(n + 2), [t for t in every if df.get(t, 0) <= max(1, COMMON * n)]
+    telling = set()
+    for x in templates.values():
+        own = sorted(set(re.findall(TERM, x.lower())), key=lambda t: (df.get(t, 0), t))
+        telling |= set(own[: (len(own) + 1) // 2])
+    return idf, math.log(n + 2), sorted(telling)
 
 
 def own_licence(text: Column, idf: dict[str, float], unseen: float, telling: list[str], templates: dict[str, str], threshold: float) -> Column:

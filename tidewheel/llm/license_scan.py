@@ -90,7 +90,7 @@ def own_licence(text: Column, idf: dict[str, float], unseen: float, telling: lis
         ]
         return F.array_max(F.array(*found))
 
-    tells = "(?i)" + "|".join(rf"(?<![a-z0-9]){re.escape(t)}(?![a-z0-9])" for t in telling) if telling else r"\b\B"
+    tells = rf"(?<![A-Za-z0-9])(?i:{'|'.join(map(re.escape, telling))})(?![A-Za-z0-9])" if telling else r"\b\B"
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(tells))
     judged = F.filter(F.transform(lines, lambda x: let(terms_of(x), scores)), lambda s: s["score"] >= threshold)
     best = lambda s: F.when(F.size(s) > 0, F.array_max(s))
@@ -114,9 +114,10 @@ def scan(files: DataFrame, templates: dict[str, str] | None = None, threshold: f
     idf, unseen, telling = weights(files, text_col, templates)
     text = F.coalesce(F.col(text_col), F.lit(""))
     own = own_licence(text, idf, unseen, telling, templates, threshold)
-    judged = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), own.alias("own"), F.when(own.isNotNull(), F.size(terms_of(text))).alias("words"))
+    judged = files.select(F.col(id_col).alias("doc_id"), F.col(path_col).alias("path"), text.alias("text"), own.alias("own"))
     parts = F.array_join(F.filter(F.split(parent(F.col("path")), "/"), lambda x: x != ""), "/")
-    judged = save(judged.select("doc_id", "path", parts.alias("dir"), "own", (F.col("words") - F.col("own.words") <= OTHER_WORDS).alias("is_file")), "judged")
+    other = F.when(F.col("own").isNotNull(), F.size(terms_of(F.col("text"))) - F.col("own.words"))
+    judged = save(judged.select("doc_id", "path", parts.alias("dir"), "own", (other <= OTHER_WORDS).alias("is_file")), "judged")
 
     best = F.max(F.struct("own.score", "own.rank", F.col("own.name").alias("name")))
     governed = judged.where("is_file").groupBy("dir").agg(best.alias("b")).select(F.col("dir").alias("above"), F.col("b.name").alias("licence"))

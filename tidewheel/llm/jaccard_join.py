@@ -15,8 +15,9 @@ per task and its size is a parameter, so it is safe to hand to all tasks.
 
 Texts with equal sets form one class and are compared once.  Large groups of near
 copies would still make all pairs within a posting list, so links are found in
-two rounds.  First each text is verified against the least and the greatest
-class on each of its lists, and components are built.  Then only pairs from
+steps.  Every list names as its hub the class that is on most lists; each text is
+verified against the hub with which it shares most lists and against the most
+central one, and components are built.  Then only pairs from
 different components are listed, by first pairing the components on a list;
 pairs inside a component can't change it any more.  Every pair of linked texts
 is thus in one component, and the work follows the number of such pairs
@@ -36,16 +37,19 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewheel.llm import textkit
 from tidewheel.llm.components import components
 from tidewheel.llm.scratch import save
 
 #: log2 of the number of frequency counters; most matches asked for; cost of a verified pair per shingle, of a posting.
-SKETCH_BITS, MOST_MATCHES, VERIFY_COST, POSTING_COST = 20, 8, 0.02, 0.5
+SKETCH_BITS, MOST_MATCHES, VERIFY_COST, POSTING_COST = 22, 8, 0.02, 0.5
 _PARTS = 64
+#: Pairs of one class that are verified in each of the rounds before the last.
+ROUNDS = (2, 8)
 #: The most that is broadcast, and what a wanted class takes there.
 BROADCAST_BYTES, WANTED_ROW = 64 << 20, 48
 
@@ -63,7 +67,8 @@ def _count_cells(k: int, bits: int) -> Callable:
         if held:
             table += np.bincount(np.concatenate(held).astype(np.int64), minlength=1 << bits)
         if table.any():
-            counts = np.minimum(table, 2**31 - 1).astype("<i4").reshape(_PARTS, -1)
+            # A task's own counts are small; a counter that is full stays at its end of the order.
+            counts = np.minimum(table, 2**16 - 1).astype("<u2").reshape(_PARTS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(_PARTS), pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())], ["part", "cells"])
 
     return cells
@@ -73,7 +78,7 @@ def _add_cells(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     total = None
     for batch in rows:
         for x in batch.column("cells"):
-            c = np.frombuffer(x.as_py(), dtype="<i4").astype(np.int64)
+            c = np.frombuffer(x.as_py(), dtype="<u2").astype(np.int64)
             total = c if total is None else total + c
     cells = np.minimum(total, 2**31 - 1).astype("<i4").tobytes()
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([cells], pa.binary())], ["part", "cells"])
@@ -180,6 +185,17 @@ def _verified(pairs: DataFrame, classes: DataFrame, texts: DataFrame, k: int, pe
     return save(both.mapInArrow(_judge(k, percent), "a long, b long"), "links")
 
 
+def needed(percent: int) -> Column:
+    """The least number of prefix matches of a linked pair (n_a, matches_a, n_b, matches_b).
+
+    Of the two prefixes let a's end first in the global order.  What both have up to there is
+    in both prefixes, and of the rest a has ``ceil(percent * n_a / 100) - matches_a``.
+    """
+    both = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+    own = lambda x: both - F.ceil(percent * F.col(f"n_{x}") / 100) + F.col(f"matches_{x}")
+    return F.least(own("a"), own("b"))
+
+
 def _ordered(x: Column, y: Column) -> list[Column]:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
@@ -195,33 +211,51 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
         signed.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("matches").alias("matches"), F.first("tokens").alias("tokens")), "classes"
     )
     postings = classes.select("key", "n", "matches", F.explode("tokens").alias("token"))
-    entry = F.struct("key", "n")
-    lists = postings.groupBy("token").agg(F.min(entry).alias("lo"), F.max(entry).alias("hi")).where("lo.key <> hi.key")
+    lists = postings.groupBy("token").agg(F.min("key").alias("lo"), F.max("key").alias("hi")).where("lo <> hi").select("token")
     shared = save(postings.join(lists, "token"), "shared")
 
     def alike(x: Column, y: Column) -> Column:
         """Sets of sizes further apart than this can't link."""
         return 100 * F.least(x, y) >= percent * F.greatest(x, y)
 
-    # Round one: every class against the least and greatest on its lists.
-    hubs = shared.select("key", "n", "matches", F.explode(F.array("lo", "hi")).alias("hub")).where((F.col("key") != F.col("hub.key")) & alike(F.col("n"), F.col("hub.n")))
-    likely = hubs.groupBy("key", F.col("hub.key").alias("hub"), "matches").agg(F.count("*").alias("hits")).where("hits >= matches")
-    first = save(likely.select(*_ordered(F.col("key"), F.col("hub"))).distinct(), "first")
+    # Round one: every class against two hubs of its lists: those on most lists are the most central.
+    weight = save(shared.groupBy("key").agg(F.count("*").alias("lists")), "weights")
+    entry = F.struct("lists", "key", "n", "matches")
+    weighed = shared.join(weight, "key")
+    best = weighed.groupBy("token").agg(F.max(entry).alias("hub"))
+    hubs = shared.join(best, "token").where((F.col("key") != F.col("hub.key")) & alike(F.col("n"), F.col("hub.n")))
+    met_hubs = hubs.groupBy(F.col("key"), F.col("hub.key").alias("hub"), F.col("n").alias("n_a"), F.col("matches").alias("matches_a"), F.col("hub.n").alias("n_b"), F.col("hub.matches").alias("matches_b"), F.col("hub.lists").alias("lists"))
+    likely = met_hubs.agg(F.count("*").alias("hits")).where(F.col("hits") >= F.least("matches_a", "matches_b")).groupBy("key").agg(F.max_by("hub", "hits").alias("most"), F.max_by("hub", "lists").alias("central"))
+    chosen = likely.select("key", F.explode(F.array("most", "central")).alias("hub"))
+    first = save(chosen.select(*_ordered(F.col("key"), F.col("hub"))).distinct(), "first")
     links = _verified(first, classes, texts, k, percent)
     comps = save(components(links), "comps")
 
     # Round two: pairs on one list from different components.
-    at = shared.select("token", "key", "n", "matches").join(comps, F.col("key") == F.col("node"), "left").select("token", "key", "n", "matches", F.coalesce("comp", "key").alias("comp"))
+    at = shared.join(comps, F.col("key") == F.col("node"), "left").select("token", "key", "n", "matches", F.coalesce("comp", "key").alias("comp"))
     open_lists = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     at = save(at.join(open_lists, "token"), "open")
     met = at.select("token", "comp").distinct()
     meet = met.withColumnRenamed("comp", "comp_a").join(met.withColumnRenamed("comp", "comp_b"), "token").where("comp_a < comp_b")
     side = lambda x: at.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "key", "n", "matches")])
     rows = meet.join(side("a"), ["token", "comp_a"]).join(side("b"), ["token", "comp_b"]).where(alike(F.col("n_a"), F.col("n_b")))
-    crossed = rows.groupBy("key_a", "key_b", "matches_a", "matches_b").agg(F.count("*").alias("hits")).where("hits >= least(matches_a, matches_b)")
-    second = crossed.select(*_ordered(F.col("key_a"), F.col("key_b"))).join(first, ["a", "b"], "left_anti")
-    more = _verified(second, classes, texts, k, percent)
-    comps = save(components(links.union(more)), "comps")
+    crossed = rows.groupBy("key_a", "key_b", "n_a", "n_b", "matches_a", "matches_b").agg(F.count("*").alias("hits")).where(F.col("hits") >= needed(percent))
+    todo = save(crossed.select(*_ordered(F.col("key_a"), F.col("key_b")), "hits").join(first, ["a", "b"], "left_anti"), "crossed")
+    # Likeliest pairs come first; each round joins components, and pairs inside one need no look any more.
+    for most in (*ROUNDS, None):
+        if todo.isEmpty():
+            break
+        now = todo
+        if most is not None:
+            ends = todo.select("a", "b", "hits", F.explode(F.array("a", "b")).alias("end"))
+            rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("hits"), "a", "b"))
+            now = ends.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct()
+        done = save(now.select("a", "b"), "round")
+        links = save(links.union(_verified(done, classes, texts, k, percent)), "links")
+        comps = save(components(links), "comps")
+        of = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
+        left = todo.join(done, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        todo = save(left.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b", "hits"), "crossed")
 
     named = classes.select("key", "rep").join(comps, F.col("key") == F.col("node"), "left").select("key", "rep", F.coalesce("comp", "key").alias("comp"))
     least = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
@@ -250,7 +284,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_
     found = jaccard_classes(docs, k, percent, id_col, text_col)
     rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     stay = save(found.where("key is not null").groupBy("comp").agg(F.min(rank).alias("s")).select(F.col("s.doc_id").alias("_id"), F.col("s.key").alias("_stay")), "stay")
-    schema = docs.schema.add("_key", "long")
+    schema = T.StructType([*docs.schema.fields, T.StructField("_key", T.LongType())])
     keyed = docs.mapInArrow(_add_key(k, docs.columns.index(text_col)), schema)
     met = keyed.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_stay")), "left").where("_key is null or _stay is not null")
     own = F.when(F.col("_key").isNull(), F.monotonically_increasing_id())

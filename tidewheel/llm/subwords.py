@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from tidewheel.llm import textkit
 
 #: Words held before the cache starts afresh; words encoded in one call.
-CACHE_WORDS, CALL_WORDS = 400_000, 256
+CACHE_WORDS, CALL_WORDS = 250_000, 256
 PLAIN = re.compile(r"([a-zß-öø-ÿ]+)([.,!?;:|$%&*#-]*)")
 
 

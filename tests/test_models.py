@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tidewheel.functions import special
 from tidewheel.operators import models as M
 from tidewheel.operators import report as R
+from tidewheel.operators import series as T
 from tidewheel.operators import stats as H
 from tidewheel.operators import survival as K
 from tidewheel.operators import validity as V
@@ -97,3 +98,26 @@ def test_report(two_groups, tmp_path):
     r = R.Report("A & B").add("First", two_groups.limit(2)).add("None", None)
     r.save(str(tmp_path / "r.html"))
     assert "A &amp; B" in (tmp_path / "r.html").read_text() and R.embed("/nowhere.png") == ""
+
+
+def test_odds_ratios(spark):
+    data = [(i, "a" if i < 60 else "b", int(i % 3 == 0) if i < 60 else int(i % 2 == 0)) for i in range(120)]
+    got = {r["term"]: r["odds_ratio"] for r in M.odds_ratios(spark.createDataFrame(data, "entity_id long, g string, y int"), "y", "g").collect()}
+    assert got["reference"] == 1 and got["g_b"] == pytest.approx((30 / 30) / (20 / 40), rel=1e-4)
+
+
+def test_dtw(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(6, 5))
+    df = spark.createDataFrame([(i, j, float(x[i, j])) for i in range(6) for j in range(5)], "entity_id long, pos int, value double")
+
+    def dtw(a, b):
+        d = np.full((6, 6), np.inf)
+        d[0, 0] = 0
+        for i in range(5):
+            for j in range(5):
+                d[i + 1, j + 1] = abs(a[i] - b[j]) + min(d[i, j + 1], d[i, j], d[i + 1, j])
+        return d[5, 5]
+
+    got = {(r["a"], r["b"]): r["distance"] for r in T.dtw_distances(df).collect()}
+    assert got == pytest.approx({(i, j): dtw(x[i], x[j]) for i in range(6) for j in range(i + 1, 6)})

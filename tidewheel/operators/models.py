@@ -11,7 +11,7 @@ from pyspark.ml.clustering import GaussianMixture, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,6 +106,18 @@ def classify(df: DataFrame, columns: list[str], label: str, kind: str = "logisti
     return out
 
 
+def odds_ratios(df: DataFrame, outcome: str, group: str, covariates: list[str] = [], reference=None) -> DataFrame:  # noqa: B006
+    """(term, odds_ratio, low, high, p_value) of a logistic model with the groups as 0/1 columns; the reference has 1."""
+    from tidewheel.operators.survival import dummies
+
+    wide, names = dummies(df, group, reference)
+    terms = [*names, *covariates]
+    fit = GeneralizedLinearRegression(family="binomial", featuresCol="v", labelCol=outcome).fit(assemble(wide, terms, ("entity_id", outcome)))
+    s = fit.summary
+    rows = [(n, math.exp(b), math.exp(b - 1.96 * e), math.exp(b + 1.96 * e), p) for n, b, e, p in zip(terms, fit.coefficients.toArray().tolist(), s.coefficientStandardErrors, s.pValues, strict=False)]
+    return df.sparkSession.createDataFrame([("reference", 1.0, None, None, None), *rows], "term string, odds_ratio double, low double, high double, p_value double")
+
+
 def linear(df: DataFrame, columns: list[str], label: str) -> dict:
     """Least squares in closed form: coefficients, intercept, R2, RMSE, MAE."""
     fit = LinearRegression(featuresCol="v", labelCol=label, solver="normal").fit(assemble(df, columns, ("entity_id", label)))

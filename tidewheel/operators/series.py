@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 c, lit = F.col, F.lit
 
@@ -124,6 +127,34 @@ def distances(series: DataFrame, metric: str = "euclidean") -> DataFrame:
     return sums.select("a", "b", d.alias("distance"))
 
 
+def dtw_distances(series: DataFrame, band: int | None = None, salts: int = 8) -> DataFrame:
+    """(a, b, distance): dynamic time warping with absolute costs for every pair a < b of a cohort.
+
+    Pairs are dealt out by a salt of the second entity; a batch of pairs is one
+    programme over the cells of the cost table, run for all its pairs at once.
+    """
+    own = arrays(series)
+    left = own.select(c("entity_id").alias("a"), c("values").alias("x"), F.explode(F.sequence(lit(0), lit(salts - 1))).alias("s"))
+    right = own.select(c("entity_id").alias("b"), c("values").alias("y"), F.pmod(F.xxhash64("entity_id"), lit(salts)).cast("int").alias("s"))
+
+    @F.pandas_udf(DoubleType())
+    def warp(x: pd.Series, y: pd.Series) -> pd.Series:
+        if not len(x):
+            return pd.Series([], dtype=float)
+        p, q = np.stack(x.to_list()), np.stack(y.to_list())
+        n, m = p.shape[1], q.shape[1]
+        row = np.full((len(p), m + 1), np.inf)
+        row[:, 0] = 0
+        for i in range(n):
+            new = np.full_like(row, np.inf)
+            for j in range(m) if band is None else range(max(0, i - band), min(m, i + band + 1)):
+                new[:, j + 1] = np.abs(p[:, i] - q[:, j]) + np.minimum(np.minimum(row[:, j + 1], row[:, j]), new[:, j])
+            row = new
+        return pd.Series(row[:, m])
+
+    return left.join(right, "s").where("a < b").select("a", "b", warp("x", "y").alias("distance"))
+
+
 def day_trajectory(events: DataFrame, days: int = 365) -> DataFrame:
     """Burden of events up to each whole day 0 .. days: an event at 3.4 days counts from day 4."""
     own = _events(events, days)

@@ -76,6 +76,8 @@ SQL: dict[str, str] = {
     "outcome_spearman": ENT + ", l AS (SELECT * FROM (" + _long("x", ("balance", "n_orders", "price_before"), "time AS y") + ") WHERE v IS NOT NULL AND y IS NOT NULL), r AS (SELECT feature, " + RANKS.format(c="v") + " AS rx, " + RANKS.format(c="y") + " AS ry FROM l) " + _r("SELECT feature, corr(rx, ry) AS r, count(*) AS n FROM r GROUP BY feature", "feature"),
     "outcome_table": ENT + _r("SELECT segment, 'event' AS outcome, 'binary' AS kind, count(event) AS n, sum(event) AS events, avg(event) AS rate, NULL AS mean, NULL AS sd, NULL AS median FROM x GROUP BY segment UNION ALL SELECT segment, 'n_orders', 'continuous', count(n_orders), NULL, NULL, avg(n_orders), stddev_samp(n_orders), median(n_orders) FROM x GROUP BY segment", "segment, outcome, kind"),
 }
+_F6 = ("total_af_minutes", "n_episodes", "mean_episode_duration", "max_episode_duration", "std_episode_duration", "duration_p90")
+SQL["feature_correlations"] = BASE + ", k AS (SELECT entity_id, sum(d) AS total_af_minutes, count(*) AS n_episodes, avg(d) AS mean_episode_duration, max(d) AS max_episode_duration, stddev_pop(d) AS std_episode_duration, quantile_cont(d, 0.9) AS duration_p90 FROM e GROUP BY entity_id) " + _r(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM k" for i, a in enumerate(_F6) for b in _F6[i + 1 :]), "a, b")
 _KM = ENT + ", t AS (SELECT segment, time, sum(event) AS deaths, count(*) AS k FROM x WHERE time IS NOT NULL GROUP BY ALL), r AS (SELECT *, sum(k) OVER (PARTITION BY segment ORDER BY time DESC) AS at_risk FROM t), km AS (SELECT segment, time, at_risk, deaths, product(1 - deaths / at_risk) OVER (PARTITION BY segment ORDER BY time) AS survival FROM r) "
 SQL["survival_curves"] = _KM + _r("SELECT * FROM km", "segment")
 SQL["survival_horizons"] = _KM + _r("SELECT x.segment, count(*) AS n, sum(event) AS events, avg(event) AS rate, " + ", ".join(f"(SELECT coalesce(arg_max(survival, km.time) FILTER (km.time <= {h}), 1) FROM km WHERE km.segment = x.segment) AS survival_{h}" for h in (90, 365, 730)) + " FROM x WHERE time IS NOT NULL GROUP BY x.segment", "segment")

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm import textkit
-from tidewheel.llm.scratch import save
+from tidewheel.llm.scratch import save, small_batches
 
 #: Words of a seed and least match; covered share of an item that makes a leak; the most of the benchmark's text in a task at once.
 SEED, PERCENT, BLOCK_BYTES = 8, 50, 16 << 20
@@ -164,6 +164,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col:
     from pyspark.sql.pandas.types import to_arrow_type
 
     keep = [id_col] if keep is None else keep
+    small_batches(docs.sparkSession)
     kind = benchmark.schema[item_col].dataType
     schema = docs.select(*keep).schema.add("item_id", kind).add("covered_words", "long").add("item_words", "long").add("tiles", T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("item_at", "text_at", "words")])))
     out = None

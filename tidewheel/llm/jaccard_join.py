@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 
 from tidewheel.llm import textkit
 from tidewheel.llm.components import components
-from tidewheel.llm.scratch import save
+from tidewheel.llm.scratch import save, small_batches
 
 #: log2 of the number of frequency counters; most matches asked for; cost of a verified pair per shingle, of a posting.
 SKETCH_BITS, MOST_MATCHES, VERIFY_COST, POSTING_COST = 22, 8, 0.02, 0.5
@@ -203,6 +203,7 @@ def _ordered(x: Column, y: Column) -> list[Column]:
 def jaccard_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id", text_col: str = "text", sketch_bits: int = SKETCH_BITS) -> DataFrame:
     """Per row: doc_id, n (set size), key (its class), comp (its component's class), component_id (least id in it)."""
     spark = docs.sparkSession
+    small_batches(spark)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     cells = spark.sparkContext.broadcast(frequency_sketch(texts.select("text"), k, sketch_bits))
     id_type = texts.schema["doc_id"].dataType.simpleString()

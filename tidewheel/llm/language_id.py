@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import textkit
-from tidewheel.llm.scratch import doc_hash
+from tidewheel.llm.scratch import doc_hash, small_batches
 
 #: Rows to learn from; log2 of weight rows; bytes of affixes and of n-grams; mixed texts a step, words in each, steps.
 SAMPLE, BITS, AFFIXES, GRAMS, MIXED, LENGTH, STEPS = 2000, 17, (2, 3, 4), (2, 3), 64, 48, 150
@@ -216,6 +216,7 @@ def _label(model) -> Callable:
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """Per row: doc_id, lang_pred, score, shares (a map from each language to its mean probability)."""
     model = fit(docs, id_col, text_col, lang_col)
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
     if model is None:
         return narrow.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("map<string,double>").alias("shares"))

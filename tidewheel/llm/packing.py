@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.llm import subwords
-from tidewheel.llm.scratch import save
+from tidewheel.llm.scratch import save, small_batches
 
 CAPACITY, END_ID = 4096, 1
 ROWS = 2000
@@ -132,6 +132,7 @@ def _place(table) -> Callable:
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     kind = docs.schema[id_col].dataType.simpleString()
+    small_batches(docs.sparkSession)
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     pieces = save(texts.mapInArrow(_cut(tokenizer, capacity, end_id), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, part int, local long"), "pieces")
     counts = save(pieces.groupBy("part", "length").agg(F.count("*").alias("n")), "piece-counts")

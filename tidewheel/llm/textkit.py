@@ -10,7 +10,7 @@ import pyarrow as pa
 #: An odd base for word hashes, the splitmix64 constants, and the most bytes handled at once.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX1, MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 
 _lower = np.arange(256, dtype=np.uint8)
 _lower[65:91] += 32

@@ -49,7 +49,7 @@ from tidewheel.llm.scratch import save, small_batches
 SKETCH_BITS, MOST_MATCHES, VERIFY_COST, POSTING_COST = 22, 8, 0.02, 0.5
 _PARTS = 64
 #: Pairs of one class that are verified in each of the rounds before the last.
-ROUNDS = (2, 8)
+ROUNDS = (3,)
 #: The most that is broadcast, and what a wanted class takes there.
 BROADCAST_BYTES, WANTED_ROW = 64 << 20, 48
 
@@ -236,8 +236,11 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
     at = shared.join(comps, F.col("key") == F.col("node"), "left").select("token", "key", "n", "matches", F.coalesce("comp", "key").alias("comp"))
     open_lists = at.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("token")
     at = save(at.join(open_lists, "token"), "open")
-    met = at.select("token", "comp").distinct()
-    meet = met.withColumnRenamed("comp", "comp_a").join(met.withColumnRenamed("comp", "comp_b"), "token").where("comp_a < comp_b")
+    # Components meet on a list if some sizes of theirs there lie close enough to link.
+    met = at.groupBy("token", "comp").agg(F.min("n").alias("small"), F.max("n").alias("large"))
+    a, b = (met.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "small", "large")]) for x in "ab")
+    near = (100 * F.col("large_b") >= percent * F.col("small_a")) & (100 * F.col("large_a") >= percent * F.col("small_b"))
+    meet = a.join(b, "token").where((F.col("comp_a") < F.col("comp_b")) & near).select("token", "comp_a", "comp_b")
     side = lambda x: at.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "key", "n", "matches")])
     rows = meet.join(side("a"), ["token", "comp_a"]).join(side("b"), ["token", "comp_b"]).where(alike(F.col("n_a"), F.col("n_b")))
     crossed = rows.groupBy("key_a", "key_b", "n_a", "n_b", "matches_a", "matches_b").agg(F.count("*").alias("hits")).where(F.col("hits") >= needed(percent))
@@ -252,8 +255,10 @@ def jaccard_classes(docs: DataFrame, k: int, percent: int, id_col: str = "doc_id
             rank = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("hits"), "a", "b"))
             now = ends.withColumn("rank", rank).where(F.col("rank") <= most).select("a", "b").distinct()
         done = save(now.select("a", "b"), "round")
-        links = save(links.union(_verified(done, classes, texts, k, percent)), "links")
-        comps = save(components(links), "comps")
+        more = _verified(done, classes, texts, k, percent)
+        if not more.isEmpty():
+            links = save(links.union(more), "links")
+            comps = save(components(links), "comps")
         of = lambda x: comps.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}"))
         left = todo.join(done, ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
         todo = save(left.where(F.coalesce("comp_a", "a") != F.coalesce("comp_b", "b")).select("a", "b", "hits"), "crossed")

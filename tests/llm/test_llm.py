@@ -361,6 +361,25 @@ def test_attention_is_a_distribution():
     assert p.sum() <= 1.0001 and p.min() > 0 and unused >= 0
 
 
+def test_lm_learns_from_every_text(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEPS", 0)
+    text = "one text that no sample of keys takes"
+    for key in range(1, 4):
+        rows = spark.createDataFrame([(key, text)], "key long, text string")
+        start, end = lm_scoring.first_model(rows, PATH, 1).packed(), lm_scoring.fit(rows, PATH, 1).packed()
+        assert start != end
+
+
+def test_lm_trains_on_every_window_once(monkeypatch):
+    met = []
+    monkeypatch.setattr(lm_scoring.Attention, "gradients", lambda self, x, y: met.extend(map(bytes, x)) or {})
+    model = lm_scoring.Attention(np.arange(50), 60, np.random.default_rng(0))
+    rng = np.random.default_rng(1)
+    x, y, _ = model.windows(rng.integers(0, 60, 9000), np.array([0, 5, 9000]))
+    model.train_once(x, y, 1e-3, rng)
+    assert len(x) > 2 * lm_scoring.BATCH and sorted(met) == sorted(map(bytes, x))
+
+
 def test_lm_base_score(spark, monkeypatch):
     for n, v in (("STEPS", 5), ("SAMPLE", 50), ("TOP", 4)):
         monkeypatch.setattr(lm_scoring, n, v)

@@ -9,8 +9,8 @@ window scores its last ``STEP`` positions, so every id is scored once and sees a
 least ``CONTEXT`` ids before it, as far as there are so many.
 
 Training has two parts.  A bounded sample of training texts gives the vocabulary and a first
-model on the driver.  Then every task goes on training on one in ``RATE`` of the
-training texts that it holds, picked by the hash of id and text, and the models are averaged, weighted by their
+model on the driver.  Then every task goes on training on all windows of all
+training texts that it holds, each once, and the models are averaged, weighted by their
 windows, so what is learned from grows with the corpus while what the
 driver gets does not.
 
@@ -39,8 +39,8 @@ from tidewheel.llm.scratch import doc_hash, save, small_batches
 
 #: Ids with a probability of their own, in CLASSES equal classes; sizes of vectors and of the inner layer; inputs before the scored ones; scored ones.
 VOCAB, CLASSES, DIM, INNER, CONTEXT, STEP = 2304, 48, 32, 48, 8, 12
-#: Texts of the first part; windows a step and steps; one text in so many for the second; counts kept in the tasks; texts handled at once.
-SAMPLE, BATCH, STEPS, RATE, TOP, ROWS = 1500, 256, 1000, 32, 1 << 16, 500
+#: Texts of the first part; windows a step and steps; counts kept in the tasks; texts handled at once.
+SAMPLE, BATCH, STEPS, TOP, ROWS = 1500, 256, 1000, 1 << 16, 500
 LEARN, LEARN_LATER, SEED = 2e-2, 1e-3, 5
 SPAN = CONTEXT + STEP
 EACH = VOCAB // CLASSES
@@ -162,9 +162,18 @@ class Attention:
 
     def train(self, x: np.ndarray, y: np.ndarray, steps: int, rate: float, rng: np.random.Generator) -> None:
         """Adam over random windows, the rate falling to a tenth."""
+        if len(x):
+            self._descend(x, y, [rng.integers(len(x), size=min(BATCH, len(x))) for _ in range(steps)], rate)
+
+    def train_once(self, x: np.ndarray, y: np.ndarray, rate: float, rng: np.random.Generator) -> None:
+        """Adam over every window once, in random order."""
+        order = rng.permutation(len(x))
+        self._descend(x, y, [order[i : i + BATCH] for i in range(0, len(x), BATCH)], rate)
+
+    def _descend(self, x: np.ndarray, y: np.ndarray, picks: list[np.ndarray], rate: float) -> None:
+        steps = len(picks)
         first, second = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2))
-        for s in range(steps if len(x) else 0):
-            pick = rng.integers(len(x), size=min(BATCH, len(x)))
+        for s, pick in enumerate(picks):
             now = rate * (1 - 0.9 * s / steps)
             for n, g in self.gradients(x[pick], y[pick]).items():
                 first[n] += 0.1 * (g - first[n])
@@ -221,11 +230,11 @@ def _go_on(model, path: str, end_id: int) -> Callable:
             xs.append(x)
             ys.append(y)
             if (held := sum(map(len, xs))) >= 8 * BATCH:
-                own.train(np.concatenate(xs), np.concatenate(ys), -(-held // BATCH), LEARN_LATER, rng)
+                own.train_once(np.concatenate(xs), np.concatenate(ys), LEARN_LATER, rng)
                 seen += held
                 xs, ys = [], []
         if left := sum(map(len, xs)):
-            own.train(np.concatenate(xs), np.concatenate(ys), -(-left // BATCH), LEARN_LATER, rng)
+            own.train_once(np.concatenate(xs), np.concatenate(ys), LEARN_LATER, rng)
             seen += left
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array([seen % 16], pa.int32()), pa.array([float(seen)]), pa.array([own.packed()], pa.binary())], ["bucket", "weight", "model"])
@@ -247,8 +256,7 @@ def fit(training: DataFrame, path: str, end_id: int) -> Attention:
     """The averaged model of all training texts (columns key, text)."""
     model = first_model(training, path, end_id)
     schema = "bucket int, weight double, model binary"
-    part = training.where(F.pmod("key", F.lit(RATE)) == 0).select("key", "text")
-    trained = part.mapInArrow(_go_on(training.sparkSession.sparkContext.broadcast(model), path, end_id), schema)
+    trained = training.select("text").mapInArrow(_go_on(training.sparkSession.sparkContext.broadcast(model), path, end_id), schema)
     merged = trained.groupBy("bucket").applyInArrow(_average, schema).collect()  # 16 rows at most
     if merged:
         weights = np.array([r["weight"] for r in merged])

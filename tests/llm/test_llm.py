@@ -370,6 +370,29 @@ def test_lm_learns_from_every_text(spark, monkeypatch):
         assert start != end
 
 
+def test_lm_vocabulary_of_all_texts(spark, monkeypatch):
+    monkeypatch.setattr(lm_scoring, "STEPS", 0)
+    monkeypatch.setattr(lm_scoring, "SAMPLE", 1)
+    texts = [f"{w} {w} {w}" for w in ("cat", "house", "river", "window")]
+    rows = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    model = lm_scoring.first_model(rows, PATH, 1)
+    ids, bounds = lm_scoring.encode(pa.array(texts), PATH, 1)
+    assert np.array_equal(lm_scoring.id_counts(rows, PATH, 1), np.bincount(ids, minlength=len(model.number)))
+    assert (model.number[ids] > 0).all()
+
+
+def test_lm_other_ids_share_by_counts():
+    counts = np.zeros(2500, dtype=np.int64)
+    counts[100], counts[101] = 30, 5
+    model = lm_scoring.Attention(np.arange(50), 2500, np.random.default_rng(1), counts)
+    ids = np.concatenate([np.array([3, i]) for i in range(2500)])
+    x, y, _ = model.windows(ids, np.arange(2501) * 2)
+    even = np.exp(model.log_probs(x, y)[:, 1])
+    p = even * np.exp(model.uneven)
+    assert p.sum() == pytest.approx(even.sum())
+    assert p[100] / p[200] == pytest.approx(31) and p[101] / p[200] == pytest.approx(6) and (model.uneven[:50] == 0).all()
+
+
 def test_lm_trains_on_every_window_once(monkeypatch):
     met = []
     monkeypatch.setattr(lm_scoring.Attention, "gradients", lambda self, x, y: met.extend(map(bytes, x)) or {})

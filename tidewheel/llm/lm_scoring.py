@@ -3,13 +3,13 @@
 The model: one layer of masked self-attention over learned tables of queries,
 keys and values with a bias for each distance, a residual feed-forward layer,
 and a softmax in two levels (class, then id in its class) over the ``VOCAB``
-most frequent ids; the rest share the probability of one more id evenly, so that all ids
-have one.  A text is scored in overlapping windows of ``CONTEXT + STEP`` inputs: each
+most frequent ids; the rest share the probability of one more id by their counts
+(one more than the true ones), so that all ids have one.  A text is scored in overlapping windows of ``CONTEXT + STEP`` inputs: each
 window scores its last ``STEP`` positions, so every id is scored once and sees at
 least ``CONTEXT`` ids before it, as far as there are so many.
 
-Training has two parts.  A bounded sample of training texts gives the vocabulary and a first
-model on the driver.  Then every task goes on training on all windows of all
+Training has two parts.  The counts of ids over all training texts give the vocabulary,
+and a bounded sample of them a first model on the driver.  Then every task goes on training on all windows of all
 training texts that it holds, each once, and the models are averaged, weighted by their
 windows, so what is learned from grows with the corpus while what the
 driver gets does not.
@@ -50,11 +50,13 @@ _END = np.uint64(0)  # stands for the end among word hashes
 class Attention:
     """Parameters by name, forward and backward passes."""
 
-    def __init__(self, ids: np.ndarray, total_ids: int, rng: np.random.Generator):
-        """ids: the vocabulary by falling frequency; number 0 stands for all others, VOCAB for what comes before a text."""
+    def __init__(self, ids: np.ndarray, total_ids: int, rng: np.random.Generator, counts: np.ndarray | None = None):
+        """ids: the vocabulary by falling frequency; number 0 stands for all others, VOCAB for what comes before a text.  counts: of every id, for the shares of the others (else even ones)."""
         self.number = np.zeros(total_ids, dtype=np.int32)
         self.number[ids[: VOCAB - 1]] = np.arange(1, min(len(ids), VOCAB - 1) + 1)
         self.others = max(1, total_ids - min(len(ids), VOCAB - 1))
+        weight = (self.number == 0) * (1.0 if counts is None else counts + 1.0)
+        self.uneven = np.where(weight > 0, np.log(np.maximum(weight, 1) / max(1, weight.sum()) * self.others), 0)
         draw = lambda *s, by=0.1: rng.normal(0, by, s).astype(np.float32)
         self.p = {
             "e": draw(VOCAB + 1, DIM), "q": draw(VOCAB + 1, DIM), "k": draw(VOCAB + 1, DIM), "v": draw(VOCAB + 1, DIM), "near": np.zeros(SPAN, dtype=np.float32),
@@ -100,7 +102,7 @@ class Attention:
         return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the targets, 0 past the end."""
+        """Natural log probabilities of the targets, 0 past the end; of an id with number 0 when the others share evenly: ``uneven`` has what to add."""
         p, out = self.p, np.zeros(y.shape)
         for i in range(0, len(x), BATCH):
             on = y[i : i + BATCH] >= 0
@@ -206,16 +208,34 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
+def _id_counts(path: str, end_id: int) -> Callable:
+    def id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(subwords.coder(path).tokenizer.get_vocab_size(), dtype=np.int64)
+        for batch in parts(batches):
+            counts += np.bincount(encode(batch.column("text"), path, end_id)[0], minlength=len(counts))
+        ids = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], ["id", "n"])
+
+    return id_counts
+
+
+def id_counts(training: DataFrame, path: str, end_id: int) -> np.ndarray:
+    """How often each of the tokenizer's ids occurs in all training texts."""
+    rows = training.select("text").mapInArrow(_id_counts(path, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(subwords.coder(path).tokenizer.get_vocab_size(), dtype=np.int64)
+    counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
+    return counts
+
+
 def first_model(training: DataFrame, path: str, end_id: int) -> Attention:
-    """The vocabulary and a model of at most SAMPLE texts, those with the least hashes."""
+    """The vocabulary of all texts and a model of at most SAMPLE of them, those with the least hashes."""
+    counts = id_counts(training, path, end_id)
     ids = training.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
     rows = training.join(F.broadcast(ids), "key").dropDuplicates(["key"]).orderBy("key").select("text").toArrow()
     rng = np.random.default_rng(SEED)
     flat, bounds = encode(rows.column("text"), path, end_id)
-    total = subwords.coder(path).tokenizer.get_vocab_size()
-    counts = np.bincount(flat, minlength=total)
     order = np.argsort(-counts, kind="stable")
-    model = Attention(order[counts[order] > 0], total, rng)
+    model = Attention(order[counts[order] > 0], len(counts), rng, counts)
     x, y, _ = model.windows(flat, bounds)
     model.train(x, y, STEPS, LEARN, rng)
     return model
@@ -285,7 +305,8 @@ def _score(model, top, path: str, end_id: int) -> Callable:
         for batch in parts(batches):
             ids, bounds = encode(batch.column("text"), path, end_id)
             x, y, row = attention.windows(ids, bounds)
-            total = np.bincount(row, attention.log_probs(x, y).sum(axis=1), batch.num_rows) / np.log(10)
+            total = np.bincount(row, attention.log_probs(x, y).sum(axis=1), batch.num_rows)
+            total = (total + np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(bounds)), attention.uneven[ids], batch.num_rows)) / np.log(10)
             tokens, known, base = ([] for _ in range(3))
             for h, b in _text_words(batch.column("text")):
                 c = _lookup(h, words, counts)

@@ -428,3 +428,28 @@ def test_licences(spark):
     got = {r["doc_id"]: (r["licence"], r["how"], r["from_dir"]) for r in license_scan.scan(df).collect()}
     assert got == {1: ("MIT", "file", None), 2: ("GPL-3.0", "inherited", "a/b/c"), 3: (None, "none", None), 4: ("GPL-3.0", "header", None), 5: (None, "none", None), 6: ("MIT", "inherited", "a/b"), 7: ("GPL-3.0", "file", None), 8: (None, "none", None)}
     assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_licences_in_spans(spark):
+    filler = "plain words about nothing in particular that go on and on " * 5
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n"
+    texts = {
+        1: ("Copyright (c) 2020 Example Inc. All rights reserved.", "all-rights-reserved"),
+        2: (f"{filler} all of it is released under the MIT License by its authors, {filler}", "MIT"),
+        3: (f"{filler} the photos are licensed under CC BY-NC 4.0 unless stated otherwise {filler}", "CC-BY-NC-4.0"),
+        4: (gpl + filler, "GPL-3.0"),
+        5: ("The MIT License (MIT)\n\n" + filler, "MIT"),
+        6: ("MIT is a school, all human rights count, and a license is a paper", None),
+        7: (license_scan.FULL["MIT"].replace("MIT License", "MIT License\n\nCopyright (c) 2021 Jane Example\n\n"), "MIT"),
+        8: (f"{filler}\nThis Source Code Form is subject to the terms\nof the Mozilla Public License, v. 2.0.\n{filler}", "MPL-2.0"),
+    }
+    rows = [(i, f"d{i}/x", t) for i, (t, _) in texts.items()] + [(i, f"e{i}/x", filler) for i in range(100, 300)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    got = {r["doc_id"]: (r["licence"], r["how"]) for r in license_scan.scan(df).collect()}
+    assert {i: got[i][0] for i in texts} == {i: name for i, (_, name) in texts.items()}
+    assert got[7][1] == "file" and got[4][1] == "header" and all(got[i] == (None, "none") for i in range(100, 300))
+
+
+def test_licence_words_that_are_needed():
+    v = {t: 0.5 for t in "abcd"}
+    assert len(license_scan.telling([v], {t: 1.0 for t in v}, 0.6)) == 3

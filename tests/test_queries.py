@@ -28,3 +28,12 @@ def test_same_as_sql(spark, duck, name):
     ours, theirs = Q.queries()[name](spark, FOLDER).toPandas(), duck.execute(Q.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert plain(ours) == plain(theirs)
+
+
+def test_id_overlap_has_every_document(spark):
+    ids = lambda table, column: set(pd.read_parquet(f"{FOLDER}/{table}.parquet", columns=[column])[column])
+    a, b, c = ids("documents", "doc_id"), ids("labels", "doc_id"), ids("events", "user_id")
+    got = Q.queries()["id_overlap"](spark, FOLDER).first().asDict()
+    assert (got["n_documents"], got["n_labels"], got["n_events"]) == (len(a), len(b), len(c))
+    assert (got["n_documents_and_labels"], got["n_documents_and_events"], got["n_labels_and_events"]) == (len(a & b), len(a & c), len(b & c))
+    assert (got["n_only_documents"], got["n_all"], got["n_any"]) == (len(a - b - c), len(a & b & c), len(a | b | c))

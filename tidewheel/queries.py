@@ -109,7 +109,7 @@ def entity_join(spark, sf_dir):
 
 
 def id_overlap(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("entity_id"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("entity_id"))
     label = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id"))
     return I.overlap({"documents": d, "labels": label, "events": history(spark, sf_dir)})
 

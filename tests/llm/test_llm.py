@@ -403,6 +403,15 @@ def test_lm_trains_on_every_window_once(monkeypatch):
     assert len(x) > 2 * lm_scoring.BATCH and sorted(met) == sorted(map(bytes, x))
 
 
+def test_lm_softmax_does_not_depend_on_other_rows():
+    x = np.array([[0, 0], [200, 200]], dtype=np.float32)
+    assert lm_scoring.Attention._picked(x, np.array([0, 1])) == pytest.approx([np.log(0.5)] * 2)
+    model = lm_scoring.Attention(np.arange(50), 60, np.random.default_rng(0))
+    model.p["q"][1], model.p["k"][1] = 40, 40
+    x, _, _ = model.windows(np.array([0] * 12 + [9] * 12), np.array([0, 12, 24]))
+    assert model.attend(x)[3].sum(axis=2) == pytest.approx(1, rel=1e-4)
+
+
 def test_lm_base_score(spark, monkeypatch):
     for n, v in (("STEPS", 5), ("SAMPLE", 50), ("TOP", 4)):
         monkeypatch.setattr(lm_scoring, n, v)

@@ -85,16 +85,16 @@ class Attention:
         p = self.p
         q, k, v = p["q"][x[:, CONTEXT:]], p["k"][x], p["v"][x]
         a = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(DIM**-0.5) + np.where(self.future, np.float32(-1e9), p["near"][self.distance])
-        np.exp(a - np.maximum(a.max(), 0), out=a)
-        a /= np.matmul(a, np.ones((SPAN, 1), dtype=a.dtype)) + np.asarray(1e-30, dtype=a.dtype)
+        np.exp(a - a.max(axis=2, keepdims=True), out=a)
+        a /= np.matmul(a, np.ones((SPAN, 1), dtype=a.dtype))
         return q, k, v, a, p["e"][x[:, CONTEXT:]] + np.matmul(a, v)
 
     @staticmethod
     def _picked(x: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Log softmax at one place of each row; logits of one model lie close enough for one common shift."""
-        top = x.max(initial=0)
-        total = np.exp(x - top) @ np.ones(x.shape[1], dtype=x.dtype)
-        return x[np.arange(len(x)), place] - top - np.log(total + np.asarray(1e-30, dtype=x.dtype))
+        """Log softmax at one place of each row."""
+        top = x.max(axis=1)
+        total = np.exp(x - top[:, None]) @ np.ones(x.shape[1], dtype=x.dtype)
+        return x[np.arange(len(x)), place] - top - np.log(total)
 
     @staticmethod
     def _log_softmax(x: np.ndarray) -> np.ndarray:

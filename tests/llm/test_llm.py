@@ -91,18 +91,51 @@ def test_jaccard_join_empty(spark):
 
 
 def test_prefix_filter_keeps_links():
+    """The first n - overlap + l shingles of a linked pair share l, and every shared one of them is within both reaches."""
     rng = np.random.default_rng(0)
-    counts = rng.integers(1, 9, 400)
-    for _ in range(200):
+    counts, met = rng.integers(1, 9, 400), 0
+    for _ in range(300):
         a = rng.choice(400, rng.integers(20, 60), replace=False)
-        b = np.concatenate([rng.choice(a, len(a) - 2, replace=False), [400, 401]])
-        full = np.concatenate([counts, [1, 1]])
+        b = np.concatenate([rng.choice(a, len(a) - rng.integers(0, 5), replace=False), np.arange(400, 400 + rng.integers(0, 4))])
+        full = np.concatenate([counts, [1] * 4])
         (la, pa_), (lb, pb) = (jaccard_join.prefix(np.sort(x).astype(np.uint64), full[np.sort(x)], 0, 85) for x in (a, b))
         both = len(set(a) & set(b))
         if 100 * both >= 85 * (len(a) + len(b) - both):
-            whole = -(-85 * (len(a) + len(b)) // 185)
-            least = min(whole - jaccard_join.required(len(x), 85) + m for x, m in ((a, la), (b, lb)))
-            assert len(set(pa_.tolist()) & set(pb.tolist())) >= max(least, min(la, lb))
+            met += 1
+            overlap, least = -(-85 * (len(a) + len(b)) // 185), min(la, lb)
+            heads = [p[: len(x) - overlap + least].tolist() for p, x in ((pa_, a), (pb, b))]
+            shared = set(heads[0]) & set(heads[1])
+            assert len(shared) >= least
+            for x, y, p, m in ((a, b, pa_, la), (b, a, pb, lb)):
+                assert all((185 * (len(x) + m - 1 - p.tolist().index(t))) // 85 - len(x) >= len(y) for t in shared)
+    assert met > 100
+
+
+def test_jaccard_join_of_groups_near_the_threshold(spark):
+    """Copies with so many changes that some link with their source, some only with each other and some with nothing; sizes differ."""
+    rng = random.Random(12)
+    base, items = [f"b{i}" for i in range(150)], []
+    for i in range(150):
+        w = list(base)
+        for _ in range(rng.randint(0, 7)):
+            if rng.random() < 0.5:
+                w[rng.randrange(len(w))] = f"x{rng.randint(0, 400)}"
+            else:
+                del w[rng.randrange(len(w))]
+        items.append((i, " ".join(w)))
+    want, groups, _ = brute_components(items, 4, 85)
+    assert 5 < len(groups) < 140
+    got = jaccard_join.jaccard_classes(docs_of(spark, items), 4, 85, sketch_bits=10).collect()
+    assert sorted(((r["doc_id"], r["n"], r["component_id"]) for r in got), key=str) == want
+
+
+def test_keep_one_keeps_clashing_columns(spark):
+    names = ["_own", "_key", "_stay", "key", "n", "comp", "doc.id"]
+    rows = [(i, t, *[f"{c}{i}" for c in names]) for i, t in ((1, "a b c d e f g"), (2, "a b c d e f g"), (3, None), (3, ""), (4, "other words"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names))
+    got = jaccard_join.keep_one(df)
+    assert got.columns == df.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((r for r in rows if r[0] != 2), key=str)
 
 
 def test_words_and_shingles():

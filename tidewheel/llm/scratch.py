@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -14,10 +15,15 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a temporary one only if the session names none."""
+    """The folder that all executors share, as the session names it.
+
+    Only a local session may leave it out, as tests do, and gets a folder of its own.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tidewheel-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix="spark-tidewheel-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
@@ -26,7 +32,7 @@ def save(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends here.
 
     The table outlives any executor, and unlike a cached one is not recomputed
-    when an executor goes away.
+    when an executor goes away.  ``free`` takes it away.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewheel/{name}-{uuid.uuid4().hex}"
@@ -34,6 +40,24 @@ def save(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def free(*tables: DataFrame) -> None:
+    """Delete saved tables of which every reader has been written or collected."""
+    for table in tables:
+        spark = table.sparkSession
+        for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def numbered(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """The table with its columns renamed to c0, c1, ..., and the new names of the wanted ones.
+
+    What an operator adds can't clash with these, whatever the caller's columns
+    are called; ``toDF(*df.columns)`` gives the names back.
+    """
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))]), [f"c{df.columns.index(x)}" for x in wanted]
+
+
 #: Rows that a Python worker gets at once, at most: texts are long, and so few of them fill a batch.
 TEXT_ROWS = 1000
 

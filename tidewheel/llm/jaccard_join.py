@@ -218,12 +218,16 @@ def _candidates(shared: DataFrame, comps: DataFrame, known: DataFrame, percent:
     at = shared.join(comps, F.col("key") == F.col("node"), "left").select("token", "key", "n", "matches", "place", far.alias("reach"), F.coalesce("comp", "key").alias("comp"))
     at = save(at, "placed")
     # A list by component and size: what can't hold a pair here is not opened.
-    sums = at.groupBy("token", "comp", "n").agg(F.max("reach").alias("reach"))
-    a, b = (sums.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "reach")]) for x in "ab")
+    sums = at.groupBy("token", "comp", "n").agg(F.max("reach").alias("reach"), F.min("matches").alias("matches"))
+    a, b = (sums.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "reach", "matches")]) for x in "ab")
     smaller = (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("comp_a") < F.col("comp_b")))
     near = (F.col("reach_a") >= F.col("n_b")) & (F.col("reach_b") >= F.col("n_a")) & (100 * F.col("n_a") >= percent * F.col("n_b"))
     # The smaller one has to reach a larger one: most lists have few such sums.
-    meet = a.where("reach_a >= n_a").join(b, "token").where((F.col("comp_a") != F.col("comp_b")) & smaller & near).select("token", "comp_a", "n_a", "comp_b", "n_b")
+    met = save(a.where("reach_a >= n_a").join(b, "token").where((F.col("comp_a") != F.col("comp_b")) & smaller & near).drop("reach_a", "reach_b"), "meet")
+    # Two sums must meet on as many lists as a pair of theirs must share.
+    sizes = ["comp_a", "n_a", "comp_b", "n_b"]
+    often = met.groupBy(*sizes).agg(F.count("*").alias("lists"), F.min(F.least("matches_a", "matches_b")).alias("least")).where("lists >= least")
+    meet = met.join(often.select(*sizes), sizes).select("token", *sizes)
     side = lambda x: at.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("comp", "n", "key", "matches", "place", "reach")])
     one = meet.join(side("a"), ["token", "comp_a", "n_a"]).where(F.col("reach_a") >= F.col("n_b"))
     two = one.join(side("b"), ["token", "comp_b", "n_b"]).where(F.col("reach_b") >= F.col("n_a"))
@@ -231,7 +235,7 @@ def _candidates(shared: DataFrame, comps: DataFrame, known: DataFrame, percent:
     inside = (F.col("place_a") < F.col("n_a") - o + least) & (F.col("place_b") < F.col("n_b") - o + least)
     found = two.where(inside).groupBy(*_ordered(F.col("key_a"), F.col("key_b")), least.alias("least")).agg(F.count("*").alias("hits"))
     out = save(found.where("hits >= least").select("a", "b", "hits").join(known, ["a", "b"], "left_anti"), "crossed")
-    free(at)
+    free(at, met)
     return out
 
 

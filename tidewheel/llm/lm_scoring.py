@@ -1,18 +1,17 @@
 """Language-model scoring with a causal self-attention model, trained in numpy on subword ids.
 
-The model: one layer of masked self-attention over learned tables of queries,
-keys and values with a bias for each distance, a residual feed-forward layer,
-and a softmax in two levels (class, then id in its class) over the ``VOCAB``
+The model: one layer of masked self-attention over a learned table of embeddings, queries,
+keys and values with a bias for each distance, and a softmax in two levels (class, then id in its class) over the ``VOCAB``
 most frequent ids; the rest share the probability of one more id by their counts
-(one more than the true ones), so that all ids have one.  A text is scored in overlapping windows of ``CONTEXT + STEP`` inputs: each
-window scores its last ``STEP`` positions, so every id is scored once and sees at
+(one more than the true ones), so that all ids have one and all together 1.  A text is scored in overlapping windows of
+``CONTEXT + STEP`` inputs: each window scores its last ``STEP`` positions, so every id is scored once and sees at
 least ``CONTEXT`` ids before it, as far as there are so many.
 
-Training has two parts.  The counts of ids over all training texts give the vocabulary,
-and a bounded sample of them a first model on the driver.  Then every task goes on training on all windows of all
-training texts that it holds, each once, and the models are averaged, weighted by their
-windows, so what is learned from grows with the corpus while what the
-driver gets does not.
+Texts are encoded once.  The counts of ids over all training texts give the vocabulary.
+Training texts are dealt out by a hash of id and text into parts of about ``PART_TEXTS``, in
+one order, whatever partitions they come in.  One part trains a first model; from that all other parts go on, and their
+models are averaged, weighted by their windows.  So all windows of all training texts are learned from, each once,
+the result does not depend on how the table is partitioned, and the driver gets one model.
 
 The base score needs the training count of every word.  Counts are exact and
 stay distributed: the ``TOP`` most frequent words, a bounded table, are looked
@@ -20,13 +19,15 @@ up in the tasks, all others by a join on the word's 64-bit hash, after
 equal words of a text are put together.
 
 Defined results: null and empty texts have only the end; rows with null or
-repeated ids are scored row by row; without training rows every word is unknown
-and the model is the untrained one; an empty table gives an empty result; extra
-input columns are dropped.
+repeated ids are scored row by row; rows that repeat an id and a text count for each row, but train the model once;
+without training rows every word is unknown
+and the model gives all ids the same probability; very long texts are read whole, window by window; an empty table gives an empty result; extra
+input columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,34 +36,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import subwords, textkit
-from tidewheel.llm.scratch import doc_hash, save, small_batches
-
-#: Ids with a probability of their own, in CLASSES equal classes; sizes of vectors and of the inner layer; inputs before the scored ones; scored ones.
-VOCAB, CLASSES, DIM, INNER, CONTEXT, STEP = 2304, 48, 32, 48, 8, 12
-#: Texts of the first part; windows a step and steps; counts kept in the tasks; texts handled at once.
-SAMPLE, BATCH, STEPS, TOP, ROWS = 1500, 256, 1000, 1 << 16, 500
-LEARN, LEARN_LATER, SEED = 2e-2, 1e-3, 5
-SPAN = CONTEXT + STEP
-EACH = VOCAB // CLASSES
+from tidewheel.llm.scratch import doc_hash, free, save, small_batches
+
+#: Ids with a probability of their own, in CLASSES equal classes; sizes of embeddings and values, of queries and keys; inputs before the scored ones; scored ones.
+VOCAB, CLASSES, DIM, HEAD, CONTEXT, STEP = 2304, 48, 24, 8, 8, 24
+#: Training texts of a part; windows of a step; steps whose windows are mixed; counts kept in the tasks; texts handled at once.
+PART_TEXTS, BATCH, MIXED, TOP, ROWS = 4096, 256, 64, 1 << 16, 500
+LEARN, SEED = 5e-2, 5
+SPAN, EACH, WIDTH = CONTEXT + STEP, VOCAB // CLASSES, 2 * (DIM + HEAD)
+E, Q, K, V = (slice(a, b) for a, b in ((0, DIM), (DIM, DIM + HEAD), (DIM + HEAD, DIM + 2 * HEAD), (DIM + 2 * HEAD, WIDTH)))
 _END = np.uint64(0)  # stands for the end among word hashes
+_NEVER = np.float32(-1e9)
 
 
 class Attention:
     """Parameters by name, forward and backward passes."""
 
-    def __init__(self, ids: np.ndarray, total_ids: int, rng: np.random.Generator, counts: np.ndarray | None = None):
-        """ids: the vocabulary by falling frequency; number 0 stands for all others, VOCAB for what comes before a text.  counts: of every id, for the shares of the others (else even ones)."""
-        self.number = np.zeros(total_ids, dtype=np.int32)
-        self.number[ids[: VOCAB - 1]] = np.arange(1, min(len(ids), VOCAB - 1) + 1)
-        self.others = max(1, total_ids - min(len(ids), VOCAB - 1))
-        weight = (self.number == 0) * (1.0 if counts is None else counts + 1.0)
-        self.uneven = np.where(weight > 0, np.log(np.maximum(weight, 1) / max(1, weight.sum()) * self.others), 0)
-        draw = lambda *s, by=0.1: rng.normal(0, by, s).astype(np.float32)
-        self.p = {
-            "e": draw(VOCAB + 1, DIM), "q": draw(VOCAB + 1, DIM), "k": draw(VOCAB + 1, DIM), "v": draw(VOCAB + 1, DIM), "near": np.zeros(SPAN, dtype=np.float32),
-            "w1": draw(DIM, INNER, by=DIM**-0.5), "b1": np.zeros(INNER, dtype=np.float32), "w2": draw(INNER, DIM, by=INNER**-0.5),
-            "c": draw(CLASSES, DIM), "bc": np.zeros(CLASSES, dtype=np.float32), "w": draw(CLASSES, EACH, DIM), "bw": np.zeros((CLASSES, EACH), dtype=np.float32),
-        }
+    def __init__(self, counts: np.ndarray):
+        """counts: of every id in the training texts.  Number 0 stands for all ids without a number of their own, VOCAB for what comes before a text."""
+        rng, order = np.random.default_rng(SEED), np.argsort(-counts, kind="stable")
+        ids = order[counts[order] > 0][: VOCAB - 1]
+        self.number = np.zeros(len(counts), dtype=np.uint16)
+        self.number[ids] = np.arange(1, len(ids) + 1)
+        weight = (self.number == 0) * (counts + 1.0)
+        self.share = np.where(weight > 0, np.log(np.maximum(weight, 1) / max(1.0, weight.sum())), 0)
+        seen = np.zeros(VOCAB)
+        np.add.at(seen, self.number, counts + 1.0)
+        seen = seen.reshape(CLASSES, EACH)
+        draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
+        # Numbers that no id has, and classes of such, never get a probability; the others begin at their frequency.
+        log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1) / seen.sum()), _NEVER).astype(np.float32)
+        self.p = {"t": draw(VOCAB + 1, WIDTH), "near": np.zeros(SPAN, dtype=np.float32), "c": draw(CLASSES, DIM), "bc": log(seen.sum(axis=1)), "w": draw(CLASSES, EACH, DIM), "bw": log(seen)}
+        self.squares = {n: np.full_like(v, 1e-6) for n, v in self.p.items()}
         distance = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None]
         self.distance, self.future = np.maximum(distance, 0), distance < 0
 
@@ -72,125 +77,118 @@ class Attention:
         size = -(-n // STEP)
         row = np.repeat(np.arange(len(n)), size)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        at = nth[:, None] * STEP + np.arange(STEP)
-        inside = at < n[row][:, None]
-        flat = self.number[ids]
-        y = np.where(inside, flat[np.minimum(bounds[row][:, None] + at, len(flat) - 1)], -1)
-        back = nth[:, None] * STEP + np.arange(SPAN) - CONTEXT - 1
-        there = (back >= 0) & (back < n[row][:, None])
-        x = np.where(there, flat[np.clip(bounds[row][:, None] + back, 0, len(flat) - 1)], VOCAB)
+        pad = lambda k: np.full(k, VOCAB, dtype=np.uint16)
+        flat = np.concatenate([pad(CONTEXT + 1), self.number[ids], pad(STEP)])
+        at = bounds[row] + nth * STEP
+        x = flat[at[:, None] + np.arange(SPAN)]
+        place = nth[:, None] * STEP + np.arange(-CONTEXT - 1, STEP - 1)
+        x[(place < 0) | (place >= n[row][:, None])] = VOCAB
+        y = flat[at[:, None] + CONTEXT + 1 + np.arange(STEP)].astype(np.int32)
+        y[np.arange(STEP) >= (n[row] - nth * STEP)[:, None]] = -1
         return x, y, row
 
     def attend(self, x: np.ndarray) -> tuple:
-        p = self.p
-        q, k, v = p["q"][x[:, CONTEXT:]], p["k"][x], p["v"][x]
-        a = np.matmul(q, k.transpose(0, 2, 1)) * np.float32(DIM**-0.5) + np.where(self.future, np.float32(-1e9), p["near"][self.distance])
-        np.exp(a - a.max(axis=2, keepdims=True), out=a)
+        t = np.take(self.p["t"], x.ravel(), axis=0).reshape(len(x), SPAN, WIDTH)
+        q, k, v = t[:, CONTEXT:, Q], t[:, :, K], t[:, :, V]
+        a = np.matmul(q, k.transpose(0, 2, 1))
+        a *= np.float32(HEAD**-0.5)
+        a += np.where(self.future, _NEVER, self.p["near"][self.distance])
+        a -= a.max(axis=2, keepdims=True)
+        np.exp(a, out=a)
         a /= np.matmul(a, np.ones((SPAN, 1), dtype=a.dtype))
-        return q, k, v, a, p["e"][x[:, CONTEXT:]] + np.matmul(a, v)
-
-    @staticmethod
-    def _picked(x: np.ndarray, place: np.ndarray) -> np.ndarray:
-        """Log softmax at one place of each row."""
-        top = x.max(axis=1)
-        total = np.exp(x - top[:, None]) @ np.ones(x.shape[1], dtype=x.dtype)
-        return x[np.arange(len(x)), place] - top - np.log(total)
-
-    @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        h = np.matmul(a, v)
+        h += t[:, CONTEXT:, E]
+        return q, k, v, a, h
+
+    def predict(self, h: np.ndarray, target: np.ndarray, back: bool = False) -> tuple:
+        """Log probabilities of the targets; if asked, also the gradients of their mean loss by the output's parameters and by h."""
+        p, n, every = self.p, len(target), np.arange(len(target))
+        cls = (target // EACH).astype(np.uint16)
+        order = np.argsort(cls, kind="stable")
+        z, cls = h[order], cls[order].astype(np.int64)
+        place, cuts = target[order] - cls * EACH, np.searchsorted(cls, np.arange(CLASSES + 1))
+        mine = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c + 1] > cuts[c]]
+        outer, inner = z @ p["c"].T, np.empty((n, EACH), dtype=z.dtype)
+        outer += p["bc"]
+        for c, s in mine:
+            np.matmul(z[s], p["w"][c].T, out=inner[s])
+            inner[s] += p["bw"][c]
+        found = np.zeros(n, dtype=z.dtype)
+        for x, at in ((outer, cls), (inner, place)):
+            x -= x.max(axis=1, keepdims=True)
+            found += x[every, at]
+            np.exp(x, out=x)
+            total = np.matmul(x, np.ones((x.shape[1], 1), dtype=x.dtype))
+            found -= np.log(total[:, 0])
+            if back:
+                x /= total * n
+                x[every, at] -= z.dtype.type(1 / max(1, n))
+        out = np.empty_like(found)
+        out[order] = found
+        if not back:
+            return (out,)
+        g = {"c": outer.T @ z, "bc": outer.sum(axis=0), "w": np.zeros_like(p["w"]), "bw": np.zeros_like(p["bw"])}
+        dz = outer @ p["c"]
+        for c, s in mine:
+            g["w"][c], g["bw"][c] = inner[s].T @ z[s], inner[s].sum(axis=0)
+            dz[s] += inner[s] @ p["w"][c]
+        dh = np.empty_like(dz)
+        dh[order] = dz
+        return out, g, dh
 
     def log_probs(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        """Natural log probabilities of the targets, 0 past the end; of an id with number 0 when the others share evenly: ``uneven`` has what to add."""
-        p, out = self.p, np.zeros(y.shape)
+        """Natural log probabilities of the targets' numbers, 0 past the end."""
+        out = np.zeros(y.shape)
         for i in range(0, len(x), BATCH):
             on = y[i : i + BATCH] >= 0
-            h = self.attend(x[i : i + BATCH])[-1][on]
-            z = h + np.maximum(h @ p["w1"] + p["b1"], 0) @ p["w2"]
-            t = y[i : i + BATCH][on]
-            cls, place = t // EACH, t % EACH
-            order = np.argsort(cls.astype(np.uint16), kind="stable")
-            cuts = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-            inner = np.empty((len(t), EACH), dtype=z.dtype)
-            zs = z[order]
-            for c in range(CLASSES):
-                a, b = cuts[c], cuts[c + 1]
-                if b > a:
-                    inner[a:b] = zs[a:b] @ p["w"][c].T + p["bw"][c]
-            found = np.empty(len(t))
-            found[order] = self._picked(inner, place[order])
-            found += self._picked(z @ p["c"].T + p["bc"], cls)
-            found -= np.where(t == 0, np.log(self.others), 0)
-            out[i : i + BATCH][on] = found
+            out[i : i + BATCH][on] = self.predict(self.attend(x[i : i + BATCH])[-1][on], y[i : i + BATCH][on])[0]
         return out
 
     def gradients(self, x: np.ndarray, y: np.ndarray) -> dict[str, np.ndarray]:
-        p, on = self.p, y >= 0
+        """Of the mean loss of the targets, by parameter."""
+        on = y >= 0
         q, k, v, a, whole = self.attend(x)
-        h, t = whole[on], y[on]
-        cls, place, every = t // EACH, t % EACH, np.arange(len(t))
-        u = h @ p["w1"] + p["b1"]
-        r = np.maximum(u, 0)
-        z = h + r @ p["w2"]
-        scale = np.float32(1 / max(1, len(t)))
-        dc = np.exp(self._log_softmax(z @ p["c"].T + p["bc"]))
-        dc[every, cls] -= 1
-        dc *= scale
-        g = {"c": dc.T @ z, "bc": dc.sum(0), "w": np.zeros_like(p["w"]), "bw": np.zeros_like(p["bw"])}
-        dz = dc @ p["c"]
-        for c in range(CLASSES):
-            i = np.flatnonzero(cls == c)
-            if len(i):
-                d = np.exp(self._log_softmax(z[i] @ p["w"][c].T + p["bw"][c]))
-                d[np.arange(len(i)), place[i]] -= 1
-                d *= scale
-                g["w"][c], g["bw"][c] = d.T @ z[i], d.sum(0)
-                dz[i] += d @ p["w"][c]
-        g["w2"] = r.T @ dz
-        du = (dz @ p["w2"].T) * (u > 0)
-        g["w1"], g["b1"] = h.T @ du, du.sum(0)
+        _, g, d = self.predict(whole[on], y[on], back=True)
         dh = np.zeros_like(whole)
-        dh[on] = dz + du @ p["w1"].T
+        dh[on] = d
+        dt = np.zeros((len(x), SPAN, WIDTH), dtype=whole.dtype)
+        dt[:, CONTEXT:, E] = dh
+        dt[:, :, V] = np.matmul(a.transpose(0, 2, 1), dh)
         da = np.matmul(dh, v.transpose(0, 2, 1))
-        da = a * (da - (da * a).sum(axis=2, keepdims=True))
-        g["near"] = np.bincount(self.distance.ravel(), (da.sum(axis=0) * ~self.future).ravel(), SPAN).astype(np.float32)
-        da *= np.float32(DIM**-0.5)
-        last = x[:, CONTEXT:]
-        for name, at, d in (("e", last, dh), ("q", last, np.matmul(da, k)), ("k", x, np.matmul(da.transpose(0, 2, 1), q)), ("v", x, np.matmul(a.transpose(0, 2, 1), dh))):
-            g[name] = np.zeros_like(p[name])
-            np.add.at(g[name], at.ravel(), d.reshape(-1, DIM))
+        da -= (da * a).sum(axis=2, keepdims=True)
+        da *= a
+        g["near"] = np.bincount(self.distance.ravel(), (da.sum(axis=0) * ~self.future).ravel(), SPAN).astype(whole.dtype)
+        da *= np.float32(HEAD**-0.5)
+        dt[:, CONTEXT:, Q] = np.matmul(da, k)
+        dt[:, :, K] = np.matmul(da.transpose(0, 2, 1), q)
+        # Rows of the table are summed up by number, in order.
+        flat = x.ravel()
+        order = np.argsort(flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[order].astype(np.int64), prepend=-1))
+        g["t"] = np.zeros_like(self.p["t"])
+        g["t"][flat[order][first]] = np.add.reduceat(dt.reshape(-1, WIDTH)[order], first, axis=0)
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int, rate: float, rng: np.random.Generator) -> None:
-        """Adam over random windows, the rate falling to a tenth."""
-        if len(x):
-            self._descend(x, y, [rng.integers(len(x), size=min(BATCH, len(x))) for _ in range(steps)], rate)
-
-    def train_once(self, x: np.ndarray, y: np.ndarray, rate: float, rng: np.random.Generator) -> None:
-        """Adam over every window once, in random order."""
-        order = rng.permutation(len(x))
-        self._descend(x, y, [order[i : i + BATCH] for i in range(0, len(x), BATCH)], rate)
-
-    def _descend(self, x: np.ndarray, y: np.ndarray, picks: list[np.ndarray], rate: float) -> None:
-        steps = len(picks)
-        first, second = ({n: np.zeros_like(v) for n, v in self.p.items()} for _ in range(2))
-        for s, pick in enumerate(picks):
-            now = rate * (1 - 0.9 * s / steps)
+    def train(self, x: np.ndarray, y: np.ndarray) -> None:
+        """Adagrad over every window once, in a fixed random order."""
+        mixed = np.random.default_rng(SEED).permutation(len(x))
+        for i in range(0, len(x), BATCH):
+            pick = mixed[i : i + BATCH]
             for n, g in self.gradients(x[pick], y[pick]).items():
-                first[n] += 0.1 * (g - first[n])
-                second[n] += 0.01 * (g * g - second[n])
-                up = first[n] / (1 - 0.9 ** (s + 1)) / (np.sqrt(second[n] / (1 - 0.99 ** (s + 1))) + 1e-8)
-                self.p[n] = (self.p[n] - now * up).astype(np.float32)
+                self.squares[n] += g * g
+                g *= g.dtype.type(LEARN)
+                g /= np.sqrt(self.squares[n])
+                self.p[n] -= g
 
     def packed(self) -> bytes:
-        return np.concatenate([v.ravel() for v in self.p.values()]).astype("<f4").tobytes()
+        return np.concatenate([v.ravel() for d in (self.p, self.squares) for v in d.values()]).astype("<f4").tobytes()
 
     def unpack(self, flat: np.ndarray) -> None:
         at = 0
-        for n, v in self.p.items():
-            self.p[n] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
-            at += v.size
+        for d in (self.p, self.squares):
+            for n, v in d.items():
+                d[n] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+                at += v.size
 
 
 def encode(texts: pa.Array, path: str, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -208,59 +206,107 @@ def parts(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.Re
             yield batch.slice(i, rows)
 
 
-def _id_counts(path: str, end_id: int) -> Callable:
-    def id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(subwords.coder(path).tokenizer.get_vocab_size(), dtype=np.int64)
+def _encoded(path: str, end_id: int) -> Callable:
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = packing(len(subwords.coder(path).closes))
+        met: set[int] = set()  # rows that repeat an id and a text need not travel again
         for batch in parts(batches):
-            counts += np.bincount(encode(batch.column("text"), path, end_id)[0], minlength=len(counts))
+            ids, bounds = encode(batch.column("text"), path, end_id)
+            data = pa.py_buffer(ids.astype(kind).tobytes())
+            column = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer(kind.itemsize * bounds.astype(np.int64)), data]).cast(pa.binary())
+            again = []
+            for key in batch.column("key").to_pylist():
+                again.append(key in met)
+                met.add(key)
+            learn = np.asarray(batch.column("learn").to_pylist(), dtype=bool) & ~np.array(again, dtype=bool)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(learn), column], ["key", "learn", "ids"])
+
+    return encoded
+
+
+def packing(total: int) -> np.dtype:
+    """How so many different ids are packed."""
+    return np.dtype("<u2" if total <= 1 << 16 else "<u4")
+
+
+def _flat(column: pa.Array, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and row offsets of a column of packed ids."""
+    kind = packing(total)
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], dtype=np.int64)[column.offset : column.offset + len(column) + 1]
+    data = np.frombuffer(column.buffers()[2] or b"", dtype=np.uint8)[offsets[0] : offsets[-1]]
+    return data.view(kind), (offsets - offsets[0]) // kind.itemsize
+
+
+def _id_counts(total: int) -> Callable:
+    def id_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(total, dtype=np.int64)
+        for batch in batches:
+            counts += np.bincount(_flat(batch.column("ids"), total)[0], minlength=total)
         ids = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], ["id", "n"])
 
     return id_counts
 
 
-def id_counts(training: DataFrame, path: str, end_id: int) -> np.ndarray:
+def id_counts(training: DataFrame, total: int) -> np.ndarray:
     """How often each of the tokenizer's ids occurs in all training texts."""
-    rows = training.select("text").mapInArrow(_id_counts(path, end_id), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros(subwords.coder(path).tokenizer.get_vocab_size(), dtype=np.int64)
+    rows = training.select("ids").mapInArrow(_id_counts(total), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(total, dtype=np.int64)
     counts[rows.column("id").to_numpy()] = rows.column("n").to_numpy()
     return counts
 
 
-def first_model(training: DataFrame, path: str, end_id: int) -> Attention:
-    """The vocabulary of all texts and a model of at most SAMPLE of them, those with the least hashes."""
-    counts = id_counts(training, path, end_id)
-    ids = training.select("key").distinct().orderBy(F.xxhash64("key"), "key").limit(SAMPLE)
-    rows = training.join(F.broadcast(ids), "key").dropDuplicates(["key"]).orderBy("key").select("text").toArrow()
-    rng = np.random.default_rng(SEED)
-    flat, bounds = encode(rows.column("text"), path, end_id)
-    order = np.argsort(-counts, kind="stable")
-    model = Attention(order[counts[order] > 0], len(counts), rng, counts)
-    x, y, _ = model.windows(flat, bounds)
-    model.train(x, y, STEPS, LEARN, rng)
-    return model
-
-
-def _go_on(model, path: str, end_id: int) -> Callable:
-    def go_on(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, rng, xs, ys, seen = model.value, np.random.default_rng(SEED), [], [], 0
-        start = own.packed()
-        for batch in parts(batches):
-            x, y, _ = own.windows(*encode(batch.column("text"), path, end_id))
-            xs.append(x)
-            ys.append(y)
-            if (held := sum(map(len, xs))) >= 8 * BATCH:
-                own.train_once(np.concatenate(xs), np.concatenate(ys), LEARN_LATER, rng)
-                seen += held
-                xs, ys = [], []
-        if left := sum(map(len, xs)):
-            own.train_once(np.concatenate(xs), np.concatenate(ys), LEARN_LATER, rng)
-            seen += left
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([seen % 16], pa.int32()), pa.array([float(seen)]), pa.array([own.packed()], pa.binary())], ["bucket", "weight", "model"])
-        own.unpack(np.frombuffer(start, dtype="<f4"))  # a worker's next task begins from the same model
-
-    return go_on
+def _trained(model: Attention, start: bytes, rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> int:
+    """Train from ``start`` on all windows of the texts, in their order, however they are batched; returns the number of windows."""
+    model.unpack(np.frombuffer(start, dtype="<f4"))
+    x, y, seen, most = [], [], 0, MIXED * BATCH
+    for ids, bounds in rows:
+        for kept, new in zip((x, y), model.windows(ids, bounds), strict=False):
+            kept.append(new)
+        while sum(map(len, x)) >= most:
+            x, y = ([np.concatenate(v)] for v in (x, y))
+            model.train(x[0][:most], y[0][:most])
+            x, y, seen = [x[0][most:]], [y[0][most:]], seen + most
+    left = sum(map(len, x))
+    if left:
+        model.train(np.concatenate(x), np.concatenate(y))
+    return seen + left
+
+
+def _train_parts(model) -> Callable:
+    def train_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The allocator keeps blocks up to the largest one that was ever freed: without this every large array is mapped anew.
+        np.empty(31 << 20, dtype=np.uint8)
+        own, start = model.value
+        now, rest = None, iter([])
+
+        def of_part() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """The texts of the part ``now``, each key once; sets ``now`` to the next one, or to None."""
+            nonlocal now, rest
+            part, last = now, None
+            now = None
+            for batch in rest:
+                number, keys = batch.column("part").to_numpy(), batch.column("key").to_numpy()
+                n = int(np.searchsorted(number, part, side="right"))
+                new = np.diff(keys[:n], prepend=keys[:1]) != 0
+                new[:1] = last is None or keys[0] != last
+                last = keys[n - 1] if n else last
+                yield _flat(batch.column("ids").slice(0, n).filter(pa.array(new)), len(own.number))
+                if n < batch.num_rows:
+                    now, left, more = int(number[n]), batch.slice(n), rest
+                    rest = (b for group in ([left], more) for b in group)
+                    return
+
+        for first in batches:
+            if first.num_rows:
+                now, rest = int(first.column("part")[0].as_py()), (b for group in ([first], batches) for b in group if b.num_rows)
+                break
+        while now is not None:
+            part, seen = now, _trained(own, start, of_part())
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(seen)]), pa.array([own.packed()], pa.binary())], ["part", "weight", "model"])
+
+    return train_parts
 
 
 def _average(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,18 +315,27 @@ def _average(key: tuple, rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for w, m in zip(batch.column("weight").to_pylist(), batch.column("model"), strict=True):
             own = np.frombuffer(m.as_py(), dtype="<f4").astype(np.float64) * w
             total, weight = own if total is None else total + own, weight + w
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([weight]), pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())], ["bucket", "weight", "model"])
-
-
-def fit(training: DataFrame, path: str, end_id: int) -> Attention:
-    """The averaged model of all training texts (columns key, text)."""
-    model = first_model(training, path, end_id)
-    schema = "bucket int, weight double, model binary"
-    trained = training.select("text").mapInArrow(_go_on(training.sparkSession.sparkContext.broadcast(model), path, end_id), schema)
-    merged = trained.groupBy("bucket").applyInArrow(_average, schema).collect()  # 16 rows at most
-    if merged:
-        weights = np.array([r["weight"] for r in merged])
-        model.unpack(sum(np.frombuffer(r["model"], dtype="<f4") * w for r, w in zip(merged, weights / weights.sum(), strict=True)))
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([weight]), pa.array([(total / weight).astype("<f4").tobytes()], pa.binary())], ["part", "weight", "model"])
+
+
+SCHEMA = "part long, weight double, model binary"
+
+
+def fit(training: DataFrame, total: int, part_texts: int | None = None) -> Attention:
+    """The model of all training texts (saved, columns key, ids; rows of one key are one text).  total: of the tokenizer's ids."""
+    model = Attention(id_counts(training, total))
+    n = math.ceil(training.select("key").distinct().count() / (part_texts or PART_TEXTS))
+    texts = training.select(F.pmod(F.xxhash64("key"), F.lit(max(1, n))).alias("part"), "key", "ids")
+    for some, tasks in ((texts.where("part = 0"), 1), (texts.where("part > 0"), max(1, n - 1))):
+        shared = training.sparkSession.sparkContext.broadcast((model, model.packed()))
+        trained = some.repartition(tasks, "part").sortWithinPartitions("part", "key").mapInArrow(_train_parts(shared), SCHEMA)
+        for groups in (max(16, math.isqrt(n)), 16):  # no task adds up more than the root of the number of parts
+            trained = trained.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInArrow(_average, SCHEMA)
+        merged = sorted(trained.collect(), key=lambda r: r["part"])  # 16 rows at most
+        if merged:
+            weights = np.array([r["weight"] for r in merged])
+            model.unpack(sum(np.frombuffer(r["model"], dtype="<f4") * w for r, w in zip(merged, weights / weights.sum(), strict=True)))
+        shared.destroy()
     return model
 
 
@@ -299,27 +354,42 @@ def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], ["word", "n"])
 
 
-def _score(model, top, path: str, end_id: int) -> Callable:
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        attention, (words, counts) = model.value, top.value
-        for batch in parts(batches):
-            ids, bounds = encode(batch.column("text"), path, end_id)
-            x, y, row = attention.windows(ids, bounds)
-            total = np.bincount(row, attention.log_probs(x, y).sum(axis=1), batch.num_rows)
-            total = (total + np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(bounds)), attention.uneven[ids], batch.num_rows)) / np.log(10)
-            tokens, known, base = ([] for _ in range(3))
+def _base(top) -> Callable:
+    def base_scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = top.value
+        end = int(_lookup(np.zeros(1, dtype=np.uint64), words, counts)[0])
+        for batch in parts(batches, 4 * ROWS):
+            tokens, known, base, lists, sizes = ([] for _ in range(5))
             for h, b in _text_words(batch.column("text")):
                 c = _lookup(h, words, counts)
-                of = np.repeat(np.arange(len(b) - 1), np.diff(b))
-                end = _lookup(np.zeros(1, dtype=np.uint64), words, counts)[0]
+                rows = len(b) - 1
+                of = np.repeat(np.arange(rows), np.diff(b))
                 tokens.append(np.diff(b) + 1)
-                known.append(np.bincount(of, c > 0, len(b) - 1) + (end > 0))
-                base.append(np.bincount(of, np.log10(c + 1), len(b) - 1) + np.log10(end + 1))
-            tokens, known, base = (np.concatenate(v) if v else np.zeros(0) for v in (tokens, known, base))
+                known.append(np.bincount(of, c > 0, rows) + (end > 0))
+                base.append(np.bincount(of, np.log10(c + 1), rows) + np.log10(end + 1))
+                lists.append(h[c == 0])
+                sizes.append(np.bincount(of, c == 0, rows))
+            tokens, known, base, sizes = (np.concatenate(v) if v else np.zeros(0) for v in (tokens, known, base, sizes))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+            rare = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(lists).view(np.int64) if lists else np.zeros(0, dtype=np.int64)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("key"), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), pa.array(total)], ["doc_id", "key", "n_tokens", "known", "base", "score"]
+                [batch.column("doc_id"), batch.column("key"), pa.array(tokens.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base.astype(float)), rare], ["doc_id", "key", "n_tokens", "known", "base", "rare"]
             )
 
+    return base_scores
+
+
+def _score(model) -> Callable:
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        np.empty(31 << 20, dtype=np.uint8)  # as in training
+        attention = model.value
+        for batch in parts(batches):
+            ids, bounds = _flat(batch.column("ids"), len(attention.number))
+            x, y, row = attention.windows(ids, bounds)
+            total = np.bincount(row, attention.log_probs(x, y).sum(axis=1), batch.num_rows)
+            total = total + np.bincount(np.repeat(np.arange(batch.num_rows), np.diff(bounds)), attention.share[ids], batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(total / np.log(10))], ["key", "score"])
+
     return score
 
 
@@ -331,24 +401,6 @@ def _lookup(h: np.ndarray, words: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return np.where(words[at] == h, counts[at], 0)
 
 
-def _rare(top) -> Callable:
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = top.value
-        for batch in parts(batches):
-            keys = batch.column("key").to_numpy()
-            out, at = [], 0
-            for h, b in _text_words(batch.column("text")):
-                of = np.repeat(np.arange(at, at + len(b) - 1), np.diff(b))
-                on = _lookup(h, words, counts) == 0
-                out.append((of[on], h[on]))
-                at += len(b) - 1
-            if out:
-                of, h = (np.concatenate(v) for v in zip(*out, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(keys[of]), pa.array(h.view(np.int64))], ["key", "word"])
-
-    return rare
-
-
 def score_texts(docs: DataFrame, path: str, training: Column | None = None, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, n_known, train_tokens, base_score, score.  training: which rows to learn from."""
     spark = docs.sparkSession
@@ -356,24 +408,29 @@ def score_texts(docs: DataFrame, path: str, training: Column | None = None, end_
     training = doc_hash(id_col) % 7 != 2 if training is None else training
     text = F.coalesce(F.col(text_col), F.lit(""))
     keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("key"), text.alias("text"), training.alias("learn"))
-    learn = keyed.where("learn").select("key", "text")
-    counts = save(learn.select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
+    counts = save(keyed.where("learn").select("text").mapInArrow(_word_counts, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     often = counts.orderBy(F.desc(F.col("word") == 0), F.desc("n"), "word").limit(TOP).toArrow()  # the end is always there
     words = often.column("word").to_numpy().view(np.uint64)
     order = np.argsort(words)
     top = spark.sparkContext.broadcast((words[order], often.column("n").to_numpy()[order]))
-    model = spark.sparkContext.broadcast(fit(learn, path, end_id))
+    encoded = save(keyed.select("key", "text", "learn").mapInArrow(_encoded(path, end_id), "key long, learn boolean, ids binary"), "encoded", compression="zstd")
+    model = spark.sparkContext.broadcast(fit(encoded.where("learn").select("key", "ids"), subwords.coder(path).tokenizer.get_vocab_size()))
+    scores = save(encoded.select("key", "ids").mapInArrow(_score(model), "key long, score double"), "scores")
+    free(encoded)
 
     kind = keyed.schema["doc_id"].dataType.simpleString()
-    scored = save(keyed.select("doc_id", "key", "text").mapInArrow(_score(model, top, path, end_id), f"doc_id {kind}, key long, n_tokens long, known long, base double, score double"), "scored")
-    # Rows that are equal in id and text have one key: each takes its share of what the key sums up to.
-    rare = keyed.select("key", "text").mapInArrow(_rare(top), "key long, word long").groupBy("key", "word").agg(F.count("*").alias("times"))
-    met = rare.join(counts, "word").groupBy("key").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more"))
-    copies = scored.groupBy("key").agg(F.count("*").alias("copies"))
-    extra = met.join(copies, "key")
-    share = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0))
-    out = scored.join(extra, "key", "left")
+    based = keyed.select("doc_id", "key", "text").mapInArrow(_base(top), f"doc_id {kind}, key long, n_tokens long, known long, base double, rare array<long>")
+    based = save(based, "based", compression="zstd")
+    model.destroy()
+    top.destroy()
+    # Rows that are equal in id and text have one key, and each takes its share of what the key sums up to.
+    rare = based.select("key", F.explode("rare").alias("word"))
+    met = rare.join(counts, "word").select("key", F.lit(1).alias("more_known"), F.log10(F.col("n") + 1).alias("more"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("copies"))
+    own = scores.select("key", F.lit(0).alias("more_known"), F.lit(0.0).alias("more"), "score", F.lit(1).alias("copies"))
+    extra = met.unionByName(own).groupBy("key").agg(F.sum("more_known").alias("more_known"), F.sum("more").alias("more"), F.max("score").alias("score"), F.sum("copies").alias("copies"))
+    out = based.drop("rare").join(extra, "key")
+    share = lambda c: F.col(c) / F.col("copies")
     return out.select(
-        "doc_id", "n_tokens", (F.col("known") + share("more_known")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + share("more") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"), "score"
+        "doc_id", "n_tokens", (F.col("known") + F.round(share("more_known"))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + share("more") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"), "score"
     )

@@ -4,6 +4,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 from test_llm import brute_components, brute_rules, words_of
 from tidewheel.llm import subwords
 
@@ -38,6 +39,27 @@ def test_stages_keep_their_columns(spark, folder):
     assert corpus_pipeline.apply_rules(spark, docs, path).columns == docs.columns
 
 
+#: Names that the operators use inside, or once did.
+CLASHES = ["failed", "n_words", "word_chars", "w", "l", "_w", "_own", "_key", "_stay", "key", "stay", "id", "alone", "nth", "score", "_score", "_gone", "_mark", "gone", "mark", "c0", "c1", "n", "comp", "doc.id", "Tokens"]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_stages_leave_columns_alone(spark, folder, name):
+    """Columns with any name come through with their values; rows stay as without them."""
+    path, _ = folder
+    docs = spark.read.parquet(f"{path}/documents.parquet")
+    more = docs.select("*", *[F.concat(F.lit(f"{c} "), F.coalesce("text", F.lit(""))).alias(c) for c in CLASHES])
+    stage = dict(corpus_pipeline.STAGES)[name]
+    plain, got = stage(spark, docs, path), stage(spark, more, path)
+    if name == "packing":
+        assert got.columns == plain.columns and got.count() == plain.count()
+        return
+    assert got.columns == more.columns
+    rows = [tuple(r) for r in got.collect()]
+    assert all(r[5 + i] == f"{c} {r[1] or ''}" for r in rows for i, c in enumerate(CLASHES))
+    assert sorted((r[:5] for r in rows), key=str) == sorted(map(tuple, plain.collect()), key=str)
+
+
 def test_pipeline(spark, folder):
     path, docs = folder
     left = [(i, t) for i, t in docs if "zzzbad" not in (t or "")]

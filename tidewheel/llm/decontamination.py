@@ -2,26 +2,28 @@
 
 A document leaks an item if enough of the item's words stand in it, in whatever
 order its passages come.  Documents and items are first joined on shared seeds: runs of
-``SEED`` words, compared by hash.  For each pair that meets, greedy string tiling
-repeatedly takes the longest match of unmarked words, at least ``SEED`` long, in
+``SEED`` words, compared by hash; of a shorter item than three seeds, runs of a third of its words, but
+of ``LEAST`` at least.  For each pair that meets, greedy string tiling
+repeatedly takes the longest match of unmarked words, at least as long as a seed, in
 both texts and marks its words, so that tiles never overlap; matches are found by
-running Karp-Rabin hashes of the current length.  The item leaks if the marked
+running Karp-Rabin hashes of the current length and compared word by word.  The item leaks if the marked
 words make at least ``percent`` per cent of it.
 
-The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES``: each document
+The benchmark goes to the tasks in blocks of at most ``BLOCK_BYTES``, one after another: each document
 is read once per block, whole, and all its work stays in its task, so nothing is
-shuffled and a passage in very many documents makes no large group.  Items
-shorter than a seed are one seed of all their words.
+shuffled and a passage in very many documents makes no large group.  A block is gone before the next one comes.
 
-Defined results: null and blank texts and items meet nothing; repeated rows and
+Defined results: null and blank texts and items meet nothing; items of less than ``LEAST`` words are too short to tell
+anything and leak nowhere; very long texts are judged whole; of matches of equal length the first places count; repeated rows and
 null ids are judged row by row; repeated items count once for each row; an
-empty benchmark or table finds nothing; extra columns are kept by ``clean`` and
+empty benchmark or table finds nothing; extra columns are kept by ``clean``, whatever their names, and
 dropped by ``leaks``.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +32,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewheel.llm import textkit
-from tidewheel.llm.scratch import save, small_batches
+from tidewheel.llm.scratch import numbered, save, small_batches
 
-#: Words of a seed and least match; covered share of an item that makes a leak; the most of the benchmark's text in a task at once.
-SEED, PERCENT, BLOCK_BYTES = 8, 50, 16 << 20
+#: Words of a seed and least match; these of the shortest items; covered share of an item that makes a leak; the most of the benchmark's text in a task at once.
+SEED, LEAST, PERCENT, BLOCK_BYTES = 8, 4, 50, 16 << 20
 _ROLL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,6 +68,11 @@ def running(words: np.ndarray, size: int) -> np.ndarray:
         return textkit.mix(out)
 
 
+def seed_of(n: int) -> int:
+    """Words of a seed of an item of n words; 0 if it is too short."""
+    return min(SEED, max(LEAST, n // 3)) if n >= LEAST else 0
+
+
 def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[int, int, int]]:
     """Greedy string tiling: (place in item, place in text, length), longest first, ties by place.
 
@@ -92,14 +99,24 @@ def tiles(item: np.ndarray, text: np.ndarray, least: int = SEED) -> list[tuple[i
             return found
         hi, ht = running(item, low), running(text, low)
         at_i, at_t = matches(low)
+        order = np.argsort(ht[at_t], kind="stable")  # places of one hash stay in order
+        at_t, sorted_t = at_t[order], ht[at_t][order]
+        next_at = {h: int(a) for h, a in zip(*np.unique(sorted_t, return_index=True), strict=True)}
         for i in at_i.tolist():
             if not free_i[i : i + low].all():
                 continue
-            for t in at_t[ht[at_t] == hi[i]].tolist():
-                if free_t[t : t + low].all():
+            # A place that is not free, or whose words differ in spite of the hash, stays so: it is passed for good.
+            a = next_at[hi[i]]
+            while a < len(at_t) and sorted_t[a] == hi[i]:
+                t = int(at_t[a])
+                a += 1
+                if free_t[t : t + low].all() and np.array_equal(item[i : i + low], text[t : t + low]):
                     free_i[i : i + low] = free_t[t : t + low] = False
                     found.append((i, t, low))
                     break
+            next_at[hi[i]] = a
+        if not found or found[-1][2] != low:  # all that was left were collisions
+            return found
 
 
 def _blocks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[object, str]]]:
@@ -120,9 +137,9 @@ def _find(block, item_kind: pa.DataType, percent: int, narrow: int) -> Callable:
         items = list(_word_rows(pa.array(texts, pa.large_string())))
         by_size: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
         for i, words in enumerate(items):
-            if len(words):
-                h = running(words, min(SEED, len(words)))
-                by_size.setdefault(min(SEED, len(words)), []).append((h, np.full(len(h), i)))
+            if size := seed_of(len(words)):
+                h = running(words, size)
+                by_size.setdefault(size, []).append((h, np.full(len(h), i)))
         seeds = {}
         for size, parts in by_size.items():
             h, owner = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -142,7 +159,7 @@ def _find(block, item_kind: pa.DataType, percent: int, narrow: int) -> Callable:
                     for x in np.unique(hit):
                         met.update(owner[np.searchsorted(h, x) : np.searchsorted(h, x, side="right")].tolist())
                 for i in sorted(met):
-                    found = tiles(items[i], words)
+                    found = tiles(items[i], words, seed_of(len(items[i])))
                     marked = sum(n for _, _, n in found)
                     if 100 * marked >= percent * len(items[i]) > 0:
                         row.append(r)
@@ -159,28 +176,40 @@ def _find(block, item_kind: pa.DataType, percent: int, narrow: int) -> Callable:
     return find
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """A row for each document and item that leaks: ids (or the columns ``keep``), item_id, covered_words, item_words, tiles."""
+def _leaks(docs: DataFrame, benchmark: DataFrame, percent: int, keep: list[str], text: str, item_col: str, item_text: str) -> DataFrame:
+    """The columns ``keep`` of ``docs`` and what leaks, for every block of the benchmark."""
     from pyspark.sql.pandas.types import to_arrow_type
 
-    keep = [id_col] if keep is None else keep
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     kind = benchmark.schema[item_col].dataType
     schema = docs.select(*keep).schema.add("item_id", kind).add("covered_words", "long").add("item_words", "long").add("tiles", T.ArrayType(T.StructType([T.StructField(x, T.LongType()) for x in ("item_at", "text_at", "words")])))
-    out = None
-    for block in _blocks(benchmark, item_col, item_text):
-        held = docs.sparkSession.sparkContext.broadcast(block)
-        part = docs.select(*keep, F.col(text_col).alias("_text")).mapInArrow(_find(held, to_arrow_type(kind), percent, len(keep)), schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    narrow, out = docs.select(*keep, text), []
+    blocks = _blocks(benchmark, item_col, item_text)
+    block = next(blocks, None)
+    while block is not None:
+        held, block = spark.sparkContext.broadcast(block), next(blocks, None)
+        part = narrow.mapInArrow(_find(held, to_arrow_type(kind), percent, len(keep)), schema)
+        if block is not None or out:  # of several blocks each one's rows are written before the next is read
+            part = save(part, "leaks")
+            held.destroy()
+        out.append(part)
+    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], schema)
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """A row for each document and item that leaks: doc_id, item_id, covered_words, item_words, tiles."""
+    found = _leaks(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), benchmark, percent, ["doc_id"], "text", item_col, item_text)
+    return found.select("doc_id", "item_id", "covered_words", "item_words", "tiles")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that leak no item, with all their columns.
+def clean(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that leak no item, with all their columns unchanged.
 
     A row goes if its id and the hash of its text are those of a leaking row.
     """
-    mark = F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")))
-    found = leaks(docs.withColumn("_mark", mark), benchmark, percent, id_col, text_col, keep=["_mark"])
-    gone = save(found.select(F.col("_mark").alias("_gone")).distinct(), "leaking")
-    return docs.join(gone, mark == F.col("_gone"), "left_anti")
+    rows, (own_id, text) = numbered(docs, id_col, text_col)
+    mark = F.xxhash64(F.col(own_id), F.coalesce(F.col(text), F.lit("")))
+    found = _leaks(rows.select(mark.alias("mark"), F.col(text).alias("text")), benchmark, percent, ["mark"], "text", item_col, item_text)
+    gone = save(found.select(F.col("mark").alias("gone")).distinct(), "leaking")
+    return rows.join(gone, mark == F.col("gone"), "left_anti").toDF(*docs.columns)

@@ -7,7 +7,7 @@ words, from texts that mix runs of words of several documents, as code-switched
 text does.  Forward-backward gives each word's probabilities, and a
 document's are their mean.
 
-The model is fitted on at most ``SAMPLE`` rows, taken by the least hash of
+The model is fitted on at most ``SAMPLE`` rows of ``SAMPLE_BYTES``, taken by the least hash of
 their ids.  Scoring reads every whole text once, in Arrow batches, with no
 shuffle.  A text is laid out in blocks of words; each block's product of step
 matrices carries the messages across it, so the steps of one long text run
@@ -15,8 +15,9 @@ side by side too, and the result is that of a plain forward-backward pass.
 
 Defined results: null texts, and texts without a letter, are ``und`` with score
 0; repeated rows and null ids are judged row by row; without rows to learn
-from all texts are ``und``; an empty table gives an empty result; extra input
-columns are dropped.
+from all texts are ``und``; very long texts are read whole; of equally likely languages the first by name
+is taken; an empty table gives an empty result; extra input
+columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import textkit
+from tidewheel.llm.sampling import of_ids
 from tidewheel.llm.scratch import doc_hash, small_batches
 
-#: Rows to learn from; log2 of weight rows; bytes of affixes and of n-grams; mixed texts a step, words in each, steps.
-SAMPLE, BITS, AFFIXES, GRAMS, MIXED, LENGTH, STEPS = 2000, 17, (2, 3, 4), (2, 3), 64, 48, 150
+#: Rows to learn from, and bytes of their texts; log2 of weight rows; bytes of affixes and of n-grams; mixed texts a step, words in each, steps.
+SAMPLE, SAMPLE_BYTES, BITS, AFFIXES, GRAMS, MIXED, LENGTH, STEPS = 2000, 64 << 20, 17, (2, 3, 4), (2, 3), 64, 48, 150
 RATE, BLOCK, SEED = 0.3, 32, 11
 
 
@@ -119,12 +121,51 @@ class Crf:
         found = ahead.reshape(-1, k)[at]
         return found / found.sum(axis=1, keepdims=True)
 
+    def marginals(self, emissions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of texts of one length (texts x words x languages): each word's probabilities, and the expected number of each move.
+
+        As in ``posteriors`` a move leads to the first word too, from any language.
+        """
+        p = np.exp(emissions - emissions.max(axis=2, keepdims=True))
+        move, n = np.exp(self.moves.astype(np.float64)), p.shape[1]
+        ahead, back = np.empty_like(p), np.ones_like(p)
+        x = move.sum(axis=0) * p[:, 0]
+        ahead[:, 0] = x / x.sum(axis=1, keepdims=True)
+        for t in range(1, n):
+            x = (ahead[:, t - 1] @ move) * p[:, t]
+            ahead[:, t] = x / x.sum(axis=1, keepdims=True)
+            y = (p[:, n - t] * back[:, n - t]) @ move.T
+            back[:, n - t - 1] = y / y.sum(axis=1, keepdims=True)
+        each = ahead * back
+        pairs = ahead[:, :-1, :, None] * move * (p * back)[:, 1:, None, :]
+        each /= each.sum(axis=2, keepdims=True)
+        return each, (pairs / pairs.sum(axis=(2, 3), keepdims=True)).sum(axis=(0, 1)) + move / move.sum(axis=0) * each[:, 0].sum(axis=0)
+
+    def loss(self, emissions: np.ndarray, gold: np.ndarray) -> float:
+        """Minus the log probability of the languages ``gold`` (texts x words), summed over texts."""
+        enter = np.log(np.exp(self.moves.astype(np.float64)).sum(axis=0))
+        right = np.take_along_axis(emissions, gold[:, :, None], axis=2).sum() + self.moves[gold[:, :-1], gold[:, 1:]].sum() + enter[gold[:, 0]].sum()
+        x = emissions[:, 0] + enter
+        for t in range(1, emissions.shape[1]):
+            step = x[:, :, None] + self.moves
+            top = step.max(axis=1, keepdims=True)
+            x = (np.log(np.exp(step - top).sum(axis=1)) + top[:, 0]) + emissions[:, t]
+        top = x.max(axis=1, keepdims=True)
+        return float((np.log(np.exp(x - top).sum(axis=1)) + top[:, 0]).sum() - right)
+
+    def gradients(self, emissions: np.ndarray, gold: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of ``loss`` by emissions and by moves."""
+        p, moved = self.marginals(emissions)
+        np.put_along_axis(p, gold[:, :, None], np.take_along_axis(p, gold[:, :, None], axis=2) - 1, axis=2)
+        np.add.at(moved, (gold[:, :-1], gold[:, 1:]), -1)
+        move = np.exp(self.moves.astype(np.float64))
+        return p, moved - move / move.sum(axis=0) * np.bincount(gold[:, 0], minlength=len(move))
+
     def learn(self, docs: list[tuple[np.ndarray, np.ndarray, np.ndarray]], gold: np.ndarray) -> None:
         """Adagrad steps on texts that mix runs of 4 to 24 words of several documents."""
         rng = np.random.default_rng(SEED)
         by_lang = [np.flatnonzero(gold == y) for y in range(len(self.langs))]
         seen, seen_moves = np.full_like(self.weights, 1e-3), np.full_like(self.moves, 1.0)
-        bounds = np.arange(MIXED + 1) * LENGTH
         for _ in range(STEPS):
             picks: list[tuple[int, int]] = []
             while len(picks) < MIXED * LENGTH:
@@ -140,22 +181,15 @@ class Crf:
             parts = [docs[d][1][docs[d][2][i] : docs[d][2][i + 1]] for d, i in picks]
             n = np.array([len(g) for g in parts])
             begins, grams = np.concatenate([[0], np.cumsum(n)]), np.concatenate(parts)
-            p = self.posteriors(self.emissions(fixed, grams, begins), bounds)
-            grad = p
-            grad[np.arange(len(y)), y] -= 1
+            by_word, by_move = self.gradients(self.emissions(fixed, grams, begins).reshape(MIXED, LENGTH, -1), y.reshape(MIXED, LENGTH))
+            grad = by_word.reshape(len(y), -1)
             ids = np.concatenate([*fixed, grams])
             each = np.concatenate([*[grad] * len(fixed), np.repeat(grad / np.maximum(n, 1)[:, None], n, axis=0)])
             rows, where = np.unique(ids, return_inverse=True)
             g = np.stack([np.bincount(where, each[:, c], len(rows)) for c in range(len(self.langs))], axis=1).astype(np.float32) / MIXED
             seen[rows] += g**2
             self.weights[rows] -= RATE * g / np.sqrt(seen[rows])
-            # Transitions: what the model expects of neighbours, less what is there.
-            inner = np.arange(len(y) - 1)[(np.arange(len(y) - 1) + 1) % LENGTH != 0]
-            p[np.arange(len(y)), y] += 1
-            want = np.zeros_like(self.moves)
-            np.add.at(want, (y[inner], y[inner + 1]), 1)
-            pair = p[inner][:, :, None] * np.exp(self.moves)[None] * p[inner + 1][:, None, :]
-            g = ((pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0) - want) / len(inner)
+            g = by_move / (MIXED * LENGTH)
             seen_moves += g**2
             self.moves -= (RATE * g / np.sqrt(seen_moves)).astype(np.float32)
 
@@ -166,7 +200,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = known.where(doc_hash("doc_id") % 5 != 0).where(F.col("text").rlike(r"\p{L}"))
     # Ids first, so that the sort carries no texts.
     ids = known.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = known.join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
+    rows = of_ids(known, ids, SAMPLE_BYTES)
     docs_, gold = [], []
     langs = sorted(set(rows.column("lang").to_pylist()))
     at = 0

@@ -11,9 +11,9 @@ their places by their rank among the pieces of their length: ranks are counted
 inside each task when pieces are written, and offsets of (task, length) pairs
 make them global.  No text and no piece passes through the driver.
 
-Defined results: null and empty texts have the end id alone; rows with equal
-or null ids are packed row by row; an empty table gives an empty result; extra
-input columns are dropped.
+Defined results: null and empty texts have the end id alone; very long texts are cut, but lose nothing; rows with equal
+or null ids are packed row by row; which of the pieces of one length comes first is left open; an empty table gives an empty result; extra
+input columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -142,5 +142,6 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
     places = docs.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("part", "length", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    ranked = pieces.join(offsets, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("local")).alias("rank"))
+    # There are as many offsets as tasks times lengths, so they are never broadcast.
+    ranked = pieces.join(offsets.hint("merge"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first") + F.col("local")).alias("rank"))
     return ranked.mapInArrow(_place(places), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")

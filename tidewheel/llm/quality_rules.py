@@ -9,8 +9,9 @@ pre-aggregate to at most ``2 ** rules`` rows per task.
 
 Defined results: a null text counts as an empty one (no words, every
 measurement 0); repeated rows and null ids are judged row by row; an empty
-table gives an empty ledger; extra columns are kept in front of the ledger's,
-and a column of the input that clashes with a ledger column is replaced.
+table gives an empty ledger; texts of any length are measured whole.  Extra columns are kept in front of the ledger's; ``ledger``
+replaces a column of the input that has a ledger column's name, ``kept`` returns
+all columns of the input as they were.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewheel.llm.scratch import SPACE, let, words_of
+from tidewheel.llm.scratch import SPACE, let, numbered, words_of
 
 WINDOW = 8
 
@@ -76,8 +77,8 @@ def _repeat_words(hashes: Column) -> Column:
     return F.when(F.size(hashes) < WINDOW, F.lit(0)).otherwise(let(let(doubled(hashes, 1), lambda h: doubled(h, 2)), of_fours))
 
 
-def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Add the measurements that rules read, each computed once."""
+def measure(df: DataFrame, text_col: str) -> DataFrame:
+    """Add the measurements that rules read, each computed once, to a table of numbered columns."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
 
@@ -95,19 +96,19 @@ def measure(df: DataFrame, text_col: str = "text") -> DataFrame:
     def of_lines(x: Column) -> Column:
         return F.struct(F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"))
 
-    measured = df.withColumn("_w", let(words_of(text), of_words)).withColumn("_l", let(lines, of_lines))
+    measured = df.withColumn("w", let(words_of(text), of_words)).withColumn("l", let(lines, of_lines))
     return measured.withColumns(
         {
-            "n_words": F.col("_w.n_words"),
-            "word_chars": F.col("_w.word_chars"),
-            "n_repeat_words": F.col("_w.h.n_repeat_words"),
-            "n_stutters": F.col("_w.h.n_stutters"),
-            "n_lines": F.col("_l.n_lines"),
-            "n_dup_lines": F.col("_l.n_dup_lines"),
+            "n_words": F.col("w.n_words"),
+            "word_chars": F.col("w.word_chars"),
+            "n_repeat_words": F.col("w.h.n_repeat_words"),
+            "n_stutters": F.col("w.h.n_stutters"),
+            "n_lines": F.col("l.n_lines"),
+            "n_dup_lines": F.col("l.n_dup_lines"),
             "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
             "n_shouts": F.regexp_count(text, F.lit("!!")).cast("long"),
         }
-    ).drop("_w", "_l")
+    ).drop("w", "l")
 
 
 def default_rules() -> list[Rule]:
@@ -138,13 +139,28 @@ def mask_of(rules: list[Rule], names: tuple[str, ...]) -> int:
     return reduce(lambda m, n: m | 1 << at[n], names, 0)
 
 
-def ledger(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
-    """Every row with its measurements and ``failed``: bit i is set where rule i fails."""
+def _judged(df: DataFrame, text_col: str, rules: list[Rule] | None) -> DataFrame:
+    """The numbered columns of ``df``, the measurements and ``failed``."""
     rules = default_rules() if rules is None else rules
     if len(rules) > 63:
         raise ValueError("a ledger holds at most 63 rules")
+    rows, (text,) = numbered(df, text_col)
     bits = [F.when(r.fails, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, r in enumerate(rules)]
-    return measure(df, text_col).withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long")))
+    return measure(rows, text).withColumn("failed", reduce(lambda a, b: a.bitwiseOR(b), bits, F.lit(0).cast("long")))
+
+
+def ledger(df: DataFrame, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """Every row with its measurements and ``failed``: bit i is set where rule i fails."""
+    book = _judged(df, text_col, rules)
+    own = book.columns[len(df.columns) :]
+    clear = [i for i, c in enumerate(df.columns) if c.lower() not in own]
+    return book.select(*[f"c{i}" for i in clear], *own).toDF(*[df.columns[i] for i in clear], *own)
+
+
+def kept(df: DataFrame, policy: Policy, text_col: str = "text", rules: list[Rule] | None = None) -> DataFrame:
+    """The rows of ``df`` that pass a policy, with all their columns unchanged."""
+    book = _judged(df, text_col, rules).where(passes(policy, rules))
+    return book.select(*book.columns[: len(df.columns)]).toDF(*df.columns)
 
 
 def passes(policy: Policy, rules: list[Rule] | None = None) -> Column:

@@ -66,7 +66,7 @@ def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     folder = F.when(F.col("doc_id") % 64 != 0, F.concat(F.lit("/"), F.floor(F.col("doc_id") / 64).cast("string"))).otherwise("")
     path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.coalesce(folder, F.lit("")), F.lit("/"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(".txt"))
-    return license_scan.scan(docs.withColumn("path", path))
+    return license_scan.scan(docs.select("doc_id", "text", path.alias("path")))
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,8 +78,8 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with their toxicity score."""
     docs, labels = (_table(spark, sf_dir, x) for x in ("documents", "labels"))
-    scored = toxicity.add_scores(docs, labels, ["doc_id"])
-    return scored.select("doc_id", (doc_hash() % 5 == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
+    scored = toxicity.scores(docs, labels)
+    return scored.select("doc_id", (doc_hash() % 5 == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

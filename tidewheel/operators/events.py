@@ -124,6 +124,16 @@ def align(df: DataFrame, max_days: float | None = 365, keep_before: bool = False
     return out.withColumns({"weeks": F.col("days") / 7, "months": F.col("days") / DAYS_A_MONTH})
 
 
+def normalised_time(df: DataFrame, period: float = 365) -> DataFrame:
+    """Add ``normalised_time``: days since the anchor as a share of a reference period."""
+    return df.withColumn("normalised_time", _days(df) / F.lit(float(period)))
+
+
+def _days(df: DataFrame) -> Column:
+    """The days since the anchor: the column of aligned events, else computed."""
+    return F.col("days") if "days" in df.columns else F.timestamp_diff("MICROSECOND", F.col("anchor_ts"), F.col("start_ts")) / F.lit(86400e6)
+
+
 def window_label(days: Column, windows: tuple = WINDOWS) -> Column:
     """``{start}-{end}d`` of the first window with start <= days < end, else ``other``."""
     label = lambda w: f"{w[0]}-{w[1]}d"

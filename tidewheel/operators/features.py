@@ -48,15 +48,18 @@ def _entropy(column: str, values: range) -> Column:
 
 
 def prepare(events: DataFrame) -> DataFrame:
-    """The windows that the groups read.  Needs entity_id, seq, start_ts, days, duration; rr, rate, day_part if there."""
+    """The windows that the groups read.  Needs entity_id, seq, start_ts, days, duration; rr, rate, day_part if there; without rates they are 60000 / rr."""
     have = set(events.columns)
     by = Window.partitionBy("entity_id")
     order = by.orderBy("t", "seq")
     running = order.rowsBetween(Window.unboundedPreceding, 0)
     number = lambda n: F.expr(f"try_cast({n} AS double)") if n in have else lit(None).cast("double")
+    # Day parts are names, of which those with "night" are night, or flags, of which all but 0 and missing are day.
+    part = c("day_part")
+    night = F.lower(part).contains("night") if dict(events.dtypes).get("day_part") == "string" else ~F.coalesce(part.cast("double") != 0, lit(False))
     base = events.where("entity_id IS NOT NULL").select(
-        "entity_id", "seq", "start_ts", c("days").alias("t"), c("duration").cast("double").alias("d"), number("rr").alias("rr"), number("rate").alias("rate"),
-        (c("day_part") if "day_part" in have else lit(None).cast("string")).alias("day_part"),
+        "entity_id", "seq", "start_ts", c("days").alias("t"), c("duration").cast("double").alias("d"), number("rr").alias("rr"), (number("rate") if "rate" in have else F.when(number("rr") > 0, 60000 / number("rr"))).alias("rate"),
+        (F.coalesce(night, lit(False)) if "day_part" in have else lit(None).cast("boolean")).alias("night"),
     )
     a = base.withColumns(
         {
@@ -124,14 +127,14 @@ def episode() -> tuple[Group, Callable[[], Group]]:
 
 
 def temporal() -> tuple[Group, Callable[[], Group]]:
-    night = F.coalesce(F.lower("day_part").contains("night"), lit(False))
-    base = {"n_daytime_episodes": F.count_if(~night), "n_nighttime_episodes": F.count_if(night), "_day": _when_sum(~night), "_night": _when_sum(night), "_all": F.sum("d"), "_n": F.count("*"), "_parts": F.count("day_part")}
+    night = F.coalesce("night", lit(False))
+    base = {"n_daytime_episodes": F.count_if(~night), "n_nighttime_episodes": F.count_if(night), "_day": _when_sum(~night), "_night": _when_sum(night), "_all": F.sum("d"), "_n": F.count("*"), "_parts": F.count("night")}
     angle = c("hour") * (2 * math.pi / 24)
     base |= {"_sin": F.avg(F.sin(angle)), "_cos": F.avg(F.cos(angle)), "hourly_entropy": _entropy("hour", range(24)), "dow_entropy": _entropy("dow", range(7)), "monthly_entropy": _entropy("month", range(1, 13)), "_end": F.count_if(c("dow") >= 5), "_dows": F.count("dow")}
 
     def derived() -> Group:
         day, night_, n = c("n_daytime_episodes"), c("n_nighttime_episodes"), c("_n")
-        # Without any day part the table has no such column, or nothing in it.
+        # Without day parts the table has no such column.
         if_known = lambda x: F.when(c("_parts") > 0, x)
         out = {"n_daytime_episodes": if_known(day), "n_nighttime_episodes": if_known(night_), "pct_daytime_episodes": if_known(100.0 * day / n)}
         out["day_night_ratio"] = if_known(F.when(night_ > 0, day / night_).when(day > 0, INF).otherwise(1.0))
@@ -139,7 +142,8 @@ def temporal() -> tuple[Group, Callable[[], Group]]:
         out |= {"peak_hour": F.pmod(F.atan2("_sin", "_cos") * (24 / (2 * math.pi)), lit(24.0)), "hourly_concentration": F.sqrt(c("_sin") ** 2 + c("_cos") ** 2)}
         out |= {"hourly_entropy": c("hourly_entropy"), "hourly_entropy_normalized": c("hourly_entropy") / math.log2(24), "dow_entropy": c("dow_entropy"), "dow_entropy_normalized": c("dow_entropy") / math.log2(7), "monthly_entropy": c("monthly_entropy")}
         end, work = c("_end"), c("_dows") - c("_end")
-        return out | {"pct_weekend_episodes": 100.0 * end / n, "weekday_weekend_ratio": F.when(end > 0, (work / 5) / (end / 2)).otherwise(INF)}
+        timed = lambda x: F.when(c("_dows") > 0, x)
+        return out | {"pct_weekend_episodes": timed(100.0 * end / c("_dows")), "weekday_weekend_ratio": timed(F.when(end > 0, (work / 5) / (end / 2)).otherwise(INF))}
 
     return base, derived
 
@@ -159,9 +163,6 @@ def rate() -> tuple[Group, Callable[[], Group]]:
     def derived() -> Group:
         out = {n: c(n) for n in base if not n.startswith("_")}
         out |= {"pct_episodes_with_rr": 100.0 * c("n_episodes_with_rr") / c("_n"), "cv_rr_interval": _ratio(c("std_rr_interval"), c("mean_rr_interval"), F.when(c("mean_rr_interval").isNotNull(), 0.0)), "range_rr_interval": c("max_rr_interval") - c("min_rr_interval")}
-        for name, rr_name in (("mean", "mean"), ("median", "median"), ("min", "max"), ("max", "min")):
-            x = c(f"{rr_name}_rr_interval")
-            out[f"{name}_ventricular_rate"] = F.coalesce(f"{name}_ventricular_rate", F.when(x > 0, 60000 / x))
         out["duration_weighted_mean_rr"] = F.when(c("_weight") > 0, c("_weighted") / c("_weight")).otherwise(c("mean_rr_interval"))
         r = F.when(c("n_episodes_with_rr") >= 3, c("_cov") / F.nullif(c("_sd_rr") * c("_sd_d"), lit(0.0)))
         dof = c("n_episodes_with_rr") - 2

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
+from tidewheel.operators.stats import quantiles
+
 c, lit = F.col, F.lit
 
 
@@ -76,8 +78,10 @@ def describe(df: DataFrame, columns: list[str] | None = None, by: str | None = N
     columns = columns or numeric_columns(df)
     keys = (by,) if by else ()
     long = df.select(*keys, *[c(x).cast("double").alias(x) for x in columns]).unpivot(list(keys), columns, "feature", "value")
-    p = F.percentile("value", F.array(lit(0.25), lit(0.5), lit(0.75)))
-    out = long.groupBy(*keys, "feature").agg(F.count("value").alias("n"), F.count_if(c("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), p.alias("p"), F.max("value").alias("max"))
+    out = long.groupBy(*keys, "feature").agg(F.count("value").alias("n"), F.count_if(c("value").isNull()).alias("n_missing"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"))
+    named = quantiles(long, "value", (0.25, 0.5, 0.75), (*keys, "feature")).withColumnsRenamed({x: f"_{x}" for x in (*keys, "feature")})
+    same = [c(x).eqNullSafe(c(f"_{x}")) for x in (*keys, "feature")]
+    out = out.join(named, same, "left")
     quarter = [F.get("p", lit(i)).alias(x) for i, x in enumerate(("p25", "median", "p75"))]
     return out.select(*keys, "feature", "n", "n_missing", (100.0 * c("n_missing") / (c("n") + c("n_missing"))).alias("pct_missing"), "mean", "sd", "min", *quarter, "max")
 
@@ -99,10 +103,12 @@ def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def column_stats(df: DataFrame, columns: list[str], shares: tuple[float, ...] = (0.01, 0.5, 0.99)) -> dict[str, tuple]:
-    """Per column its missing share and percentiles, from one aggregate."""
-    finite = lambda x: F.when(~F.isnan(c(x).cast("double")) & (F.abs(c(x).cast("double")) != float("inf")), c(x).cast("double"))
-    row = df.agg(*[F.struct(F.avg(finite(x).isNull().cast("int")), F.percentile(finite(x), F.array(*map(lit, shares)))).alias(x) for x in columns]).first()
-    return {x: tuple(row[x]) for x in columns}
+    """Per column its missing share and percentiles (None without a finite value); what is collected has a row for each column."""
+    number = lambda x: c(x).cast("double")
+    finite = df.select(*[F.when(~F.isnan(number(x)) & (F.abs(number(x)) != float("inf")), number(x)).alias(x) for x in columns])
+    row = finite.agg(*[F.avg(c(x).isNull().cast("int")).alias(x) for x in columns]).first()
+    found = {r["feature"]: r["p"] for r in quantiles(finite.unpivot([], columns, "feature", "value"), "value", shares, ("feature",)).collect()}
+    return {x: (row[x], found.get(x)) for x in columns}
 
 
 def preprocess(df: DataFrame, columns: list[str] | None = None, most_missing: float = 0.2, key: str = "entity_id") -> DataFrame:
@@ -173,7 +179,7 @@ def profile(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
 
 def winsorise(df: DataFrame, columns: list[str], low: float = 0.01, high: float = 0.99) -> DataFrame:
     edges = column_stats(df, columns, (low, high))
-    return df.withColumns({x: F.greatest(F.least(c(x), lit(edges[x][1][1])), lit(edges[x][1][0])) for x in columns if edges[x][1]})
+    return df.withColumns({x: F.when(c(x).isNotNull(), F.greatest(F.least(c(x), lit(edges[x][1][1])), lit(edges[x][1][0]))) for x in columns if edges[x][1]})
 
 
 def null_outside(df: DataFrame, bounds: dict[str, tuple[float, float]]) -> DataFrame:
@@ -188,3 +194,29 @@ def body_surface(height_cm: Column, weight_kg: Column) -> Column:
 def changes(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
     """Add after - before for every named pair of columns (before, after) that is there."""
     return df.withColumns({n: c(b) - c(a) for n, (a, b) in pairs.items() if a in df.columns and b in df.columns})
+
+
+def normal_id(column: Column) -> Column:
+    """An id written as text or number, with or without ``.0``, as a bigint; NULL if it is none."""
+    return F.regexp_replace(F.trim(column.cast("string")), r"\.0$", "").try_cast("bigint")
+
+
+def recode(column: Column, codes: dict, otherwise=None) -> Column:
+    """A value for each code; other values, and missing ones, get ``otherwise``."""
+    table = F.create_map(*[lit(x) for pair in codes.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, column), lit(otherwise)) if otherwise is not None else F.try_element_at(table, column)
+
+
+def flag(column: Column, code) -> Column:
+    """1 where the column has the code, else 0, also where it is missing."""
+    return F.coalesce((column == lit(code)).cast("int"), lit(0))
+
+
+def indexed(df: DataFrame, ratios: dict[str, tuple[str, str]]) -> DataFrame:
+    """Add numerator / denominator for every named pair (numerator, denominator) that is there; NULL where the denominator is 0."""
+    return df.withColumns({n: F.try_divide(c(a).cast("double"), c(b).cast("double")) for n, (a, b) in ratios.items() if a in df.columns and b in df.columns})
+
+
+def looked_up(df: DataFrame, column: str, table: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """Add ``name``: the value of a small table by key; NULL without one.  Spark broadcasts it if it is small."""
+    return df.join(table.select(c(key).alias("_k"), c(value).alias(name)), c(column) == c("_k"), "left").drop("_k")

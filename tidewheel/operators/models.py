@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.clustering import GaussianMixture, KMeans
+from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.feature import PCA, StandardScaler, StandardScalerModel, VectorAssembler
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.operators import validity
+from tidewheel.operators.stats import running_counts
 
 c, lit = F.col, F.lit
 SEED = 42
@@ -31,19 +33,99 @@ def _points(labelled: DataFrame) -> DataFrame:
     return labelled.select("entity_id", "cluster", vector_to_array("v").alias("features"))
 
 
+class Scaler:
+    """Scales a column of vectors to mean 0 and population sd 1; fitted once, used again."""
+
+    def __init__(self) -> None:
+        self.model: StandardScalerModel | None = None
+        self.n = 0
+
+    def fit(self, vectors: DataFrame) -> DataFrame:
+        self.n = vectors.count()
+        self.model = StandardScaler(inputCol="v", outputCol="w", withMean=True, withStd=True).fit(vectors)
+        return self.transform(vectors)
+
+    def transform(self, vectors: DataFrame) -> DataFrame:
+        """The vectors scaled as those that it was fitted on."""
+        if self.model is None:
+            raise ValueError("the scaler has not been fitted")
+        # Spark's sd is that of a sample.
+        factor = lit(math.sqrt(self.n / (self.n - 1)) if self.n > 1 else 1.0)
+        scaled = F.transform(vector_to_array("w"), lambda x: x * factor)
+        return self.model.transform(vectors).withColumn("v", array_to_vector(scaled)).drop("w")
+
+
+def kmeans_fit(vectors: DataFrame, k: int, tries: int = 10):
+    """The model with the least cost of several seeds."""
+    fits = [KMeans(k=k, seed=SEED + i, featuresCol="v", predictionCol="cluster").fit(vectors) for i in range(tries)]
+    return min(fits, key=lambda m: m.summary.trainingCost)
+
+
 def kmeans(vectors: DataFrame, k: int, tries: int = 10) -> DataFrame:
     """(entity_id, v, cluster) of the try with the least cost."""
-    fits = [KMeans(k=k, seed=SEED + i, featuresCol="v", predictionCol="cluster").fit(vectors) for i in range(tries)]
-    return min(fits, key=lambda m: m.summary.trainingCost).transform(vectors).select("entity_id", "v", "cluster")
+    return kmeans_fit(vectors, k, tries).transform(vectors).select("entity_id", "v", "cluster")
+
+
+def mixture(vectors: DataFrame, k: int) -> DataFrame:
+    """(entity_id, v, cluster, probability array) of a Gaussian mixture."""
+    fit = GaussianMixture(k=k, seed=SEED, featuresCol="v", predictionCol="cluster", probabilityCol="p").fit(vectors)
+    return fit.transform(vectors).select("entity_id", "v", "cluster", vector_to_array("p").alias("probability"))
+
+
+def bisecting(vectors: DataFrame, k: int) -> DataFrame:
+    """(entity_id, v, cluster) of top-down k-means, a hierarchy that needs no distances of all pairs."""
+    return BisectingKMeans(k=k, seed=SEED, featuresCol="v", predictionCol="cluster").fit(vectors).transform(vectors).select("entity_id", "v", "cluster")
+
+
+METHODS: dict[str, Callable[[DataFrame, int], DataFrame]] = {"kmeans": kmeans, "gmm": mixture, "hierarchical": bisecting}
 
 
 def sweep(vectors: DataFrame, ks: range = range(2, 10), tries: int = 10) -> DataFrame:
-    """(k, silhouette, calinski_harabasz, davies_bouldin) for every k."""
+    """(k, inertia, silhouette, calinski_harabasz, davies_bouldin, ch_gain, best) of k-means for every k; the best silhouette, of equal ones the least k."""
     out = []
     for k in ks:
-        p = _points(kmeans(vectors, k, tries)).persist()
-        out.append(validity.silhouette(p).join(F.broadcast(validity.calinski_harabasz(p))).join(F.broadcast(validity.davies_bouldin(p))).select(lit(k).alias("k"), "*"))
-    return reduce(DataFrame.unionByName, out)
+        fit = kmeans_fit(vectors, k, tries)
+        p = _points(fit.transform(vectors)).persist()
+        out.append(_measured(p).select(lit(k).alias("k"), lit(float(fit.summary.trainingCost)).alias("inertia"), "*"))
+    by_k = Window.orderBy("k")  # a row for each k
+    return reduce(DataFrame.unionByName, out).withColumns({"ch_gain": c("calinski_harabasz") - F.lag("calinski_harabasz").over(by_k), "best": F.row_number().over(Window.orderBy(F.desc("silhouette"), "k")) == 1})
+
+
+def _measured(points: DataFrame) -> DataFrame:
+    """One row: silhouette, calinski_harabasz, davies_bouldin."""
+    return validity.silhouette(points).join(F.broadcast(validity.calinski_harabasz(points))).join(F.broadcast(validity.davies_bouldin(points)))
+
+
+def k_analysis(vectors: DataFrame, ks: range, method: str = "kmeans") -> DataFrame:
+    """(k, silhouette, calinski_harabasz, davies_bouldin, ch_gain) of one method."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}")
+    rows = [_measured(_points(METHODS[method](vectors, k)).persist()).select(lit(k).alias("k"), "*") for k in ks]
+    return reduce(DataFrame.unionByName, rows).withColumn("ch_gain", c("calinski_harabasz") - F.lag("calinski_harabasz").over(Window.orderBy("k")))
+
+
+def method_grid(vectors: DataFrame, wanted: list[tuple[str, int]], least_size: int = 10, least_valid: float = 0.8) -> DataFrame:
+    """(method, k, n_clusters, silhouette, calinski_harabasz, davies_bouldin, min_size, valid_share, valid), the valid ones first, by silhouette.
+
+    Valid: no cluster smaller than ``least_size`` and enough points that are not noise.  Methods with less than ten points that are not noise are left out.
+    """
+    rows = []
+    for method, k in wanted:
+        p = _points(METHODS[method](vectors, k)).persist()
+        sizes = p.groupBy("cluster").agg(F.count("*").alias("n"))
+        about = sizes.agg(F.count_if(c("cluster") >= 0).alias("n_clusters"), F.min(F.when(c("cluster") >= 0, c("n"))).alias("min_size"), F.sum(F.when(c("cluster") >= 0, c("n")).otherwise(0)).alias("_kept"), F.sum("n").alias("_all"))
+        rows.append(about.where("_kept >= 10").join(F.broadcast(_measured(p))).select(lit(method).alias("method"), lit(k).alias("k"), "n_clusters", "silhouette", "calinski_harabasz", "davies_bouldin", "min_size", (c("_kept") / c("_all")).alias("valid_share")))
+    out = reduce(DataFrame.unionByName, rows)
+    return out.withColumn("valid", (c("min_size") >= least_size) & (c("valid_share") >= least_valid)).orderBy(F.desc("valid"), F.desc("silhouette"))
+
+
+def cluster_report(points: DataFrame, names: list[str] | None = None, method: str = "clustering") -> dict:
+    """Counts, measures, sizes, the summary of each cluster, silhouettes and representatives of (entity_id, cluster, features)."""
+    first = points.select(F.size("features").alias("d")).first()
+    names = names or [f"feature_{i}" for i in range(first["d"] if first else 0)]
+    counts = points.agg(F.count("*").alias("n"), F.count_if(c("cluster") < 0).alias("noise"), F.count_distinct(F.when(c("cluster") >= 0, c("cluster"))).alias("k")).first()
+    measures = _measured(points).first().asDict()
+    return {"method": method, "n_clusters": counts["k"], "n_samples": counts["n"], "n_noise": counts["noise"], **measures, "sizes": validity.sizes(points), "summary": validity.summary(points, names), "silhouettes": validity.silhouettes(points), "representatives": validity.representatives(points)}
 
 
 def gaussian_bic(vectors: DataFrame, ks: range = range(2, 9)) -> list[tuple[int, float]]:
@@ -65,9 +147,14 @@ def principal(vectors: DataFrame, k: int) -> DataFrame:
 def stability(vectors: DataFrame, k: int, draws: int = 100, share: float = 0.8) -> dict[str, float]:
     """Mean and sd of the agreement between clusterings of random parts and of the whole."""
     whole = kmeans(vectors, k).select("entity_id", c("cluster").alias("whole")).persist()
-    found = []
+    found, n = [], 0
     for i in range(draws):
-        part = vectors.where(F.rand(SEED + i) < share)
+        # Exactly so many rows, without replacement: those with the least hashes of the draw.
+        drawn = vectors.withColumn("_h", F.xxhash64("entity_id", lit(SEED + i)))
+        n = vectors.count() if not i else n
+        size = int(share * n)
+        last = running_counts(drawn, "_h").agg(F.max(F.when(c("before") < size, c("_h")))).first()[0]
+        part = drawn.where(c("_h") <= lit(last)).drop("_h")
         found.append(validity.agreement(kmeans(part, k, 1).join(whole, "entity_id"), "cluster", "whole").first())
     ari, nmi = (np.array([r[x] for r in found], dtype=float) for x in ("ari", "nmi"))
     return {"ari_mean": ari.mean(), "ari_sd": ari.std(), "nmi_mean": nmi.mean(), "nmi_sd": nmi.std()}
@@ -101,7 +188,16 @@ def classify(df: DataFrame, columns: list[str], label: str, kind: str = "logisti
     scores = [auc.evaluate(make().fit(data.where(c("fold") != i)).transform(data.where(c("fold") == i))) for i in range(k)]
     fit = make().fit(data)
     weights = fit.coefficients if kind == "logistic" else fit.featureImportances
-    out = {"cv_auc": float(np.mean(scores)), "cv_auc_sd": float(np.std(scores)), "train_auc": auc.evaluate(fit.transform(data)), "weights": dict(zip(columns, weights.toArray().tolist(), strict=True)), "model": fit}
+    seen = fit.transform(data)
+    table = {(int(r[0]), int(r[1])): r["count"] for r in seen.groupBy(label, "prediction").count().collect()}
+    tn, fp, fn, tp = (table.get(x, 0) for x in ((0, 0), (0, 1), (1, 0), (1, 1)))
+    n, ratio = tn + fp + fn + tp, lambda a, b: a / b if b else 0.0
+    out = {
+        "cv_auc": float(np.mean(scores)), "cv_auc_sd": float(np.std(scores)), "cv_auc_scores": scores, "train_auc": auc.evaluate(seen), "accuracy": ratio(tp + tn, n), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn),
+        "f1": ratio(2 * tp, 2 * tp + fp + fn), "confusion": [[tn, fp], [fn, tp]], "weights": dict(zip(columns, weights.toArray().tolist(), strict=True)), "n": n, "n_events": fn + tp, "model": fit,
+    }
+    if kind == "logistic":
+        out["intercept"] = fit.intercept
     data.unpersist()
     return out
 
@@ -114,15 +210,25 @@ def odds_ratios(df: DataFrame, outcome: str, group: str, covariates: list[str] =
     terms = [*names, *covariates]
     fit = GeneralizedLinearRegression(family="binomial", featuresCol="v", labelCol=outcome).fit(assemble(wide, terms, ("entity_id", outcome)))
     s = fit.summary
-    rows = [(n, math.exp(b), math.exp(b - 1.96 * e), math.exp(b + 1.96 * e), p) for n, b, e, p in zip(terms, fit.coefficients.toArray().tolist(), s.coefficientStandardErrors, s.pValues, strict=False)]
-    return df.sparkSession.createDataFrame([("reference", 1.0, None, None, None), *rows], "term string, odds_ratio double, low double, high double, p_value double")
-
-
-def linear(df: DataFrame, columns: list[str], label: str) -> dict:
-    """Least squares in closed form: coefficients, intercept, R2, RMSE, MAE."""
-    fit = LinearRegression(featuresCol="v", labelCol=label, solver="normal").fit(assemble(df, columns, ("entity_id", label)))
+    up = lambda v: float(np.exp(v))  # noqa: E731  infinite where a group has no such outcome
+    rows = [(n, up(b), up(b - 1.96 * e), up(b + 1.96 * e), p) for n, b, e, p in zip(terms, fit.coefficients.toArray().tolist(), s.coefficientStandardErrors, s.pValues, strict=False)]
+    return df.sparkSession.createDataFrame([("reference", 1.0, 1.0, 1.0, None), *rows], "term string, odds_ratio double, low double, high double, p_value double")
+
+
+def linear(df: DataFrame, columns: list[str], label: str, k: int = 5) -> dict:
+    """Least squares in closed form: coefficients, intercept, R2, RMSE, MAE, and R2 and RMSE by folds (the root of the mean squared error of all folds)."""
+    make = lambda: LinearRegression(featuresCol="v", labelCol=label, solver="normal")
+    data = folds(assemble(df.where(c(label).isNotNull()), columns, ("entity_id", label)).withColumn("_one", lit(1)), "_one", k).persist()
+    fit, scores = make().fit(data), []
+    for i in range(k):
+        s = make().fit(data.where(c("fold") != i)).evaluate(data.where(c("fold") == i))
+        scores.append((s.r2, s.meanSquaredError))
     s = fit.summary
-    return {"coefficients": dict(zip(columns, fit.coefficients.toArray().tolist(), strict=True)), "intercept": fit.intercept, "r2": s.r2, "rmse": s.rootMeanSquaredError, "mae": s.meanAbsoluteError}
+    data.unpersist()
+    return {
+        "coefficients": dict(zip(columns, fit.coefficients.toArray().tolist(), strict=True)), "intercept": fit.intercept, "r2": s.r2, "mse": s.meanSquaredError, "rmse": s.rootMeanSquaredError, "mae": s.meanAbsoluteError, "n": s.numInstances,
+        "cv_r2": float(np.mean([x for x, _ in scores])), "cv_r2_sd": float(np.std([x for x, _ in scores])), "cv_rmse": math.sqrt(np.mean([x for _, x in scores])),
+    }
 
 
 def permutation_importance(model, df: DataFrame, columns: list[str], label: str, repeats: int = 10) -> dict[str, float]:

@@ -11,16 +11,37 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MOST_ROWS = 1000
+#: Header colours of the groups P0, P1, ...; the titles of a study's sections, in order.
+GROUP_COLOURS = ("#d9e8f6", "#f9e0d2", "#dcefd9", "#ece0f3")
+SECTIONS = ("Phenotypes", "Features", "Baseline", "Exercise test", "Echocardiography", "Indexed measures", "Treatment", "Quality of life", "Hospitalisation", "Survival")
+
+
+def study(title: str, tables: dict[str, DataFrame | None], footer: str = "") -> Report:
+    """A report of the ten sections of a study; the first is a must, others that have no table are left out, and numbers follow those that are there."""
+    if tables.get(SECTIONS[0]) is None:
+        raise ValueError(f"a report needs the section {SECTIONS[0]!r}")
+    out = Report(title, footer=footer)
+    for name in SECTIONS:
+        out.add(name, tables.get(name))
+    return out
+
+
+def display_columns(df: DataFrame) -> list[str]:
+    """The columns that are shown: all but counts named N or n."""
+    return [x for x in df.columns if x.lower() != "n"]
 
 
 @dataclass
 class Report:
-    """Titled sections of result tables; each is collected up to MOST_ROWS rows when it is rendered."""
+    """Titled, numbered sections of result tables, whole; only the title is a must.
+
+    Tables of a report are small by their nature: a row for each group, feature or test.  Rows are read one partition at a time.
+    """
 
     title: str
     sections: list[tuple[str, DataFrame]] = field(default_factory=list)
     images: list[tuple[str, str]] = field(default_factory=list)
+    footer: str = ""
 
     def add(self, title: str, table: DataFrame | None) -> Report:
         if table is not None:
@@ -31,11 +52,12 @@ class Report:
         parts = [f"<h1>{html.escape(self.title)}</h1>"]
         for i, (title, table) in enumerate(self.sections, 1):
             cell = lambda x, tag: f"<{tag}>{'' if x is None else html.escape(str(x))}</{tag}>"
-            rows = table.limit(MOST_ROWS).collect()
-            body = "".join("<tr>" + "".join(cell(x, "td") for x in r) + "</tr>" for r in rows)
+            body = "".join("<tr>" + "".join(cell(x, "td") for x in r) + "</tr>" for r in table.toLocalIterator())
             parts.append(f"<h2>{i}. {html.escape(title)}</h2><table><tr>{''.join(cell(x, 'th') for x in table.columns)}</tr>{body}</table>")
+        for i, colour in enumerate(GROUP_COLOURS):
+            parts = [p.replace(f"<th>P{i}</th>", f"<th style='background:{colour}'>P{i}</th>") for p in parts]
         parts += [f"<figure><img alt='{html.escape(t)}' src='{embed(p)}'></figure>" for t, p in self.images]
-        return "<!DOCTYPE html><html><meta charset='utf-8'><body>" + "".join(parts) + "</body></html>"
+        return "<!DOCTYPE html><html><meta charset='utf-8'><body>" + "".join(parts) + f"<footer>{html.escape(self.footer)}</footer></body></html>"
 
     def save(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:

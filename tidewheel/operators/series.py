@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from tidewheel.operators.stats import quantiles
+
 c, lit = F.col, F.lit
 
 #: Burden cut-offs of the clinical states, in minutes a week and a day.
@@ -107,35 +109,39 @@ def arrays(series: DataFrame) -> DataFrame:
     return series.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values"))
 
 
-def distances(series: DataFrame, metric: str = "euclidean") -> DataFrame:
-    """(a, b, distance) for every pair of entities a < b of a cohort, by equal positions.
+def _pairs(series: DataFrame, salts: int | None) -> DataFrame:
+    """(a, x, b, y): every pair of entities a < b with their series as arrays.
 
-    Pairs are the result that is asked for; series are joined by position and summed per pair.
+    Pairs are the result that is asked for.  They are dealt out by a salt of the second entity; salts grow with the cohort.
     """
-    x = series.select(c("entity_id").alias("a"), "pos", c("value").alias("x"))
-    y = series.select(c("entity_id").alias("b"), "pos", c("value").alias("y"))
-    s = lambda e: F.sum(e)
-    sums = x.join(y, "pos").where("a < b").groupBy("a", "b").agg(
-        F.count("*").alias("n"), s(c("x") * c("y")).alias("xy"), s(c("x") ** 2).alias("xx"), s(c("y") ** 2).alias("yy"), s(c("x")).alias("sx"), s(c("y")).alias("sy"), s((c("x") - c("y")) ** 2).alias("dd")
-    )
-    if metric == "cosine":
-        d = 1 - c("xy") / F.nullif(F.sqrt(c("xx") * c("yy")), lit(0.0))
+    own = arrays(series)
+    salts = salts or max(8, own.count() // 500)
+    left = own.select(c("entity_id").alias("a"), c("values").alias("x"), F.explode(F.sequence(lit(0), lit(salts - 1))).alias("s"))
+    right = own.select(c("entity_id").alias("b"), c("values").alias("y"), F.pmod(F.xxhash64("entity_id"), lit(salts)).cast("int").alias("s"))
+    return left.join(right, "s").where("a < b").select("a", "x", "b", "y")
+
+
+def distances(series: DataFrame, metric: str = "euclidean", salts: int | None = None) -> DataFrame:
+    """(a, b, distance) for every pair of entities a < b of a cohort, by equal positions: ``euclidean``, ``cosine`` or ``correlation``."""
+    total = lambda z: F.aggregate(z, lit(0.0), lambda s, v: s + v)
+    dot = lambda p, q: total(F.zip_with(p, q, lambda v, w: v * w))
+    if metric == "euclidean":
+        d = F.sqrt(total(F.zip_with("x", "y", lambda v, w: (v - w) * (v - w))))
+    elif metric == "cosine":
+        d = 1 - dot("x", "y") / F.nullif(F.sqrt(dot("x", "x") * dot("y", "y")), lit(0.0))
     elif metric == "correlation":
-        d = 1 - (c("n") * c("xy") - c("sx") * c("sy")) / F.nullif(F.sqrt((c("n") * c("xx") - c("sx") ** 2) * (c("n") * c("yy") - c("sy") ** 2)), lit(0.0))
+        n, sx, sy = F.size("x"), total(c("x")), total(c("y"))
+        d = 1 - (n * dot("x", "y") - sx * sy) / F.nullif(F.sqrt((n * dot("x", "x") - sx * sx) * (n * dot("y", "y") - sy * sy)), lit(0.0))
     else:
-        d = F.sqrt("dd")
-    return sums.select("a", "b", d.alias("distance"))
+        raise ValueError(f"unknown metric {metric!r}")
+    return _pairs(series, salts).select("a", "b", d.alias("distance"))
 
 
-def dtw_distances(series: DataFrame, band: int | None = None, salts: int = 8) -> DataFrame:
+def dtw_distances(series: DataFrame, band: int | None = None, salts: int | None = None) -> DataFrame:
     """(a, b, distance): dynamic time warping with absolute costs for every pair a < b of a cohort.
 
-    Pairs are dealt out by a salt of the second entity; a batch of pairs is one
-    programme over the cells of the cost table, run for all its pairs at once.
+    A batch of pairs is one programme over the cells of the cost table, run for all its pairs at once.
     """
-    own = arrays(series)
-    left = own.select(c("entity_id").alias("a"), c("values").alias("x"), F.explode(F.sequence(lit(0), lit(salts - 1))).alias("s"))
-    right = own.select(c("entity_id").alias("b"), c("values").alias("y"), F.pmod(F.xxhash64("entity_id"), lit(salts)).cast("int").alias("s"))
 
     @F.pandas_udf(DoubleType())
     def warp(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -152,7 +158,7 @@ def dtw_distances(series: DataFrame, band: int | None = None, salts: int = 8) ->
             row = new
         return pd.Series(row[:, m])
 
-    return left.join(right, "s").where("a < b").select("a", "b", warp("x", "y").alias("distance"))
+    return _pairs(series, salts).select("a", "b", warp("x", "y").alias("distance"))
 
 
 def day_trajectory(events: DataFrame, days: int = 365) -> DataFrame:
@@ -171,6 +177,25 @@ def group_curve(series: DataFrame, groups: DataFrame, by: str) -> DataFrame:
     return out.select(by, "pos", "n", "mean", (c("mean") - half).alias("low"), (c("mean") + half).alias("high"))
 
 
+def own_trajectory(events: DataFrame, n: int = 100, max_days: float = 365) -> DataFrame:
+    """(entity_id, pos, time, value): the running burden on an even grid of n points over each entity's own follow-up, never below 0.
+
+    The grid ends at the last event or ``max_days``; between events the burden is linear, from (0, 0).
+    """
+    own = events.where("entity_id IS NOT NULL AND days IS NOT NULL").select("entity_id", "seq", c("days").alias("t"), c("duration").alias("d"))
+    running = Window.partitionBy("entity_id").orderBy("t", "seq").rowsBetween(Window.unboundedPreceding, 0)
+    knots = own.withColumn("y", F.sum("d").over(running)).groupBy("entity_id", c("t").alias("x")).agg(F.max_by("y", "seq").alias("y"))
+    ends = own.groupBy("entity_id").agg(F.least(F.max("t"), lit(float(max_days))).alias("last"), F.min("t").alias("first"))
+    knots = knots.unionByName(ends.where("first > 0").select("entity_id", lit(0.0).alias("x"), lit(0.0).alias("y"))).withColumn("pos", lit(None).cast("int"))
+    grid = ends.select("entity_id", "last", F.explode(F.sequence(lit(0), lit(n - 1))).alias("pos")).select("entity_id", (c("pos") * c("last") / max(1, n - 1)).alias("x"), lit(None).cast("double").alias("y"), "pos")
+    order = Window.partitionBy("entity_id").orderBy("x", c("pos").asc_nulls_first())
+    back, ahead = order.rowsBetween(Window.unboundedPreceding, 0), order.rowsBetween(0, Window.unboundedFollowing)
+    knot = F.when(c("pos").isNull(), F.struct("x", "y"))
+    found = knots.select("entity_id", "x", "y", "pos").unionByName(grid).withColumns({"a": F.last(knot, ignorenulls=True).over(back), "b": F.first(knot, ignorenulls=True).over(ahead)}).where("pos IS NOT NULL")
+    between = c("a.y") + (c("b.y") - c("a.y")) * (c("x") - c("a.x")) / F.nullif(c("b.x") - c("a.x"), lit(0.0))
+    return found.select("entity_id", "pos", c("x").alias("time"), F.greatest(F.coalesce(between, c("a.y"), lit(0.0)), lit(0.0)).alias("value"))
+
+
 # States
 
 
@@ -185,8 +210,8 @@ def thresholds(units: DataFrame, n_states: int = 3, method: str = "burden_level"
     if method == "clinical":
         return list(CLINICAL["weekly" if resolution == "weekly" else "daily"])
     shares = [i / n_states for i in range(1, n_states)] if method == "burden_level" else [0.33, 0.67]
-    found = units.where("burden > 0").agg(F.percentile("burden", F.array(*map(lit, shares))).alias("p")).first()["p"]
-    return list(found or [0.0] * len(shares))
+    found = quantiles(units.where("burden > 0"), "burden", tuple(shares)).first()
+    return list(found["p"]) if found else [0.0] * len(shares)
 
 
 def states(units: DataFrame, cuts: list[float], n_units: int) -> DataFrame:
@@ -236,3 +261,10 @@ def transitions(seq: DataFrame, n_states: int = 3) -> DataFrame:
 def state_label(state: Column, n_states: int) -> Column:
     words = {3: ("Low", "Medium", "High"), 2: ("Low", "High")}.get(n_states)
     return F.get(F.array(*map(lit, words)), state) if words else F.concat(lit("State_"), state.cast("string"))
+
+
+def state_table(events: DataFrame, resolution: str = "weekly", max_days: int = 365, n_states: int = 3, method: str = "burden_level") -> DataFrame:
+    """The state features of all entities, from events in one call."""
+    units = unit_burden(events, resolution)
+    cuts = thresholds(units, n_states, method, resolution)
+    return state_features(states(units, cuts, n_timepoints(resolution, max_days)), n_states)

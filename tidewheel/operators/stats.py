@@ -35,31 +35,48 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     return out.select("*", f_pvalue("statistic", c("dof1").cast("double"), c("dof2").cast("double")).alias("p_value"))
 
 
-def average_ranks(df: DataFrame, value: str, by: tuple[str, ...] = ()) -> DataFrame:
-    """Add ``rank``: average ranks within ``by``.
+def running_counts(df: DataFrame, value: str, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """(by, value, k, before): rows with each known value, and with smaller ones, within ``by``.
 
-    Values are counted first and ranked by running counts over distinct values;
-    with no ``by`` the distinct values are numbered through range partitions, so
-    no task sees all rows.
+    Values are counted first.  The counts are numbered through range partitions of (by, value), so
+    no task sees all of a group; the counts of partitions, few rows, are summed up by a window.
+    The counts stay persisted until the session drops them, so that both readers see the same ranges.
     """
-    counts = df.where(c(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_k"))
-    if by:
-        before = F.coalesce(F.sum("_k").over(Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), lit(0))
-        ranked = counts.withColumn("rank", before + (c("_k") + 1) / 2)
-    else:
-        parts = counts.repartitionByRange(value).withColumn("_p", F.spark_partition_id()).persist()
-        sums = parts.groupBy("_p").agg(F.sum("_k").alias("_s"))
-        starts = sums.withColumn("_base", F.coalesce(F.sum("_s").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), lit(0))).drop("_s")
-        inner = F.coalesce(F.sum("_k").over(Window.partitionBy("_p").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), lit(0))
-        ranked = parts.join(F.broadcast(starts), "_p").withColumn("rank", c("_base") + inner + (c("_k") + 1) / 2).drop("_p", "_base")
-    return df.join(ranked.withColumnRenamed("_k", "ties"), [*by, value], "inner")
+    known = df.where(c(value).isNotNull())
+    counts = known.groupBy(*by, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("k"))
+    parts = counts.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()).persist()
+    sums = parts.groupBy(*by, "_p").agg(F.sum("k").alias("_s"))
+    upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.withColumn("_base", F.coalesce(F.sum("_s").over(upto), lit(0))).drop("_s")
+    inner = F.coalesce(F.sum("k").over(Window.partitionBy("_p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), lit(0))
+    joined = parts.withColumn("_in", inner).join(starts.withColumnsRenamed({x: f"_{x}" for x in (*by, "_p")}).withColumnRenamed("__p", "_q"), [c(x).eqNullSafe(c(f"_{x}")) for x in by] + [c("_p") == c("_q")])
+    return joined.select(*by, value, "k", (c("_base") + c("_in")).alias("before"))
+
+
+def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by, p array): exact percentiles with linear interpolation; groups without a known value have no row."""
+    ranked = running_counts(df, value, by)
+    sized = ranked.groupBy(*by).agg(F.sum("k").alias("_n"))
+    same = [c(x).eqNullSafe(c(f"_{x}")) for x in by]
+    sized = sized.withColumnsRenamed({x: f"_{x}" for x in by})
+    ranked = ranked.join(F.broadcast(sized), same) if by else ranked.join(F.broadcast(sized))  # a row for each group
+    place = [(c("_n") - 1) * lit(float(q)) for q in shares]
+    at = lambda i: F.max(F.when((c("before") <= i) & (i < c("before") + c("k")), c(value).cast("double")))
+    ends = [x for i, h in enumerate(place) for x in (at(F.floor(h)).alias(f"_a{i}"), at(F.ceil(h)).alias(f"_b{i}"))]
+    found = ranked.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+    return found.select(*by, F.array(*[c(f"_a{i}") + (c(f"_b{i}") - c(f"_a{i}")) * (h - F.floor(h)) for i, h in enumerate(place)]).alias("p"))
+
+
+def average_ranks(df: DataFrame, value: str, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """(by, value, ties, rank): the average rank of each known value within ``by``."""
+    return running_counts(df, value, by, weight).select(*by, value, c("k").alias("ties"), (c("before") + (c("k") + 1) / 2).alias("rank"))
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row: tie-corrected H, dof, p_value.  Ranks come from a histogram of the distinct values."""
-    own = df.where(c(value).isNotNull() & c(group).isNotNull()).select(c(group).alias("g"), c(value).cast("double").alias("v"))
-    ranked = average_ranks(own, "v")
-    g = ranked.groupBy("g").agg(F.count("*").alias("n"), F.sum("rank").alias("r"), F.sum(c("ties") * c("ties") - 1).alias("tie"))
+    """One row: tie-corrected H, dof, p_value.  Ranks come from a histogram of the distinct values, which meets the counts of (group, value)."""
+    own = df.where(c(value).isNotNull() & c(group).isNotNull()).groupBy(c(group).alias("g"), c(value).cast("double").alias("v")).agg(F.count("*").alias("w"))
+    ranked = own.join(average_ranks(own, "v", (), c("w")), "v")
+    g = ranked.groupBy("g").agg(F.sum("w").alias("n"), F.sum(c("w") * c("rank")).alias("r"), F.sum(c("w") * (c("ties") * c("ties") - 1)).alias("tie"))
     s = g.agg(F.sum("n").alias("n"), F.count("*").alias("k"), F.sum(c("r") ** 2 / c("n")).alias("q"), F.sum("tie").alias("tie"))
     h = 12 / (c("n") * (c("n") + 1)) * c("q") - 3 * (c("n") + 1)
     # Each value of a tie of size t adds t^2 - 1, so a tie adds t^3 - t.
@@ -83,12 +100,16 @@ def outcome_correlations(df: DataFrame, features: list[str], outcome: str, metho
     if method not in ("pearson", "spearman"):
         raise ValueError(f"unknown method {method!r}")
     long = df.select(key, c(outcome).cast("double").alias("y"), *[c(x).cast("double").alias(x) for x in features]).unpivot([key, "y"], features, "feature", "x").where("x IS NOT NULL AND y IS NOT NULL")
-    x, y = c("x"), c("y")
+    # Equal pairs are one row, so that a frequent value is no hot key of the joins with ranks.
+    cells, x, y = long.groupBy("feature", "x", "y").agg(F.count("*").alias("w")), c("x"), c("y")
     if method == "spearman":
-        long = average_ranks(long, "x", ("feature",)).drop("ties").withColumnRenamed("rank", "rx")
-        long = average_ranks(long, "y", ("feature",)).drop("ties").withColumnRenamed("rank", "ry")
+        for v in "xy":
+            cells = cells.join(average_ranks(cells, v, ("feature",), c("w")).drop("ties").withColumnRenamed("rank", f"r{v}"), ["feature", v])
         x, y = c("rx"), c("ry")
-    g = long.groupBy("feature").agg(F.count("*").alias("n"), (F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), lit(0.0))).alias("r")).where("n >= 10")
+    means = cells.groupBy("feature").agg((F.sum(c("w") * x) / F.sum("w")).alias("mx"), (F.sum(c("w") * y) / F.sum("w")).alias("my"))
+    u, v = x - c("mx"), y - c("my")
+    sums = cells.join(F.broadcast(means), "feature").groupBy("feature").agg(F.sum("w").alias("n"), F.sum(c("w") * u * v).alias("uv"), F.sum(c("w") * u * u).alias("uu"), F.sum(c("w") * v * v).alias("vv"))
+    g = sums.where("n >= 10").select("feature", "n", (c("uv") / F.nullif(F.sqrt(c("uu") * c("vv")), lit(0.0))).alias("r"))
     t = c("r") * F.sqrt((c("n") - 2) / F.nullif(1 - c("r") ** 2, lit(0.0)))
     return g.select("feature", "r", "n", t_pvalue(t, (c("n") - 2).cast("double")).alias("p_value")).withColumn("significant", c("p_value") < 0.05).orderBy(F.abs("r").desc_nulls_last(), "feature")
 
@@ -106,7 +127,9 @@ def outcome_table(df: DataFrame, outcomes: list[str], group: str) -> DataFrame:
     kinds = df.agg(*[(F.count_if(c(x).isNotNull() & ~c(x).isin(0, 1)) == 0).alias(x) for x in outcomes]).first()
     long = df.select(group, *[c(x).cast("double").alias(x) for x in outcomes]).unpivot([group], outcomes, "outcome", "v")
     binary = c("outcome").isin([x for x in outcomes if kinds[x]] or [""])
-    g = long.groupBy(group, "outcome").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.avg("v").alias("m"), F.stddev_samp("v").alias("sd"), F.percentile("v", lit(0.5)).alias("median"))
+    g = long.groupBy(group, "outcome").agg(F.count("v").alias("n"), F.sum("v").alias("s"), F.avg("v").alias("m"), F.stddev_samp("v").alias("sd"))
+    middle = quantiles(long, "v", (0.5,), (group, "outcome")).select(c(group).alias("_g"), c("outcome").alias("_o"), F.get("p", lit(0)).alias("median"))
+    g = g.join(middle, c(group).eqNullSafe(c("_g")) & (c("outcome") == c("_o")), "left")
     return g.select(group, "outcome", F.when(binary, "binary").otherwise("continuous").alias("kind"), "n", F.when(binary, c("s")).alias("events"), F.when(binary, c("m")).alias("rate"), F.when(~binary, c("m")).alias("mean"), F.when(~binary, c("sd")).alias("sd"), F.when(~binary, c("median")).alias("median"))
 
 

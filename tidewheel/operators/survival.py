@@ -10,7 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewheel.functions.special import chi2_tail, normal_two_sided
+from tidewheel.functions.special import chi2_tail, normal_two_sided, t_two_sided
+from tidewheel.operators.stats import average_ranks
 
 c, lit = F.col, F.lit
 HORIZONS = (30, 90, 180, 365)
@@ -48,7 +49,8 @@ def kaplan_meier(df: DataFrame, group: str, least: int = 2) -> DataFrame:
 
 
 def median_survival(km: DataFrame, group: str) -> DataFrame:
-    return km.groupBy(group).agg(F.min(F.when(c("survival") <= 0.5, c("time"))).alias("median"))
+    """The first time with a survival of one half or less, up to rounding."""
+    return km.groupBy(group).agg(F.min(F.when(c("survival") <= 0.5 + 1e-9, c("time"))).alias("median"))
 
 
 def survival_at(df: DataFrame, group: str, horizons: tuple = HORIZONS) -> DataFrame:
@@ -107,10 +109,14 @@ def cox(df: DataFrame, covariates: list[str], penalty: float = 0.0, most_steps:
         )
         back = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
         risk = t.select("d", "lw", *[f"s{i}" for i in range(p)], *[F.sum(f"a_{n}").over(back).alias(f"r_{n}") for n in terms], *[f"d_{n}" for n in terms]).where("d > 0")
-        # Efron: the l-th of d tied deaths sees the risk set less l/d of the tied ones.
-        e = risk.withColumn("f", F.explode(F.transform(F.sequence(lit(0), c("d").cast("int") - 1), lambda l: l / c("d"))))
-        part = lambda n: c(f"r_{n}") - c("f") * c(f"d_{n}")
-        sums = e.agg(F.sum(F.ln(part("w"))).alias("l"), *[F.sum(part(f"x{i}") / part("w")).alias(f"g{i}") for i in range(p)], *[F.sum(part(f"h{i}_{j}") / part("w") - part(f"x{i}") * part(f"x{j}") / part("w") ** 2).alias(f"i{i}_{j}") for i, j in pairs]).first()
+        # Efron: the l-th of d tied deaths sees the risk set less l/d of the tied ones; the terms of a time are summed up in place.
+        shares = F.transform(F.sequence(lit(0), c("d").cast("int") - 1), lambda l: l / c("d"))
+        part = lambda n, f: c(f"r_{n}") - f * c(f"d_{n}")
+        over = lambda term: F.sum(F.aggregate(shares, lit(0.0), lambda s, f: s + term(f)))
+        sums = risk.agg(
+            over(lambda f: F.ln(part("w", f))).alias("l"), *[over(lambda f, i=i: part(f"x{i}", f) / part("w", f)).alias(f"g{i}") for i in range(p)],
+            *[over(lambda f, i=i, j=j: part(f"h{i}_{j}", f) / part("w", f) - part(f"x{i}", f) * part(f"x{j}", f) / part("w", f) ** 2).alias(f"i{i}_{j}") for i, j in pairs],
+        ).first()
         tops = risk.agg(F.sum("lw").alias("l"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)]).first()
         if sums["l"] is None:
             break
@@ -132,10 +138,62 @@ def cox(df: DataFrame, covariates: list[str], penalty: float = 0.0, most_steps:
     return {
         "coefficients": dict(zip(covariates, beta.tolist(), strict=True)), "hazard_ratios": dict(zip(covariates, np.exp(beta).tolist(), strict=True)), "se": dict(zip(covariates, se.tolist(), strict=True)),
         "low": dict(zip(covariates, np.exp(beta - 1.96 * se).tolist(), strict=True)), "high": dict(zip(covariates, np.exp(beta + 1.96 * se).tolist(), strict=True)),
-        "p_values": dict(zip(covariates, normal_two_sided(z).tolist(), strict=True)), "log_likelihood": ll, "aic": None if ll is None else 2 * p - 2 * ll, "n": row["n"],
+        "p_values": dict(zip(covariates, normal_two_sided(z).tolist(), strict=True)), "log_likelihood": ll, "aic": None if ll is None else 2 * p - 2 * ll, "n": row["n"], "concordance": concordance(df, dict(zip(covariates, beta.tolist(), strict=True))),
     }
 
 
+def concordance(df: DataFrame, coefficients: dict[str, float], cells: int = 256) -> float:
+    """The share of comparable pairs that the risk orders rightly, half for equal risks; exact for risks rounded to ``cells`` levels of rank.
+
+    A pair is comparable if the one with the shorter time had the event; of equal times one with and one without it.
+    Risks are cut at even ranks, so the rest is a table of times by levels, whatever the number of rows.
+    """
+    risk = sum((c(x) * lit(float(b)) for x, b in coefficients.items()), lit(0.0))
+    own = df.dropna(subset=["time", "event", *coefficients]).select("time", "event", risk.alias("risk"))
+    n = own.count()
+    if not n:
+        return float("nan")
+    ranked = average_ranks(own, "risk")
+    level = F.floor((c("rank") - 1) * cells / n).cast("int") if n > cells else c("rank")
+    at = own.join(ranked, "risk").withColumn("level", level).groupBy("time", "level").agg(F.sum((c("event") == 1).cast("int")).alias("died"), F.sum((c("event") != 1).cast("int")).alias("left"))
+    # Behind each time: all later ones, and of the same time those without an event.
+    back = Window.partitionBy("level").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, -1)
+    times, levels = at.where("died > 0").select("time").distinct(), at.select("level").distinct()
+    grid = times.join(F.broadcast(levels)).join(at, ["time", "level"], "full").select("time", "level", F.coalesce("died", lit(0)).alias("died"), F.coalesce("left", lit(0)).alias("left"))
+    behind = grid.withColumn("later", F.coalesce(F.sum(c("died") + c("left")).over(back), lit(0)) + c("left"))
+    low = Window.partitionBy("time").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    sums = behind.withColumn("below", F.coalesce(F.sum("later").over(low), lit(0))).withColumn("all", F.sum("later").over(Window.partitionBy("time")))
+    row = sums.where("died > 0").agg(F.sum(c("died") * (c("below") + c("later") / 2)).alias("right"), F.sum(c("died") * c("all")).alias("pairs")).first()
+    return float(row["right"] / row["pairs"]) if row["pairs"] else float("nan")
+
+
+def proportional_hazards(df: DataFrame, coefficients: dict[str, float]) -> DataFrame | None:
+    """(covariate, r, n, p_value): the correlation of Schoenfeld residuals with the rank of their times; None without enough events.
+
+    A residual is a covariate less its mean in the risk set, weighted by risk; it needs one aggregate by time and running sums.
+    """
+    names = list(coefficients)
+    own = df.dropna(subset=["time", "event", *names]).select("time", "event", *[c(x).cast("double").alias(x) for x in names])
+    w = F.exp(sum((c(x) * lit(float(b)) for x, b in coefficients.items()), lit(0.0)))
+    t = own.groupBy("time").agg(F.sum(w).alias("w"), *[F.sum(w * c(x)).alias(f"w_{i}") for i, x in enumerate(names)])
+    back = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct time
+    means = t.select("time", *[(F.sum(f"w_{i}").over(back) / F.sum("w").over(back)).alias(f"m_{i}") for i in range(len(names))])
+    died = own.where("event = 1").join(means, "time")
+    died = died.join(average_ranks(died.select("time"), "time").select("time", "rank"), "time")
+    out = died.select("rank", *[(c(x) - c(f"m_{i}")).alias(x) for i, x in enumerate(names)]).unpivot(["rank"], names, "covariate", "residual")
+    rows = out.groupBy("covariate").agg(F.corr("residual", "rank").alias("r"), F.count("*").alias("n")).where("n > 2").collect()
+    if not rows:
+        return None
+    p = lambda r, n: None if r is None or abs(r) >= 1 else float(t_two_sided(r * np.sqrt((n - 2) / (1 - r * r)), n - 2))
+    return df.sparkSession.createDataFrame([(x["covariate"], x["r"], x["n"], p(x["r"], x["n"])) for x in rows], "covariate string, r double, n long, p_value double")
+
+
+def cox_by_group(df: DataFrame, group: str, covariates: list[str] = [], reference=None, penalty: float = 0.0) -> dict:  # noqa: B006
+    """Cox regression with a 0/1 column for each group but the reference, and covariates."""
+    wide, names = dummies(df, group, reference)
+    return cox(wide, [*names, *covariates], penalty)
+
+
 def dummies(df: DataFrame, column: str, reference=None) -> tuple[DataFrame, list[str]]:
     """Add a 0/1 column for each value but the reference (the least one by default)."""
     values = [r[0] for r in df.where(c(column).isNotNull()).select(column).distinct().orderBy(column).collect()]  # groups are few

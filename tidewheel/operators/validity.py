@@ -49,11 +49,11 @@ def davies_bouldin(points: DataFrame) -> DataFrame:
 def silhouettes(points: DataFrame) -> DataFrame:
     """(entity_id, cluster, silhouette) with Euclidean distances; 0 for noise and single points.
 
-    Every point is compared with all points, which are spread over the tasks by
-    cluster and salt; sums per (point, cluster) are combined before the shuffle.
+    Every point is compared with all points, as the measure asks for; they are spread over the tasks by
+    a salt, of which there are more with more points; sums per (point, cluster) are combined before the shuffle.
     """
     own = points.where(c("cluster") != NOISE).select("entity_id", "cluster", "features")
-    salts = 8
+    salts = max(8, own.count() // 4000)
     left = own.withColumn("s", F.explode(F.sequence(lit(0), lit(salts - 1))))
     right = own.select(c("entity_id").alias("other"), c("cluster").alias("to"), c("features").alias("g"), F.pmod(F.xxhash64("entity_id"), lit(salts)).cast("int").alias("s"))
     d = F.sqrt(_sq("features", "g"))
@@ -74,6 +74,14 @@ def sizes(points: DataFrame) -> DataFrame:
     return counts.select("cluster", "n", (100.0 * c("n") / F.sum("n").over(Window.partitionBy(lit(0)))).alias("pct"))
 
 
+def summary(points: DataFrame, names: list[str]) -> DataFrame:
+    """(cluster, n, pct, <name>_mean, <name>_std): the size of each cluster, and the mean and sample sd of every feature."""
+    stats = [e for i, x in enumerate(names) for e in (F.avg(F.get("features", lit(i))).alias(f"{x}_mean"), F.stddev_samp(F.get("features", lit(i))).alias(f"{x}_std"))]
+    out = points.groupBy("cluster").agg(F.count("*").alias("n"), *stats)
+    # A row for each cluster.
+    return out.withColumn("pct", 100.0 * c("n") / F.sum("n").over(Window.partitionBy(lit(0)))).select("cluster", "n", "pct", *[f"{x}_{k}" for x in names for k in ("mean", "std")])
+
+
 def agreement(labels: DataFrame, a: str, b: str) -> DataFrame:
     """One row: adjusted Rand index and normalised mutual information (arithmetic mean) of two labelings."""
     cells = labels.groupBy(c(a).alias("a"), c(b).alias("b")).agg(F.count("*").cast("double").alias("n"))

@@ -16,6 +16,13 @@ e AS (SELECT *, least(last_t, 365.0) AS fu, cum - d AS cum0 FROM e1)
 """
 
 
+def t_two_sided(t: str, dof: str, steps: int = 400) -> str:
+    """The two-sided p-value of t by Simpson's rule over the powers of a cosine."""
+    weight = f"CASE WHEN k = 0 OR k = {steps} THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END"
+    area = lambda end: f"list_sum(list_transform(range(0, {steps + 1}), lambda k: ({weight}) * power(cos(k * ({end}) / {steps}), {dof} - 1))) * ({end})"
+    return f"greatest(0.0, 1 - ({area(f'atan(abs({t}) / sqrt({dof}))')}) / ({area('pi() / 2')}))"
+
+
 def _rounded(body: str) -> str:
     return f"{BASE}, f AS ({body}) SELECT entity_id, round(COLUMNS(* EXCLUDE (entity_id))::DOUBLE, 6) FROM f"
 
@@ -78,16 +85,16 @@ def rr() -> str:
       avg(rate) AS mean_ventricular_rate, median(rate) AS median_ventricular_rate, stddev_pop(rate) AS std_ventricular_rate, min(rate) AS min_ventricular_rate, max(rate) AS max_ventricular_rate,
       100.0 * count(*) FILTER (rr < 545) / count(rr) AS pct_rapid_af, 100.0 * count(*) FILTER (rr BETWEEN 545 AND 1000) / count(rr) AS pct_controlled_rate,
       100.0 * count(*) FILTER (rr > 1000) / count(rr) AS pct_slow_rate, 100.0 * count(*) FILTER (rr < 400) / count(rr) AS pct_very_rapid,
-      {_ratio("sum(rr * d)", "sum(d)", "avg(rr)")} AS duration_weighted_mean_rr, CASE WHEN count(rr) >= 3 THEN corr(rr, d) END AS rr_duration_correlation FROM e GROUP BY entity_id""")
+      {_ratio("sum(rr * d)", "sum(d)", "avg(rr)")} AS duration_weighted_mean_rr, CASE WHEN count(rr) >= 3 THEN corr(rr, d) END AS rr_duration_correlation, CASE WHEN count(rr) >= 3 THEN {t_two_sided("(corr(rr, d) * sqrt((count(rr) - 2) / (1 - power(corr(rr, d), 2))))", "(count(rr) - 2)")} END AS rr_duration_correlation_pvalue FROM e GROUP BY entity_id""")
 
 
 def trajectory() -> str:
     q = ", ".join(f"CASE WHEN max(fu) > 0 AND count(*) >= 4 THEN regr_slope(cum, t) FILTER (t >= fu * {k} / 4 AND t < {f'fu * {k + 1} / 4' if k < 3 else 'fu + 1'}) END AS slope_q{k + 1}" for k in range(4))
     p = ", ".join(f"min(CASE WHEN cum >= total * {x} / 100 THEN t END) AS time_to_{x}pct_burden_trajectory" for x in (25, 50, 75))
     share = lambda x: f"CASE WHEN count(*) >= 3 THEN 100 * {x} / sum(d) ELSE 100 END"
-    return _rounded(f"""SELECT a.*, slope_q4 / CASE WHEN slope_q1 > 0 THEN slope_q1 END AS slope_change_ratio, coalesce(longest, 0) >= 3 AS has_plateau, coalesce(longest, 0) AS longest_plateau_episodes,
+    return _rounded(f"""SELECT a.* EXCLUDE (many), {t_two_sided("(trajectory_slope / trajectory_slope_stderr)", "(many - 2)")} AS trajectory_slope_pvalue, slope_q4 / CASE WHEN slope_q1 > 0 THEN slope_q1 END AS slope_change_ratio, coalesce(longest, 0) >= 3 AS has_plateau, coalesce(longest, 0) AS longest_plateau_episodes,
         CASE WHEN longest >= 3 THEN onset END AS plateau_onset_days, quad.a AS trajectory_quadratic_coef, quad.b AS trajectory_linear_coef, sign(quad.a) AS trajectory_convexity FROM
-      (SELECT entity_id, regr_slope(cum, t) AS trajectory_slope, regr_intercept(cum, t) AS trajectory_intercept, regr_r2(cum, t) AS trajectory_r_squared,
+      (SELECT entity_id, count(*) AS many, regr_slope(cum, t) AS trajectory_slope, regr_intercept(cum, t) AS trajectory_intercept, regr_r2(cum, t) AS trajectory_r_squared,
         sqrt((regr_syy(cum, t) - power(regr_sxy(cum, t), 2) / regr_sxx(cum, t)) / (count(*) - 2) / regr_sxx(cum, t)) AS trajectory_slope_stderr, {q}, {p},
         count(*) FILTER (d > 0.1 * total) AS n_major_steps, max(d) AS max_step_size_minutes, {share("max(d)")} AS max_step_size_pct, {share("sum(d) FILTER (big <= 3)")} AS top3_episode_contribution_pct,
         (sum((t - coalesce(t0, 0)) * (cum + cum0) / 2) + (max(fu) - max(t)) * sum(d)) / (sum(d) * max(fu)) AS trajectory_auc_normalized FROM e GROUP BY entity_id HAVING count(*) >= 3) a
@@ -100,3 +107,11 @@ def trajectory() -> str:
       JOIN (SELECT entity_id, a, (uy - a * u3) / u2 - 2 * a * m AS b FROM (SELECT *, (u2y * u2 * n - uy * u3 * n - y * u2 * u2) / (u4 * u2 * n - u3 * u3 * n - u2 * u2 * u2) AS a FROM (
           SELECT entity_id, count(*) AS n, any_value(mean_t) AS m, sum(power(t - mean_t, 2)) AS u2, sum(power(t - mean_t, 3)) AS u3, sum(power(t - mean_t, 4)) AS u4, sum(cum) AS y, sum((t - mean_t) * cum) AS uy,
             sum(power(t - mean_t, 2) * cum) AS u2y FROM e GROUP BY entity_id))) quad USING (entity_id)""")
+
+
+def queries() -> dict[str, str]:
+    """The twins of the groups, of all features together, and of the groups over other encodings."""
+    groups = {f"features_{g.__name__}": g() for g in (burden, episode, temporal, rr, trajectory)}
+    joined = " JOIN ".join(f"({x}) g{i}" + (" USING (entity_id)" if i else "") for i, x in enumerate(groups.values()))
+    flags = groups["features_temporal"].replace("CASE WHEN hour(ts) < 6 THEN 'night' ELSE 'day' END AS part", "CASE WHEN hour(ts) % 2 = 0 THEN 'day' ELSE 'night' END AS part")
+    return groups | {"features_all": f"SELECT * FROM {joined}", "features_day_flags": flags, "features_without_rate": groups["features_rr"]}

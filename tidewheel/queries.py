@@ -9,13 +9,16 @@ from pyspark.sql import functions as F
 
 from tidewheel.operators import events as E
 from tidewheel.operators import features as X
+from tidewheel.operators import importance as P
 from tidewheel.operators import integration as I
+from tidewheel.operators import models as M
+from tidewheel.operators import outcomes as O
 from tidewheel.operators import series as T
 from tidewheel.operators import stats as H
 from tidewheel.operators import survival as K
 from tidewheel.operators import validity as V
 from tidewheel.plans import feature_sql, library_sql
-from tidewheel.sources import bind_events, table
+from tidewheel.sources import Catalog, Source, bind_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 DAYS = 30
@@ -57,13 +60,13 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def features_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 117 features of every entity."""
-    return X.extract(history(spark, sf_dir))
+    return rounded(X.extract(history(spark, sf_dir), windows=feature_sql.WINDOWS))
 
 
 def _group(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = X.extract(history(spark, sf_dir), (name,), feature_sql.WINDOWS)
-        return rounded(found.drop("rr_duration_correlation_pvalue", "trajectory_slope_pvalue"))
+        return rounded(found)
 
     query.__doc__ = f"The {name} features of every entity."
     return query
@@ -115,7 +118,7 @@ def id_overlap(spark, sf_dir):
 
 
 def cohort_attrition(spark, sf_dir):
-    return I.cohort(history(spark, sf_dir), entities(spark, sf_dir).where("n_final > 5"), "n_final", 60)[1].select("step", "n")
+    return I.cohort(history(spark, sf_dir), entities(spark, sf_dir), "n_final", 60)[1].select("step", "n")
 
 
 def missing_columns(spark, sf_dir):
@@ -212,19 +215,19 @@ def label_agreement(spark, sf_dir):
 
 
 def test_chi_square(spark, sf_dir):
-    return rounded(H.chi_square(entities(spark, sf_dir), "segment", "event").select("statistic", "dof", "n"), ())
+    return rounded(H.chi_square(entities(spark, sf_dir), "segment", "event").select("statistic", "dof", "n", "p_value"), ())
 
 
 def test_anova(spark, sf_dir):
-    return rounded(H.anova(entities(spark, sf_dir), "balance", "segment").select("statistic", "dof1", "dof2"), ())
+    return rounded(H.anova(entities(spark, sf_dir), "balance", "segment"), ())
 
 
 def test_kruskal(spark, sf_dir):
-    return rounded(H.kruskal(entities(spark, sf_dir), "n_orders", "segment").select("statistic", "dof"), ())
+    return rounded(H.kruskal(entities(spark, sf_dir), "n_orders", "segment"), ())
 
 
 def outcome_spearman(spark, sf_dir):
-    return rounded(H.outcome_correlations(entities(spark, sf_dir), ["balance", "n_orders", "price_before"], "time", "spearman").select("feature", "r", "n"), ("feature",))
+    return rounded(H.outcome_correlations(entities(spark, sf_dir), ["balance", "n_orders", "price_before"], "time", "spearman").select("feature", "r", "n", "p_value"), ("feature",))
 
 
 def outcome_table(spark, sf_dir):
@@ -239,10 +242,199 @@ def survival_horizons(spark, sf_dir):
     return rounded(K.survival_at(entities(spark, sf_dir).where("time IS NOT NULL"), "segment", (90, 365, 730)), ("segment",))
 
 
+def features_day_flags(spark, sf_dir):
+    """Temporal features of day parts that are flags: 1, 0 or missing."""
+    even = F.when(F.hour("start_ts") % 2 == 0, 1).when(F.hour("start_ts") % 3 == 0, 0)
+    return rounded(X.extract(history(spark, sf_dir).withColumn("day_part", even), ("temporal",)))
+
+
+def features_without_rate(spark, sf_dir):
+    """Rate features of a table that has intervals only."""
+    return rounded(X.extract(history(spark, sf_dir).drop("rate"), ("rr",)))
+
+
+def dataset_summary(spark, sf_dir):
+    return Catalog(spark, {n: Source(f"{sf_dir}/{n}.parquet") for n in ("customer", "events", "orders")}).summary()
+
+
+def normalised_times(spark, sf_dir):
+    return rounded(E.normalised_time(history(spark, sf_dir), DAYS).select("entity_id", "seq", "normalised_time"), ("entity_id", "seq"), 9)
+
+
+def invalid_events(spark, sf_dir):
+    found = E.invalid_events(wild(spark, sf_dir), E.CleanConfig(min_duration=10, max_duration=240))
+    return found.select("entity_id", "seq", "valid_duration", "valid_timestamp", "valid_rr")
+
+
+def missing_ids(spark, sf_dir):
+    return I.missing_ids(entities(spark, sf_dir), history(spark, sf_dir))
+
+
+def recoded(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    return e.select(I.normal_id(F.concat(F.col("entity_id").cast("string"), F.lit(".0"))).alias("entity_id"), I.recode(F.col("segment"), {"BUILDING": 1, "MACHINERY": 2}, 0).alias("code"), I.flag(F.col("segment"), "FURNITURE").alias("is_furniture"))
+
+
+def plausible_values(spark, sf_dir):
+    e = I.null_outside(entities(spark, sf_dir), {"balance": (0, 5000), "n_orders": (5, 15)})
+    return rounded(e.select("entity_id", "balance", "n_orders"))
+
+
+def winsorised(spark, sf_dir):
+    return rounded(I.winsorise(entities(spark, sf_dir).select("entity_id", "balance", "price_before"), ["balance", "price_before"], 0.05, 0.95), digits=4)
+
+
+def indexed_values(spark, sf_dir):
+    return rounded(I.indexed(entities(spark, sf_dir), {"balance_per_order": ("balance", "n_orders")}).select("entity_id", "balance_per_order"))
+
+
+def segment_events(spark, sf_dir):
+    return rounded(O.event_rates(entities(spark, sf_dir), "n_final", "segment"), ("segment",))
+
+
+def segment_changes(spark, sf_dir):
+    return rounded(O.change_summary(entities(spark, sf_dir), "price_before", "price_after", "segment"), ("segment",), 4)
+
+
+def segment_prevalences(spark, sf_dir):
+    dear = lambda x: (F.col(x) > 150000).cast("int")
+    e = entities(spark, sf_dir).withColumns({"dear_before": dear("price_before"), "dear_after": dear("price_after")})
+    return rounded(O.prevalences(e, {"dear": ("dear_before", "dear_after")}, "segment"), ("label", "segment", "overall"))
+
+
+def segment_summary(spark, sf_dir):
+    e = entities(spark, sf_dir)
+    burden = history(spark, sf_dir).groupBy("entity_id").agg(F.count("*").alias("n_events"), F.sum("duration").alias("total"))
+    return rounded(O.summary(e.select("entity_id", "segment"), [(burden, {"total": "mean_total", "n_events": "mean_events"}), (e.drop("segment"), {"balance": "mean_balance"})], "segment"), ("segment",))
+
+
+def selected_features(spark, sf_dir):
+    names = I.select_features(entities(spark, sf_dir), "variance", ["balance", "n_orders", "price_before", "price_after"])
+    return spark.createDataFrame([(x,) for x in names], "feature string")
+
+
+def series_minmax(spark, sf_dir):
+    return rounded(T.normalise(T.rate_series(history(spark, sf_dir), 10, DAYS), "minmax").drop("time"), ("entity_id", "pos"))
+
+
+def series_endpoint(spark, sf_dir):
+    return rounded(T.normalise(T.count_series(history(spark, sf_dir), 11, DAYS), "endpoint").drop("time"), ("entity_id", "pos"))
+
+
+def own_trajectories(spark, sf_dir):
+    return rounded(T.own_trajectory(history(spark, sf_dir), 10), ("entity_id", "pos"))
+
+
+def series_warped(spark, sf_dir):
+    return rounded(T.dtw_distances(T.rate_series(history(spark, sf_dir), 10, DAYS)), ("a", "b"))
+
+
+def clinical_states(spark, sf_dir):
+    units = T.unit_burden(history(spark, sf_dir), "daily")
+    return T.states(units, T.thresholds(units, method="clinical", resolution="daily"), DAYS)
+
+
+def cluster_summary(spark, sf_dir):
+    p = points(spark, sf_dir).withColumn("features", F.slice("features", 1, 3))
+    return rounded(V.summary(p, ["x", "y", "z"]), ("cluster",))
+
+
+def segment_scores(spark, sf_dir):
+    return rounded(P.f_scores(entities(spark, sf_dir), "segment", ["balance", "n_orders", "price_before", "price_after", "time"], 0.5), ("feature",))
+
+
+def segment_ranks(spark, sf_dir):
+    return rounded(P.kruskal_scores(entities(spark, sf_dir), "segment", ["balance", "n_orders", "price_before", "time"]), ("feature",))
+
+
+def segment_information(spark, sf_dir):
+    return rounded(P.mutual_information(entities(spark, sf_dir), "segment", ["balance", "n_orders", "price_before"], 5), ("feature",))
+
+
+def segment_feature_table(spark, sf_dir):
+    found = P.group_table(entities(spark, sf_dir), "segment", {"balance": "account balance", "price_before": "mean price before", "time": "days"})
+    return rounded(found.select("feature", "description", "p_value", "importance"), ("feature", "description"))
+
+
+def discriminating_features(spark, sf_dir):
+    return P.discriminating(entities(spark, sf_dir), "segment", ["balance", "n_orders", "price_before", "price_after", "time"])
+
+
+def combined_importance(spark, sf_dir):
+    return P.combined(entities(spark, sf_dir), "segment", ["balance", "n_orders", "price_before", "price_after"])
+
+
+def segment_table(spark, sf_dir):
+    return H.analysis_table(entities(spark, sf_dir), {"balance": "Balance", "n_orders": "Orders", "event": "Final order"}, "segment").drop("p")
+
+
+def linear_model(spark, sf_dir):
+    fit = M.linear(entities(spark, sf_dir), ["balance", "n_orders"], "price_before")
+    rows = [*fit["coefficients"].items(), ("intercept", fit["intercept"]), ("r2", fit["r2"]), ("rmse", fit["rmse"]), ("mae", fit["mae"])]
+    return rounded(spark.createDataFrame(rows, "term string, value double"), ("term",), 4)
+
+
+def segment_odds(spark, sf_dir):
+    e = entities(spark, sf_dir).withColumn("many", (F.coalesce("n_orders", F.lit(0)) >= 11).cast("int"))
+    return rounded(M.odds_ratios(e, "many", "segment").drop("p_value"), ("term",), 4)
+
+
+def _model_rows(spark, fit: dict):
+    return spark.createDataFrame([*fit["weights"].items(), ("cv_auc", fit["cv_auc"]), ("train_auc", fit["train_auc"]), ("accuracy", fit["accuracy"]), ("f1", fit["f1"])], "term string, value double")
+
+
+def logistic_model(spark, sf_dir):
+    return _model_rows(spark, M.classify(entities(spark, sf_dir), ["balance", "n_orders"], "event"))
+
+
+def forest_model(spark, sf_dir):
+    return _model_rows(spark, M.classify(entities(spark, sf_dir), ["balance", "n_orders"], "event", "forest"))
+
+
+def log_rank(spark, sf_dir):
+    e = entities(spark, sf_dir).where("time IS NOT NULL").withColumn("arm", (F.col("segment") == "BUILDING").cast("int"))
+    found = K.log_rank(e, "arm")
+    return rounded(spark.createDataFrame([(found["statistic"], found["dof"])], "statistic double, dof int"), ())
+
+
+def survival_medians(spark, sf_dir):
+    return rounded(K.median_survival(K.kaplan_meier(entities(spark, sf_dir).where("time IS NOT NULL"), "segment"), "segment"), ("segment",))
+
+
+def cox_model(spark, sf_dir):
+    found = K.cox(entities(spark, sf_dir).where("time IS NOT NULL"), ["balance", "n_orders"])
+    rows = [(x, found["coefficients"][x], found["hazard_ratios"][x], found["se"][x], found["p_values"][x], found["concordance"]) for x in found["coefficients"]]
+    return spark.createDataFrame(rows, "covariate string, coefficient double, hazard_ratio double, se double, p_value double, concordance double")
+
+
+def hazards_check(spark, sf_dir):
+    e = entities(spark, sf_dir).where("time IS NOT NULL")
+    return K.proportional_hazards(e, K.cox(e, ["balance", "n_orders"])["coefficients"])
+
+
+def _vectors(spark, sf_dir):
+    return M.assemble(I.preprocess(entities(spark, sf_dir), ["balance", "n_orders", "price_before", "price_after"]), ["balance", "n_orders", "price_before", "price_after"])
+
+
+def kmeans_sizes(spark, sf_dir):
+    return M.kmeans(_vectors(spark, sf_dir), 4, 3).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+def principal_components(spark, sf_dir):
+    return M.principal(_vectors(spark, sf_dir), 2)
+
+
+def method_grid(spark, sf_dir):
+    return M.method_grid(_vectors(spark, sf_dir), [("kmeans", 3), ("gmm", 3), ("hierarchical", 3)])
+
+
 NAMED = (
     features_all, clean_report, clean_without_overlaps, validity_by_entity, window_counts, duration_bins, follow_up, daily_burden, cumulative_burden, entity_join, id_overlap, cohort_attrition, missing_columns, describe_entities, segment_frequencies,
     segment_crosstab, price_changes, scaled_entities, feature_correlations, segment_profile, series_cumulative, series_rate, series_count, series_zscore, series_distances, day_curves, state_sequences, state_features, state_transitions,
     cluster_silhouettes, cluster_validity, cluster_representatives, label_agreement, test_chi_square, test_anova, test_kruskal, outcome_spearman, outcome_table, survival_curves, survival_horizons,
+    features_day_flags, features_without_rate, dataset_summary, normalised_times, invalid_events, missing_ids, recoded, plausible_values, winsorised, indexed_values, segment_events, segment_changes, segment_prevalences, segment_summary,
+    selected_features, series_minmax, series_endpoint, own_trajectories, series_warped, clinical_states, cluster_summary, segment_scores, segment_ranks, segment_information, segment_feature_table, discriminating_features, combined_importance,
+    segment_table, linear_model, segment_odds, logistic_model, forest_model, log_rank, survival_medians, cox_model, hazards_check, kmeans_sizes, principal_components, method_grid,
 )
 
 
@@ -251,4 +443,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {f"features_{g}": getattr(feature_sql, g)() for g in X.GROUPS} | library_sql.SQL
+    return feature_sql.queries() | library_sql.SQL

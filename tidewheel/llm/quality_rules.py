@@ -111,18 +111,23 @@ def measure(df: DataFrame, text_col: str) -> DataFrame:
     ).drop("w", "l")
 
 
+#: Names of the production rules; their order gives the bits, so append only.
+NAMES = ("too_short", "repeated_windows", "symbols", "duplicate_lines", "shouting", "stutter", "long_words")
+
+
 def default_rules() -> list[Rule]:
-    """The production rules; their order gives the bits, so append only."""
+    """The production rules."""
     c = F.col
-    return [
-        Rule("too_short", c("n_words") < 20),
-        Rule("repeated_windows", 100 * c("n_repeat_words") > 30 * c("n_words")),
-        Rule("symbols", 100 * c("n_symbols") > 20 * c("n_words")),
-        Rule("duplicate_lines", (c("n_dup_lines") >= 3) & (100 * c("n_dup_lines") > 30 * c("n_lines"))),
-        Rule("shouting", 100 * c("n_shouts") > 20 * c("n_words")),
-        Rule("stutter", 100 * c("n_stutters") > 30 * c("n_words")),
-        Rule("long_words", c("word_chars") > 20 * c("n_words")),
-    ]
+    fails = (
+        c("n_words") < 20,
+        100 * c("n_repeat_words") > 30 * c("n_words"),
+        100 * c("n_symbols") > 20 * c("n_words"),
+        (c("n_dup_lines") >= 3) & (100 * c("n_dup_lines") > 30 * c("n_lines")),
+        100 * c("n_shouts") > 20 * c("n_words"),
+        100 * c("n_stutters") > 30 * c("n_words"),
+        c("word_chars") > 20 * c("n_words"),
+    )
+    return [Rule(n, f) for n, f in zip(NAMES, fails, strict=True)]
 
 
 BASE = ("too_short", "repeated_windows")

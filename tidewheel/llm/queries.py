@@ -91,6 +91,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of each policy rejects over all documents, alone and with others, and what stays without it."""
+    return quality_rules.ablations(quality_rules.ledger(_table(spark, sf_dir, "documents")))
+
+
 SQL: dict[str, str] = {
     "op3_url_filter": """
 WITH r(verdict, host, path) AS (VALUES """
@@ -138,8 +143,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fai
 }
 
 
+_bits = lambda names: sum(1 << quality_rules.NAMES.index(n) for n in names)
+_CASES = ", ".join(f"('{p.name}', {p.version}, '{n}', {_bits(p.rejects)}, {_bits([n])})" for p in quality_rules.POLICIES for n in p.rejects)
+SQL["rule_ablations"] = f"""WITH book AS ({SQL["op10_quality_rules"]}), c(policy, version, rule, mask, bit) AS (VALUES {_CASES})
+SELECT policy, version, rule, count(*) FILTER ((failed & mask & bit) <> 0) AS rejected, count(*) FILTER ((failed & mask) = bit) AS rejected_alone, count(*) FILTER ((failed & mask) = 0) AS kept,
+  count(*) FILTER ((failed & xor(mask, bit)) = 0) AS kept_without FROM book, c GROUP BY ALL"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard_join": op1_jaccard_join, "op2_lm_scoring": op2_lm_scoring, "op3_url_filter": op3_url_filter, "op4_language_id": op4_language_id, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules}
+    return {"op1_jaccard_join": op1_jaccard_join, "op2_lm_scoring": op2_lm_scoring, "op3_url_filter": op3_url_filter, "op4_language_id": op4_language_id, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules, "rule_ablations": rule_ablations}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -9,17 +9,21 @@ if the first level that rejects it is an even one, counted from 1, or if all
 accept it and their number is odd.  As every key that the corpus can ask for
 was checked when the levels were built, answers are exact.
 
-The corpus's key universe is every (host suffix, path prefix) whose path ends
-with a slash, or is whole, or has the length of a listed path of that host; the keys are built by
+The corpus's key universe is every (host suffix, path prefix) of its urls whose number of labels and whose length
+a listed host and path have; the keys are built by
 Spark, and levels are built by distributed passes over the distinct keys.  A
 level holds ``BITS_A_KEY`` bits for each key that it encodes: the first as many
 as are listed, the next a few per cent of the universe.  Filters are handed to all
-tasks only while they take at most ``MOST_BYTES``; a larger list is refused with an
-error that says so, and is to be split by host into several cascades.
+tasks only while they take at most ``MOST_BYTES``; a larger list is dealt out by key over as many cascades
+as it takes, and urls are judged by one after another.
+
+Keys are compared by 64-bit hashes: answers are exact but for a chance of about
+(keys of the corpus) x (listed keys) / 2 ** 64 that two of them collide.
 
 Defined results: a null url or one without ``://`` has an empty host and path,
 which no rule fits and no list holds; repeated rows and null ids are judged
-row by row; an empty table gives an empty result; extra columns are dropped.
+row by row; of fitting rules of equal length the first counts; very long urls are judged whole, and give no more keys than listed
+lengths allow; an empty table gives an empty result; extra columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -61,10 +65,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def suffixes(host: Column) -> Column:
-    """A host and all its parent domains."""
+def suffixes(host: Column, labels: Column) -> Column:
+    """The host and those of its parent domains that a listed host can equal.
+
+    labels: the numbers of labels of listed hosts, ascending.
+    """
     parts = F.split(host, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts) - i + 1), "."))
+    fit = F.filter(labels, lambda n: n <= F.size(parts))
+    return F.transform(fit, lambda n: F.array_join(F.slice(parts, F.size(parts) - n + 1, n), "."))
 
 
 def prefixes(path: Column, lengths: Column) -> Column:
@@ -76,10 +84,10 @@ def prefixes(path: Column, lengths: Column) -> Column:
     return F.transform(fit, lambda n: F.substring(path, F.lit(1), n))
 
 
-def keys_of(host: Column, path: Column, lengths: Column) -> Column:
+def keys_of(host: Column, path: Column, labels: Column, lengths: Column) -> Column:
     """64-bit keys of every pair of a host suffix and a path prefix."""
     heads = prefixes(path, lengths)
-    pairs = F.transform(suffixes(host), lambda h: F.transform(heads, lambda p: F.struct(h.alias("host"), p.alias("path"), F.xxhash64(h, p).alias("key"))))
+    pairs = F.transform(suffixes(host, labels), lambda h: F.transform(heads, lambda p: F.struct(h.alias("host"), p.alias("path"), F.xxhash64(h, p).alias("key"))))
     return F.filter(F.flatten(pairs), lambda x: host != "")
 
 
@@ -139,6 +147,10 @@ def _merge(filters: Iterator[bytes]) -> np.ndarray | None:
     return total
 
 
+class TooLarge(ValueError):
+    """The filters of a cascade would take more than MOST_BYTES."""
+
+
 def build(listed: DataFrame, universe: DataFrame) -> Cascade:
     """The cascade of ``listed`` over ``universe`` (each a column ``key`` of distinct 64-bit keys)."""
     spark = listed.sparkSession
@@ -152,44 +164,70 @@ def build(listed: DataFrame, universe: DataFrame) -> Cascade:
             break
         bits = -(-max(n * BITS_A_KEY, 64) // 8) * 8
         if bits // 8 + sum(map(len, levels)) > MOST_BYTES:
-            raise ValueError(f"the list needs more than {MOST_BYTES} bytes of filters; split it by host")
+            raise TooLarge(f"the list needs more than {MOST_BYTES} bytes of filters")
         rows = encoded.mapInPandas(_encode(bits, level), "bits binary").toLocalIterator()
         levels.append(_merge(r["bits"] for r in rows))
         found = spark.sparkContext.broadcast(Cascade(tuple(levels)))
         let_through = save(other.mapInPandas(_through(found, level), other.schema), "let-through")
+        found.destroy()
         encoded, other = let_through, encoded
     else:
         raise ValueError("the cascade did not end")
     return Cascade(tuple(levels))
 
 
-def judge_urls(pages: DataFrame, rules: list[Rule], blocked_hosts: tuple[str, ...] = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Per row: page_id, host, path, rule (the longest that fits, else null), verdict.
-
-    ``blocked_hosts`` are further listed keys: hosts blocked whole if no rule fits.
-    """
-    spark = pages.sparkSession
-    extra = [Rule("block", h, "") for h in blocked_hosts if h not in {r.host for r in rules if not r.path}]
-    table = spark.createDataFrame([(r.host, r.path) for r in [*rules, *extra]], "host string, path string")
-    # Listed paths have few lengths; only prefixes of these lengths can be listed.
-    lengths = F.array(*[F.lit(n) for n in sorted({len(r.path) for r in [*rules, *extra]})]).cast("array<int>")
-    split = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    universe = split.select("host", "path").distinct().select(F.explode(keys_of(F.col("host"), F.col("path"), lengths)["key"]).alias("key"))
-    cascade = spark.sparkContext.broadcast(build(table.select(F.xxhash64("host", "path").alias("key")), universe))
-
+def _held(cascade, groups: int, group: int):
     @F.pandas_udf("array<boolean>")
     def held(keys: pd.Series) -> pd.Series:
+        if not len(keys):
+            return pd.Series([], dtype=object)
         sizes = keys.map(len).to_numpy()
         flat = np.concatenate(keys.to_list()).astype(np.int64) if sizes.sum() else np.zeros(0, dtype=np.int64)
-        return pd.Series(np.split(cascade.value.listed(flat), np.cumsum(sizes)[:-1])) if len(sizes) else pd.Series([], dtype=object)
+        return pd.Series(np.split(cascade.value.listed(flat) & (flat % groups == group), np.cumsum(sizes)[:-1]))
+
+    return held
+
+
+def _looked_up(asked: DataFrame, listed: DataFrame, universe: DataFrame) -> DataFrame:
+    """Add ``held`` to (keys, ...): which of the keys are listed.  Keys are dealt out over as many cascades as it takes."""
+    spark, groups = asked.sparkSession, 1
+    while True:
+        out, part = asked, lambda df, g: df.where(F.pmod("key", F.lit(groups)) == g)  # noqa: B023
+        try:
+            for group in range(groups):
+                cascade = spark.sparkContext.broadcast(build(part(listed, group), part(universe, group)))
+                found = _held(cascade, groups, group)(F.col("keys.key"))
+                out = out.withColumn("held", F.zip_with("held", found, lambda x, y: x | y) if group else found)
+                if groups > 1:  # the filters of one group go before the next one's come
+                    out = save(out, "held")
+                    cascade.destroy()
+            return out
+        except TooLarge:
+            groups *= 2
+
+
+def judge_urls(pages: DataFrame, rules: list[Rule], blocked_hosts: tuple[str, ...] | DataFrame = (), id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """Per row: page_id, host, path, rule (the longest that fits, else null), verdict.
 
-    asked = split.withColumn("_keys", keys_of(F.col("host"), F.col("path"), lengths))
-    found = asked.withColumn("_held", held(F.col("_keys.key")))
-    fits = F.filter(F.arrays_zip("_keys", "_held"), lambda x: x["_held"])
-    names = F.transform(fits, lambda x: F.concat(x["_keys"]["host"], x["_keys"]["path"]))
+    ``blocked_hosts`` are further listed keys, given as names or as a table with a column ``host``: hosts blocked whole if no rule fits.
+    """
+    spark = pages.sparkSession
+    if not isinstance(blocked_hosts, DataFrame):
+        blocked_hosts = spark.createDataFrame([(h,) for h in blocked_hosts], "host string")
+    ruled = spark.createDataFrame([(r.host, r.path) for r in rules], "host string, path string")
+    table = ruled.unionByName(blocked_hosts.select("host", F.lit("").alias("path"))).where("host is not null")
+    # Listed hosts have few numbers of labels and paths few lengths; only such suffixes and prefixes can be listed.
+    size = table.agg(F.sort_array(F.collect_set(F.size(F.split("host", r"\.")))).alias("labels"), F.sort_array(F.collect_set(F.length("path"))).alias("lengths")).first()
+    labels, lengths = (F.array(*map(F.lit, size[x])).cast("array<int>") for x in ("labels", "lengths"))
+    split = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    keys = keys_of(F.col("host"), F.col("path"), labels, lengths)
+    universe = split.select("host", "path").distinct().select(F.explode(keys["key"]).alias("key"))
+    found = _looked_up(split.withColumn("keys", keys), table.select(F.xxhash64("host", "path").alias("key")), universe)
+    fits = F.filter(F.arrays_zip("keys", "held"), lambda x: x["held"])
+    names = F.transform(fits, lambda x: F.concat(x["keys"]["host"], x["keys"]["path"]))
     own = {r.name: r.verdict for r in rules}
-    ruled = F.filter(names, lambda x: x.isin(list(own)))
-    longest = F.reduce(ruled, F.lit("").cast("string"), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
+    by_length = F.filter(names, lambda x: x.isin(list(own)))
+    longest = F.reduce(by_length, F.lit("").cast("string"), lambda a, x: F.when(F.length(x) > F.length(a), x).otherwise(a))
     rule = F.nullif(longest, F.lit(""))
-    by_rule = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])[rule]
+    by_rule = F.try_element_at(F.create_map(*[F.lit(x) for pair in own.items() for x in pair]), rule) if own else F.lit(None).cast("string")
     return found.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(by_rule, F.when(F.size(names) > 0, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"))

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.llm import textkit
-from tidewheel.llm.sampling import of_ids
+from tidewheel.llm.sampling import fitted, of_ids
 from tidewheel.llm.scratch import doc_hash, small_batches
 
 #: Rows to learn from, and bytes of their texts; log2 of weight rows; bytes of affixes and of n-grams; mixed texts a step, words in each, steps.
@@ -200,7 +200,10 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     known = known.where(doc_hash("doc_id") % 5 != 0).where(F.col("text").rlike(r"\p{L}"))
     # Ids first, so that the sort carries no texts.
     ids = known.select("doc_id").where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = of_ids(known, ids, SAMPLE_BYTES)
+    return fitted(of_ids(known, ids, SAMPLE_BYTES), _of_rows)
+
+
+def _of_rows(rows: pa.Table) -> Crf | None:
     docs_, gold = [], []
     langs = sorted(set(rows.column("lang").to_pylist()))
     at = 0

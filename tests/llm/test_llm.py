@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 import struct
 import zlib
 from collections import defaultdict
@@ -352,6 +353,33 @@ def test_url_filter(spark):
     assert url_filter.judge_urls(pages.limit(0), rules).count() == 0
 
 
+def brute_verdict(url, rules, blocked):
+    head, mark, rest = (url or "").partition("://")
+    end = next((i for i, x in enumerate(rest) if x in "/?#"), len(rest))
+    host = "".join(x.lower() if "A" <= x <= "Z" else x for x in rest[:end]) if mark else ""
+    path = rest[end:].partition("?")[0].partition("#")[0] if mark else ""
+    under = lambda h: bool(host) and (host == h or host.endswith("." + h))
+    fit = sorted((r for r in rules if under(r.host) and path.startswith(r.path)), key=lambda r: -len(r.name))
+    return host, path, fit[0].name if fit else None, fit[0].verdict if fit else "block" if any(map(under, blocked)) else "allow"
+
+
+@pytest.mark.parametrize("most", [1 << 26, 300])
+def test_url_filter_against_brute_force(spark, monkeypatch, most):
+    """Repeated rows, null ids, long urls and hosts with many dots; a list in one cascade and in many."""
+    monkeypatch.setattr(url_filter, "MOST_BYTES", most)
+    rng = random.Random(7)
+    R = url_filter.Rule
+    rules = [R("block", "com", "/en/"), R("allow", "b.com", "/en/7"), R("block", "net"), R("allow", "a.net", "/x")]
+    blocked = [f"h{i}.org" for i in range(200)]
+    hosts = ["a.b.com", "B.com", "a.net", "x.a.net", "net", ".net", "com.", "h7.org", "w.h9.org", "xh9.org", "h300.org", "." * 300 + "com", "a." * 2000 + "b.com"]
+    urls = [f"http://{rng.choice(hosts)}{rng.choice(['', '/', '/en/', '/en/77', '/x/y', '/en/' + 'z' * 5000, '?q=/en/', '#/x'])}" for _ in range(300)] + [None, "", "://", "no host", "http://"]
+    rows = [(i if i % 50 else None, u) for i, u in enumerate(urls)] + [(1, urls[1]), (1, urls[1])]
+    pages = spark.createDataFrame(rows, "page_id long, url string").selectExpr("*", "1 AS host", "2 AS path", "3 AS keys", "4 AS held")
+    listed = spark.createDataFrame([(h,) for h in blocked], "host string")
+    got = sorted((tuple(r) for r in url_filter.judge_urls(pages, rules, listed).collect()), key=str)
+    assert got == sorted(((i, *brute_verdict(u, rules, blocked)) for i, u in rows), key=str)
+
+
 def test_cascade_is_exact(spark):
     listed, universe = spark.range(0, 4000, 7).select(F.xxhash64("id").alias("key")), spark.range(20000).select(F.xxhash64("id").alias("key"))
     cascade = url_filter.build(listed, universe)
@@ -481,7 +509,7 @@ def test_attention_gradients():
     assert np.bincount(row, (y >= 0).sum(axis=1), 3).tolist() == [5, 0, 165]
     loss = lambda: -model.log_probs(x, y).sum() / (y >= 0).sum()
     g = model.gradients(x, y)
-    for name in ("t", "near", "c", "bc", "w", "bw"):
+    for name in ("t", "near", "c", "w"):
         v = model.p[name]
         for at in np.argsort(-np.abs(g[name]), axis=None)[:5]:
             at = np.unravel_index(at, v.shape)
@@ -515,11 +543,11 @@ def test_attention_windows_against_one_pass():
         first = i - i % lm_scoring.STEP - lm_scoring.CONTEXT - 1
         context = [z[j] if j >= 0 else lm_scoring.VOCAB for j in range(first, i)]
         q, k, v = p["t"][context[-1]][lm_scoring.Q], p["t"][context][:, lm_scoring.K], p["t"][context][:, lm_scoring.V]
-        a = np.exp(k @ q * lm_scoring.HEAD**-0.5 + p["near"][np.arange(len(context))[::-1]])
-        h = p["t"][context[-1]][lm_scoring.E] + (a / a.sum()) @ v
+        a = np.exp(k @ q + p["near"][np.arange(len(context))[::-1]])
+        h = np.append(p["t"][context[-1]][lm_scoring.E] + (a / a.sum()) @ v, 1)
         soft = lambda x: x - np.log(np.exp(x).sum())
         c, e = divmod(z[i], lm_scoring.EACH)
-        assert got[i] == pytest.approx(soft(h @ p["c"].T + p["bc"])[c] + soft(h @ p["w"][c].T + p["bw"][c])[e])
+        assert got[i] == pytest.approx(soft(h @ p["c"].T)[c] + soft(h @ p["w"][c].T)[e])
 
 
 def lm_texts(n=60):
@@ -564,6 +592,13 @@ def test_lm_trains_on_every_window_once(monkeypatch):
     assert all(np.array_equal(seen[0], x) for x in seen)
 
 
+def test_lm_shares():
+    for top in (1.0, 500.0):
+        x = np.array([[top, 0, -1e9], [0, 0, 0]])
+        want = np.log(np.array([1 / (1 + np.exp(-top)), 1 / 3]))
+        assert lm_scoring.shares(x, x[:, 0].copy()) == pytest.approx(want) and x.sum(axis=1) == pytest.approx(1)
+
+
 def test_lm_softmax_does_not_depend_on_other_rows():
     model = attention([3] * 50)
     model.p["t"][1, lm_scoring.Q], model.p["t"][1, lm_scoring.K] = 40, 40
@@ -622,3 +657,47 @@ def test_licences_in_spans(spark):
 def test_licence_words_that_are_needed():
     v = {t: 0.5 for t in "abcd"}
     assert len(license_scan.telling([v], {t: 1.0 for t in v}, 0.6)) == 3
+
+
+def brute_licence(text, idf, unseen):
+    """(name, score) of the best span by plain loops over all of them."""
+    words = lambda x: re.findall(license_scan.TERM, x.lower())
+
+    def cosine(span, template):
+        v = license_scan.vector(template, idf)
+        size = math.sqrt(sum((span.count(w) * idf.get(w, unseen)) ** 2 for w in set(span)))
+        return sum(v.get(w, 0) * idf.get(w, 0) for w in span) / size if size else 0
+
+    found, every = [], words(text)
+    for line in text.split("\n"):
+        found += [(cosine(words(line), x), n) for n, x in license_scan.TEMPLATES.items()]
+    for name, x in [*license_scan.TEMPLATES.items(), *((n, x) for n, group in license_scan.NOTICES.items() for x in group)]:
+        n = len(words(x))
+        for i in (i for i, w in enumerate(every) if w in words(x)):
+            span = every[min(i, max(0, len(every) - n)) :][:n]
+            if n > license_scan.SHORT or set(words(x)) <= set(span):
+                found.append((cosine(span, x), name))
+    found += [(cosine(every, x), n) for n, x in license_scan.FULL.items() if len(every) <= 2 * len(words(x))]
+    good = [(round(c, 9), n) for c, n in found if round(c, 9) >= license_scan.THRESHOLD]
+    return min(good, key=lambda x: (-x[0], x[1]))[::-1] if good else (None, None)
+
+
+def test_licences_against_brute_force(spark):
+    """Notices whole, cut, shuffled and inside other words; ties; a long text; columns with clashing names."""
+    rng = random.Random(11)
+    notices = [*license_scan.TEMPLATES.values(), *(x for group in license_scan.NOTICES.values() for x in group)]
+    texts = []
+    for _ in range(60):
+        w = rng.choice(notices).split(" ")
+        kind = rng.randint(0, 3)
+        w = w[: rng.randint(1, len(w))] if kind == 0 else w[::2] + w[1::2] if kind == 1 else [x for y in w for x in ([y, "word"] if rng.random() < 0.2 else [y])] if kind == 2 else w
+        filler = [rng.choice(("some", "plain", "words", "the", "of", "license", "software")) for _ in range(rng.randint(0, 30))]
+        texts.append(" ".join(filler[:10]) + rng.choice(("\n", " ")) + rng.choice((" ", "\n")).join(w) + rng.choice(("\n", " ")) + " ".join(filler[10:]))
+    texts += ["", "All rights reserved. Released under the MIT License.", "filler " * 4000 + "\nReleased under the MIT License."]
+    df = spark.createDataFrame([(i, f"d{i}/x", t, "mine", 1) for i, t in enumerate(texts)], "doc_id long, path string, text string, own string, dir int")
+    templates = [x for _, x in [*license_scan.TEMPLATES.items(), *((n, x) for n, group in license_scan.NOTICES.items() for x in group), *license_scan.FULL.items()]]
+    idf, unseen = license_scan.weights(df, "text", templates)
+    got = {r["doc_id"]: (r["licence"], r["score"]) for r in license_scan.scan(df).collect()}
+    for i, t in enumerate(texts):
+        name, score = brute_licence(t, idf, unseen)
+        assert got[i][0] == name and (score is None or got[i][1] == pytest.approx(score, abs=2e-9)), t

@@ -2,7 +2,7 @@
 
 Spans of a file are compared with licence templates by the cosine of sparse TF-IDF
 vectors; the best one above a threshold is the file's own licence.  Spans are every
-line, every run of words as long as a template (so that a notice is found that is
+line, every run of words as long as a template that begins with one of its words (so that a notice is found that is
 wrapped, stands inside a line or carries a holder's name; of a template of at most
 ``SHORT`` words all must be there) and, for full licence texts, the whole of a file.
 What shares too few words with a template to reach the threshold (the cosine is at
@@ -20,8 +20,8 @@ files with directories.
 Defined results: null and empty texts have no own licence and may inherit; a
 null or empty path has the root as its directory; of several licence files in
 one directory the one with the best score counts, ties by the licence's name; equal scores of
-templates go to the first name; repeated rows and null ids are judged row by row;
-an empty table gives an empty result; extra input columns are dropped.
+templates go to the first name; repeated rows and null ids are judged row by row; very long texts are
+judged whole; an empty table gives an empty result; extra input columns are dropped, whatever their names.
 """
 
 from __future__ import annotations
@@ -75,8 +75,10 @@ def weights(files: DataFrame, text_col: str, templates: list[str]) -> tuple[dict
     """Inverse document frequencies of template terms over all files, and that of an unseen term."""
     every = sorted({t for x in templates for t in re.findall(TERM, x.lower())})
     there = F.array_intersect(terms_of(F.coalesce(F.col(text_col), F.lit(""))), F.array(*map(F.lit, every)))
-    n = files.count()
-    df = {r["term"]: r["n"] for r in files.select(F.explode(there).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()}
+    # One pass: the empty term, which every file has, counts the files.
+    seen = files.select(F.explode(F.array_append(there, F.lit(""))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    df = {r["term"]: r["n"] for r in seen.collect()}  # a row for each template term
+    n = df.get("", 0)
     return {t: math.log((n + 2) / (df.get(t, 0) + 1)) for t in every}, math.log(n + 2)
 
 
@@ -126,7 +128,6 @@ def own_licence(text: Column, idf: dict[str, float], unseen: float, lines: dict[
         v, n = vector(x, idf), len(re.findall(TERM, x.lower()))
         if not v:
             return none
-        # A run that starts with another word is not better than the one after it.
         last = F.greatest(F.size(words) - n, F.lit(0))
         starts = F.filter(F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0))), lambda i: F.array_contains(terms(v), F.get(words, i)))
         spans = F.transform(F.array_distinct(F.transform(starts, lambda i: F.least(i, last))), lambda i: F.slice(words, i + 1, F.lit(n)))

@@ -49,6 +49,22 @@ _END = np.uint64(0)  # stands for the end among word hashes
 _NEVER = np.float32(-1e9)
 
 
+def shares(x: np.ndarray, picked: np.ndarray) -> np.ndarray:
+    """Turn logits into their softmax over the last axis, in place; returns the log of the picked ones' shares.
+
+    picked: logits, one of each row.  If all are far from where exp leaves its range no row needs its maximum
+    taken off: a row's sum is at least exp of its picked logit and finite.
+    """
+    if x.size and not (x.max() < 60 and picked.min() > -60):
+        top = x.max(axis=-1)
+        x -= top[..., None]
+        picked = picked - top
+    np.exp(x, out=x)
+    total = np.matmul(x, np.ones((x.shape[-1], 1), dtype=x.dtype))
+    x *= 1 / total
+    return picked - np.log(total[..., 0])
+
+
 class Attention:
     """Parameters by name, forward and backward passes."""
 
@@ -66,7 +82,9 @@ class Attention:
         draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         # Numbers that no id has, and classes of such, never get a probability; the others begin at their frequency.
         log = lambda x: np.where(x > 0, np.log(np.maximum(x, 1) / seen.sum()), _NEVER).astype(np.float32)
-        self.p = {"t": draw(VOCAB + 1, WIDTH), "near": np.zeros(SPAN, dtype=np.float32), "c": draw(CLASSES, DIM), "bc": log(seen.sum(axis=1)), "w": draw(CLASSES, EACH, DIM), "bw": log(seen)}
+        # The last column of an output's weights is its bias.
+        biased = lambda w, b: np.concatenate([w, b[..., None]], axis=-1)
+        self.p = {"t": draw(VOCAB + 1, WIDTH), "near": np.zeros(SPAN, dtype=np.float32), "c": biased(draw(CLASSES, DIM), log(seen.sum(axis=1))), "w": biased(draw(CLASSES, EACH, DIM), log(seen))}
         self.squares = {n: np.full_like(v, 1e-6) for n, v in self.p.items()}
         distance = np.arange(CONTEXT, SPAN)[:, None] - np.arange(SPAN)[None]
         self.distance, self.future = np.maximum(distance, 0), distance < 0
@@ -91,13 +109,13 @@ class Attention:
         t = np.take(self.p["t"], x.ravel(), axis=0).reshape(len(x), SPAN, WIDTH)
         q, k, v = t[:, CONTEXT:, Q], t[:, :, K], t[:, :, V]
         a = np.matmul(q, k.transpose(0, 2, 1))
-        a *= np.float32(HEAD**-0.5)
         a += np.where(self.future, _NEVER, self.p["near"][self.distance])
-        a -= a.max(axis=2, keepdims=True)
-        np.exp(a, out=a)
-        a /= np.matmul(a, np.ones((SPAN, 1), dtype=a.dtype))
-        h = np.matmul(a, v)
-        h += t[:, CONTEXT:, E]
+        # Each position sees itself, so its own logit is a bound below.
+        shares(a, a[:, np.arange(STEP), np.arange(CONTEXT, SPAN)])
+        h = np.empty((len(x), STEP, DIM + 1), dtype=a.dtype)
+        h[:, :, DIM] = 1
+        np.matmul(a, v, out=h[:, :, :DIM])
+        h[:, :, :DIM] += t[:, CONTEXT:, E]
         return q, k, v, a, h
 
     def predict(self, h: np.ndarray, target: np.ndarray, back: bool = False) -> tuple:
@@ -109,29 +127,24 @@ class Attention:
         place, cuts = target[order] - cls * EACH, np.searchsorted(cls, np.arange(CLASSES + 1))
         mine = [(c, slice(cuts[c], cuts[c + 1])) for c in range(CLASSES) if cuts[c + 1] > cuts[c]]
         outer, inner = z @ p["c"].T, np.empty((n, EACH), dtype=z.dtype)
-        outer += p["bc"]
         for c, s in mine:
             np.matmul(z[s], p["w"][c].T, out=inner[s])
-            inner[s] += p["bw"][c]
         found = np.zeros(n, dtype=z.dtype)
         for x, at in ((outer, cls), (inner, place)):
-            x -= x.max(axis=1, keepdims=True)
-            found += x[every, at]
-            np.exp(x, out=x)
-            total = np.matmul(x, np.ones((x.shape[1], 1), dtype=x.dtype))
-            found -= np.log(total[:, 0])
+            found += shares(x, x[every, at])
             if back:
-                x /= total * n
-                x[every, at] -= z.dtype.type(1 / max(1, n))
+                x[every, at] -= 1
         out = np.empty_like(found)
         out[order] = found
         if not back:
             return (out,)
-        g = {"c": outer.T @ z, "bc": outer.sum(axis=0), "w": np.zeros_like(p["w"]), "bw": np.zeros_like(p["bw"])}
-        dz = outer @ p["c"]
+        z *= z.dtype.type(1 / max(1, n))
+        g = {"c": outer.T @ z, "w": np.zeros_like(p["w"])}
+        dz = outer @ p["c"][:, :DIM]
         for c, s in mine:
-            g["w"][c], g["bw"][c] = inner[s].T @ z[s], inner[s].sum(axis=0)
-            dz[s] += inner[s] @ p["w"][c]
+            g["w"][c] = inner[s].T @ z[s]
+            dz[s] += inner[s] @ p["w"][c, :, :DIM]
+        dz *= z.dtype.type(1 / max(1, n))
         dh = np.empty_like(dz)
         dh[order] = dz
         return out, g, dh
@@ -149,16 +162,16 @@ class Attention:
         on = y >= 0
         q, k, v, a, whole = self.attend(x)
         _, g, d = self.predict(whole[on], y[on], back=True)
-        dh = np.zeros_like(whole)
+        dh = np.zeros((*whole.shape[:2], DIM), dtype=whole.dtype)
         dh[on] = d
-        dt = np.zeros((len(x), SPAN, WIDTH), dtype=whole.dtype)
+        dt = np.empty((len(x), SPAN, WIDTH), dtype=whole.dtype)
+        dt[:, :CONTEXT] = 0
         dt[:, CONTEXT:, E] = dh
         dt[:, :, V] = np.matmul(a.transpose(0, 2, 1), dh)
         da = np.matmul(dh, v.transpose(0, 2, 1))
         da -= (da * a).sum(axis=2, keepdims=True)
         da *= a
         g["near"] = np.bincount(self.distance.ravel(), (da.sum(axis=0) * ~self.future).ravel(), SPAN).astype(whole.dtype)
-        da *= np.float32(HEAD**-0.5)
         dt[:, CONTEXT:, Q] = np.matmul(da, k)
         dt[:, :, K] = np.matmul(da.transpose(0, 2, 1), q)
         # Rows of the table are summed up by number, in order.
@@ -326,7 +339,7 @@ def fit(training: DataFrame, total: int, part_texts: int | None = None) -> Atten
     model = Attention(id_counts(training, total))
     n = math.ceil(training.select("key").distinct().count() / (part_texts or PART_TEXTS))
     texts = training.select(F.pmod(F.xxhash64("key"), F.lit(max(1, n))).alias("part"), "key", "ids")
-    for some, tasks in ((texts.where("part = 0"), 1), (texts.where("part > 0"), max(1, n - 1))):
+    for some, tasks in ((texts.where("part = 0"), 1), (texts.where("part > 0"), 3 * n)):  # with more tasks than parts few have two
         shared = training.sparkSession.sparkContext.broadcast((model, model.packed()))
         trained = some.repartition(tasks, "part").sortWithinPartitions("part", "key").mapInArrow(_train_parts(shared), SCHEMA)
         for groups in (max(16, math.isqrt(n)), 16):  # no task adds up more than the root of the number of parts

@@ -701,3 +701,23 @@ def test_licences_against_brute_force(spark):
     for i, t in enumerate(texts):
         name, score = brute_licence(t, idf, unseen)
         assert got[i][0] == name and (score is None or got[i][1] == pytest.approx(score, abs=2e-9)), t
+
+
+def test_clashing_columns_change_nothing(spark):
+    """Every operator that drops extra columns, on a table that has columns with the names it uses inside."""
+    rng = random.Random(13)
+    items = [(i, " ".join(rng.choice(("one", "two", "tree", "house", "bad")) for _ in range(rng.randint(0, 40)))) for i in range(40)] + [(None, None), (3, ""), (5, "ties"), (5, "ties"), (50, "long text " * 6000)]
+    docs = docs_of(spark, items)
+    names = "key learn n comp token tokens matches place rep node ids part word more copies base known rare score held best shares lettered bytes all nth piece start length local rank first size text_crc32 row_number shard slot keys host path rule own dir c0 c1 _key _at _p _part".split()
+    more = docs.select("*", *[F.lit(f"x{i}").alias(c) for i, c in enumerate(names)], F.lit(1).alias("dotted.name"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(0, items[1][1])], "item_id long, text string")
+    runs = {
+        "op1": lambda d: jaccard_join.jaccard_classes(d, 4, 85, sketch_bits=10), "op2": lambda d: lm_scoring.score_texts(d, PATH), "op4": lambda d: language_id.identify(d).drop("shares"), "op5": lambda d: packing.pack(d, PATH).groupBy("doc_id", "piece", "length", "ids_crc32").count(),
+        "op6": lambda d: decontamination.leaks(d, bench), "op7": lambda d: license_scan.scan(d.withColumn("path", F.lit("a/b"))), "op8": lambda d: sharding.shard_rows(d, 4), "op9": lambda d: toxicity.scores(d, labels),
+    }
+    plain = lambda rows: sorted((tuple(f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) for r in rows), key=str)
+    for name, run in runs.items():
+        one, two = run(docs), run(more)
+        assert one.columns == two.columns, name
+        assert plain(one.collect()) == plain(two.collect()), name

@@ -199,3 +199,23 @@ def test_cluster_summary_of_one(spark):
     p = spark.createDataFrame([(1, 0, [1.0, 2.0]), (2, 0, [3.0, 2.0]), (3, -1, [9.0, 9.0])], "entity_id long, cluster int, features array<double>")
     got = {r["cluster"]: (r["n"], r["x_mean"], r["y_std"]) for r in V.summary(p, ["x", "y"]).collect()}
     assert got == {0: (2, 2.0, 0.0), -1: (1, 9.0, None)}
+
+
+def test_differences_and_dispatch(spark):
+    a, b = (spark.createDataFrame([(i,) for i in x], "entity_id long") for x in ((1, 1, 2, None), (2, 3)))
+    assert {tuple(r) for r in I.differences(a, b).collect()} == {(1, "right"), (3, "left")}
+    e = spark.createDataFrame([(1, i, float(7 * i), 10.0) for i in range(8)], "entity_id long, seq long, days double, duration double")
+    for kind, way in T.SERIES.items():
+        one, two = T.dataset(e, kind, "weekly", 70), way(e, 10, 70)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, two.collect()))
+    z = [r["value"] for r in T.dataset(e, "burden_rate", "weekly", 70, True).collect()]
+    assert np.mean(z) == pytest.approx(0) and np.std(z) == pytest.approx(1)
+    with pytest.raises(ValueError):
+        T.dataset(e, "other")
+    assert T.state_table(e, "weekly", 70).first()["n_transitions"] >= 1
+
+
+def test_feature_table(spark):
+    raw = spark.createDataFrame([(1, i, T0 + dt.timedelta(days=i), d, T0) for i, d in enumerate((5.0, -1.0, 20.0, 0.0))], "entity_id long, seq long, start_ts timestamp_ntz, duration double, anchor_ts timestamp_ntz")
+    r = X.feature_table(raw, groups=("burden",)).first()
+    assert r["total_af_minutes"] == 25 and r["follow_up_days"] == 2

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.special import t_pvalue
-from tidewheel.operators.events import WINDOWS
+from tidewheel.operators.events import WINDOWS, CleanConfig, align, clean
 
 c, lit = F.col, F.lit
 INF = float("inf")
@@ -247,6 +247,11 @@ def extract(events: DataFrame, groups: tuple[str, ...] = tuple(GROUPS), windows:
     return out.select("entity_id", *names)
 
 
+def feature_table(raw: DataFrame, config: CleanConfig = CleanConfig(), max_days: float | None = MOST_DAYS, groups: tuple[str, ...] = tuple(GROUPS), windows: tuple = WINDOWS) -> DataFrame:  # noqa: B008
+    """From raw events to features in one call: cleaned, aligned, extracted."""
+    return extract(align(clean(raw, config), max_days), groups, windows)
+
+
 def names(groups: tuple[str, ...] = tuple(GROUPS), windows: tuple = WINDOWS) -> list[str]:
     """The feature names of the groups, in order."""
     return [n for g in groups for n in (burden(windows) if g == "burden" else GROUPS[g]())[1]()]

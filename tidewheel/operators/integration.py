@@ -43,6 +43,13 @@ def missing_ids(left: DataFrame, right: DataFrame, key: str = "entity_id") -> Da
     return left.where(c(key).isNotNull()).select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
 
 
+def differences(left: DataFrame, right: DataFrame, key: str = "entity_id") -> DataFrame:
+    """(key, missing_in): distinct ids that only one of two tables has, in one exchange."""
+    ids = lambda df, bit: df.where(c(key).isNotNull()).select(key, lit(bit).alias("_t"))
+    seen = ids(left, 1).unionByName(ids(right, 2)).groupBy(key).agg(F.bit_or("_t").alias("_m"))
+    return seen.where("_m < 3").select(key, F.when(c("_m") == 1, "right").otherwise("left").alias("missing_in"))
+
+
 def cohort(events: DataFrame, outcomes: DataFrame, outcome: str, min_events: int = 1) -> tuple[DataFrame, DataFrame]:
     """Events of the entities with enough events and a known outcome, and the attrition table (step, n)."""
     every = events.where("entity_id IS NOT NULL").groupBy("entity_id").agg(F.count("*").alias("n"))

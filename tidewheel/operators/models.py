@@ -77,6 +77,8 @@ def bisecting(vectors: DataFrame, k: int) -> DataFrame:
     return BisectingKMeans(k=k, seed=SEED, featuresCol="v", predictionCol="cluster").fit(vectors).transform(vectors).select("entity_id", "v", "cluster")
 
 
+#: The clustering that a study settles on.
+FINAL = ("kmeans", 4)
 METHODS: dict[str, Callable[[DataFrame, int], DataFrame]] = {"kmeans": kmeans, "gmm": mixture, "hierarchical": bisecting}
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +22,6 @@ from tidewheel.plans import feature_sql, library_sql
 from tidewheel.sources import Catalog, Source, bind_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
-DAYS = 30
 
 
 def rounded(df: DataFrame, keys: tuple[str, ...] = ("entity_id",), digits: int = 6) -> DataFrame:
@@ -34,6 +34,12 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.align(E.clean(bind_events(table(spark, sf_dir, "events"))))
 
 
+def span(events: DataFrame) -> int:
+    """Whole days that hold all events, so that series and states leave none out."""
+    last = events.agg(F.max("days")).first()[0]
+    return max(1, math.ceil(last or 0))
+
+
 def wild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose rate intervals leave the plausible range at both ends."""
     events = table(spark, sf_dir, "events")
@@ -154,34 +160,43 @@ def segment_profile(spark, sf_dir):
     return rounded(I.profile(entities(spark, sf_dir), "segment", ["balance", "n_orders"]), ("segment", "feature"))
 
 
+def _rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    h = history(spark, sf_dir)
+    return T.rate_series(h, 10, span(h))
+
+
 def series_cumulative(spark, sf_dir):
-    return rounded(T.cumulative_series(history(spark, sf_dir), 10, DAYS), ("entity_id", "pos"))
+    h = history(spark, sf_dir)
+    return rounded(T.cumulative_series(h, 10, span(h)), ("entity_id", "pos"))
 
 
 def series_rate(spark, sf_dir):
-    return rounded(T.rate_series(history(spark, sf_dir), 10, DAYS), ("entity_id", "pos"))
+    return rounded(_rates(spark, sf_dir), ("entity_id", "pos"))
 
 
 def series_count(spark, sf_dir):
-    return rounded(T.count_series(history(spark, sf_dir), 11, DAYS), ("entity_id", "pos"))
+    h = history(spark, sf_dir)
+    return rounded(T.count_series(h, 11, span(h)), ("entity_id", "pos"))
 
 
 def series_zscore(spark, sf_dir):
-    return rounded(T.normalise(T.rate_series(history(spark, sf_dir), 10, DAYS), "zscore").drop("time"), ("entity_id", "pos"))
+    return rounded(T.normalise(_rates(spark, sf_dir), "zscore").drop("time"), ("entity_id", "pos"))
 
 
 def series_distances(spark, sf_dir):
-    return rounded(T.distances(T.rate_series(history(spark, sf_dir), 10, DAYS)), ("a", "b"))
+    return rounded(T.distances(_rates(spark, sf_dir)), ("a", "b"))
 
 
 def day_curves(spark, sf_dir):
-    found = T.group_curve(T.day_trajectory(history(spark, sf_dir), DAYS), entities(spark, sf_dir), "segment")
+    h = history(spark, sf_dir)
+    found = T.group_curve(T.day_trajectory(h, span(h)), entities(spark, sf_dir), "segment")
     return rounded(found, ("segment", "pos"))
 
 
 def _states(spark, sf_dir):
-    units = T.unit_burden(history(spark, sf_dir), "daily")
-    return T.states(units, T.thresholds(units), DAYS)
+    h = history(spark, sf_dir)
+    units = T.unit_burden(h, "daily")
+    return T.states(units, T.thresholds(units), span(h))
 
 
 def state_sequences(spark, sf_dir):
@@ -258,7 +273,7 @@ def dataset_summary(spark, sf_dir):
 
 
 def normalised_times(spark, sf_dir):
-    return rounded(E.normalised_time(history(spark, sf_dir), DAYS).select("entity_id", "seq", "normalised_time"), ("entity_id", "seq"), 9)
+    return rounded(E.normalised_time(history(spark, sf_dir), 30).select("entity_id", "seq", "normalised_time"), ("entity_id", "seq"), 9)
 
 
 def invalid_events(spark, sf_dir):
@@ -314,11 +329,12 @@ def selected_features(spark, sf_dir):
 
 
 def series_minmax(spark, sf_dir):
-    return rounded(T.normalise(T.rate_series(history(spark, sf_dir), 10, DAYS), "minmax").drop("time"), ("entity_id", "pos"))
+    return rounded(T.normalise(_rates(spark, sf_dir), "minmax").drop("time"), ("entity_id", "pos"))
 
 
 def series_endpoint(spark, sf_dir):
-    return rounded(T.normalise(T.count_series(history(spark, sf_dir), 11, DAYS), "endpoint").drop("time"), ("entity_id", "pos"))
+    h = history(spark, sf_dir)
+    return rounded(T.normalise(T.count_series(h, 11, span(h)), "endpoint").drop("time"), ("entity_id", "pos"))
 
 
 def own_trajectories(spark, sf_dir):
@@ -326,12 +342,13 @@ def own_trajectories(spark, sf_dir):
 
 
 def series_warped(spark, sf_dir):
-    return rounded(T.dtw_distances(T.rate_series(history(spark, sf_dir), 10, DAYS)), ("a", "b"))
+    return rounded(T.dtw_distances(_rates(spark, sf_dir)), ("a", "b"))
 
 
 def clinical_states(spark, sf_dir):
-    units = T.unit_burden(history(spark, sf_dir), "daily")
-    return T.states(units, T.thresholds(units, method="clinical", resolution="daily"), DAYS)
+    h = history(spark, sf_dir)
+    units = T.unit_burden(h, "daily")
+    return T.states(units, T.thresholds(units, method="clinical", resolution="daily"), span(h))
 
 
 def cluster_summary(spark, sf_dir):

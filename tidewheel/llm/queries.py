@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from tidewheel.llm import decontamination, jaccard_join, language_id, license_scan, lm_scoring, merkle, packing, quality_rules, sharding, toxicity, twins, url_filter
+from tidewheel.llm import collocations, decontamination, jaccard_join, language_id, license_scan, line_dedup, lm_scoring, merkle, packing, quality_rules, sharding, toxicity, twins, url_filter
 from tidewheel.llm.scratch import doc_hash
 
 
@@ -91,6 +91,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 collocations of each language, of all documents."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that stay in another one, as digests."""
+    kept = line_dedup.dedup_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as leaves of a manifest by language, with the roots that tampered texts lead to."""
     return merkle.tampered_check(_table(spark, sf_dir, "documents"))
@@ -147,7 +158,7 @@ f AS (SELECT *, (CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed FROM f""",
 }
 
-SQL["op13_merkle_manifest"] = twins.MERKLE
+SQL |= {"op11_collocations": twins.PHRASES, "op12_line_dedup": twins.LINES, "op13_merkle_manifest": twins.MERKLE}
 
 _bits = lambda names: sum(1 << quality_rules.NAMES.index(n) for n in names)
 _CASES = ", ".join(f"('{p.name}', {p.version}, '{n}', {_bits(p.rejects)}, {_bits([n])})" for p in quality_rules.POLICIES for n in p.rejects)
@@ -157,7 +168,7 @@ SELECT policy, version, rule, count(*) FILTER ((failed & mask & bit) <> 0) AS re
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_jaccard_join": op1_jaccard_join, "op2_lm_scoring": op2_lm_scoring, "op3_url_filter": op3_url_filter, "op4_language_id": op4_language_id, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules, "op13_merkle_manifest": op13_merkle_manifest, "rule_ablations": rule_ablations}
+    return {"op1_jaccard_join": op1_jaccard_join, "op2_lm_scoring": op2_lm_scoring, "op3_url_filter": op3_url_filter, "op4_language_id": op4_language_id, "op5_packing": op5_packing, "op6_decontamination": op6_decontamination, "op7_license_scan": op7_license_scan, "op8_sharding": op8_sharding, "op9_toxicity": op9_toxicity, "op10_quality_rules": op10_quality_rules, "op11_collocations": op11_collocations, "op12_line_dedup": op12_line_dedup, "op13_merkle_manifest": op13_merkle_manifest, "rule_ablations": rule_ablations}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -48,3 +48,29 @@ x AS (SELECT doc_id, g, i, leaf, coalesce(other, leaf) AS h, '' AS proof FROM o)
 y AS (SELECT f.doc_id, f.leaf, s.h AS subroot, 1 AS g, s.i AS i, f.h, f.proof FROM af6 f JOIN s ON s.key = f.g),
 {_folded("b", "y", 3)}
 SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f.h AS folded_root, f.h = root AS verified FROM bf2 f, (SELECT h AS root FROM b3)"""
+
+
+#: Every contiguous run of one to four words inside a piece, counted by language.
+PHRASES = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{UP}', '{LOW}') AS t FROM documents),
+p AS (SELECT lang, unnest(regexp_split_to_array(t, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+total AS (SELECT lang, sum(len(ws))::BIGINT AS n FROM w GROUP BY lang),
+g AS (SELECT lang, k, list_slice(ws, i, i + k - 1) AS ph FROM (SELECT lang, ws, unnest(range(1, 5)) AS k FROM w), unnest(range(1, len(ws) - k + 2)) AS t(i)),
+f AS (SELECT lang, k, ph, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 30),
+c AS (SELECT f.lang, f.ph, f.f AS a, j, l.f AS l, r.f AS r, (2000000::HUGEINT * f.f) // (l.f + r.f) AS score
+      FROM f, unnest(range(1, f.k)) AS t(j), f l, f r
+      WHERE f.k >= 2 AND l.lang = f.lang AND l.ph = list_slice(f.ph, 1, j) AND r.lang = f.lang AND r.ph = list_slice(f.ph, j + 1, f.k)),
+best AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, j) = 1),
+inside AS (SELECT lang, list_slice(ph, i, i + m - 1) AS ph, max(f) AS longer FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2), unnest(range(1, k - m + 2)) AS t(i) GROUP BY ALL),
+kept AS (SELECT best.lang, array_to_string(best.ph, ' ') AS phrase, a, l, r, score FROM best LEFT JOIN inside USING (lang, ph) WHERE longer IS NULL OR 100 * longer < 80 * a)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept) JOIN total USING (lang) WHERE rank <= 2000"""
+
+#: Lines by key; white space is stripped at both ends of each.
+LINES = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, 9223372036854775807) AS id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT rid, doc_id, id, i, ls[i] AS line, translate(trim(ls[i], {SPACE}), '{UP}', '{LOW}') AS key FROM d, unnest(range(1, len(ls) + 1)) AS t(i)),
+k AS (SELECT key, min(id) AS first FROM l WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT rid) >= 2),
+j AS (SELECT l.*, first IS NOT NULL AND first <> id AS gone FROM l LEFT JOIN k USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256 FROM j GROUP BY rid, doc_id"""

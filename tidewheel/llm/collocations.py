@@ -246,17 +246,25 @@ def _bit_table(keys: DataFrame, shift: int) -> tuple[np.ndarray, int]:
     return table, 64 - width
 
 
-def _counted(table, shift: int, longest: int) -> Callable:
-    """(lang, phrase, n) of the runs whose bits are set; the empty phrase counts all words."""
+COUNTS = "bucket long, lang string, phrases array<string>, counts array<long>"
+
+
+def _counted(table, shift: int, longest: int, bits: int) -> Callable:
+    """The runs whose bits are set and their counts, together by hash bucket and language; the empty phrase counts all words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, totals, held = table.value, {}, {}
+        set_, totals, held = table.value, {}, {}
 
         def out() -> pa.RecordBatch:
-            langs, phrases, counts = zip(*held.values(), *((x, b"", n) for x, n in totals.items()), strict=True)
+            # The empty phrase has bucket 0.
+            rows = sorted([*((key >> 64 - bits, *v) for key, v in held.items()), *((0, x, b"", n) for x, n in totals.items())], key=lambda r: r[:2])
             totals.clear()
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(langs, type=pa.string()), pa.array(phrases, type=pa.binary()).cast(pa.string()), pa.array(counts, type=pa.int64())], ["lang", "phrase", "n"])
+            cuts = [i for i, r in enumerate(rows) if not i or r[:2] != rows[i - 1][:2]]
+            offsets = pa.array([*cuts, len(rows)], type=pa.int32())
+            phrases = pa.ListArray.from_arrays(offsets, pa.array([r[2] for r in rows], type=pa.binary()).cast(pa.string()))
+            counts = pa.ListArray.from_arrays(offsets, pa.array([r[3] for r in rows], type=pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in cuts], type=pa.int64()), pa.array([rows[i][1] for i in cuts], type=pa.string()), phrases, counts], ["bucket", "lang", "phrases", "counts"])
 
         for own, langs in _stretches(batches, longest):
             for x, n in zip(langs, np.bincount(own.rows, minlength=len(langs)).tolist(), strict=True):
@@ -268,7 +276,7 @@ def _counted(table, shift: int, longest: int) -> Callable:
                     fits[:-1] &= shorter[1:]
                 at = np.flatnonzero(fits)
                 place = h[at] >> np.uint64(shift)
-                at = at[(bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+                at = at[(set_[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1]
                 shorter = np.zeros(len(h), dtype=bool)
                 shorter[at] = True
                 keys, first, counts = np.unique(h[at], return_index=True, return_counts=True)
@@ -285,6 +293,30 @@ def _counted(table, shift: int, longest: int) -> Callable:
     return counted
 
 
+def _added(least: int) -> Callable:
+    """(lang, phrase, f) of all phrases seen ``least`` times; rows come by bucket and language, so one bucket's phrases are held at a time."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sums = None, {}
+
+        def out() -> pa.RecordBatch:
+            kept = [(p, n) for p, n in sums.items() if n >= least or not p]
+            return pa.RecordBatch.from_arrays([pa.array([now[1]] * len(kept), type=pa.string()), pa.array([p for p, _ in kept], type=pa.string()), pa.array([n for _, n in kept], type=pa.int64())], ["lang", "phrase", "f"])
+
+        for batch in batches:
+            for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if key != now:
+                    if now is not None:
+                        yield out()
+                    now, sums = key, {}
+                for p, n in zip(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), strict=True):
+                    sums[p] = sums.get(p, 0) + n
+        if now is not None:
+            yield out()
+
+    return added
+
+
 def frequent_runs(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text: str = "text", lang: str = "lang") -> DataFrame:
     """The saved (lang, phrase, words, f): every run of words seen ``least`` times in its language, with its exact count, and the count of all words as the empty phrase.
 
@@ -292,12 +324,14 @@ def frequent_runs(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
     """
     texts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     keys, shift = survivors(texts, least, longest)
-    bits, at = _bit_table(keys, shift)
+    table, at = _bit_table(keys, shift)
     free(keys)
-    table = texts.sparkSession.sparkContext.broadcast(bits)
-    found = texts.mapInArrow(_counted(table, at, longest), "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("f"))
+    bits = 32 - shift
+    held = texts.sparkSession.sparkContext.broadcast(table)
+    parts = texts.mapInArrow(_counted(held, at, longest, bits), COUNTS).repartition(1 << bits, "bucket", "lang").sortWithinPartitions("bucket", "lang")
+    found = parts.mapInArrow(_added(least), "lang string, phrase string, f long")
     width = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
-    return save(found.where((F.col("f") >= least) | (F.col("phrase") == "")).select("lang", "phrase", width.alias("words"), "f"), "phrases")
+    return save(found.select("lang", "phrase", width.alias("words"), "f"), "phrases")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, share: int = SHARE, top: int | None = TOP, text: str = "text", lang: str = "lang") -> DataFrame:

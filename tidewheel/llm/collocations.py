@@ -31,8 +31,8 @@ from tidewheel.llm.textkit import chunks, mix, words
 
 #: Parameters: the longest phrase, the least count, the share of a longer phrase's count (per cent) that drops a phrase, phrases returned for each language.
 LONGEST, LEAST, SHARE, TOP = 4, 30, 80, 2000
-#: Parameters: runs of words held at once by a task, the mass a partition is made for, counters for each threshold of mass, counters merged at once, the most bits of the bit table (64 MB), bits for each survivor.
-HELD, MASS, ROOM, MERGED, BITS, EACH = 1 << 22, 1 << 23, 4, 1 << 21, 1 << 29, 256
+#: Parameters: runs of words held at once by a task, the mass a partition is made for, counters for each threshold of mass, counters merged at once, the most bits of the bit table (64 MB), bits for each survivor, survivors of a bucket of the second pass.
+HELD, MASS, ROOM, MERGED, BITS, EACH, BUCKET = 1 << 22, 1 << 23, 4, 1 << 21, 1 << 29, 256, 1 << 15
 #: What ends a piece, and what separates words in it.
 ENDS, BLANKS = b".,;:!?\n\x0b\x0c\r", b" \t"
 SCALE = 2_000_000
@@ -233,9 +233,8 @@ def survivors(texts: DataFrame, least: int = LEAST, longest: int = LONGEST) -> t
     return save(parts.mapInArrow(_surviving(least), "key long"), "phrases-survivors"), 32 - bits
 
 
-def _bit_table(keys: DataFrame, shift: int) -> tuple[np.ndarray, int]:
-    """Bits of the survivors by the first bits of their hashes, and the bits by which a hash is shifted.  At most BITS bits reach the driver."""
-    n = keys.count()
+def _bit_table(keys: DataFrame, shift: int, n: int) -> tuple[np.ndarray, int]:
+    """Bits of the n survivors by the first bits of their hashes, and the bits by which a hash is shifted.  At most BITS bits reach the driver."""
     width = min(BITS.bit_length() - 1, max(20, (EACH * n).bit_length()), 64 - shift)
     at = F.shiftrightunsigned("key", 64 - shift - width) + 1  # the functions number values from 1
     made = keys.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits"))
@@ -246,25 +245,37 @@ def _bit_table(keys: DataFrame, shift: int) -> tuple[np.ndarray, int]:
     return table, 64 - width
 
 
-COUNTS = "bucket long, lang string, phrases array<string>, counts array<long>"
+def zipped(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def unzipped(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, size, codec="zstd", asbytes=True) if size else b""
+
+
+COUNTS = "bucket long, lang string, n int, size int, phrases binary, counts binary"
 
 
 def _counted(table, shift: int, longest: int, bits: int) -> Callable:
-    """The runs whose bits are set and their counts, together by hash bucket and language; the empty phrase counts all words."""
+    """The runs whose bits are set, in order, and their counts, together by hash bucket and language; the empty phrase counts all words."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         set_, totals, held = table.value, {}, {}
 
         def out() -> pa.RecordBatch:
             # The empty phrase has bucket 0.
-            rows = sorted([*((key >> 64 - bits, *v) for key, v in held.items()), *((0, x, b"", n) for x, n in totals.items())], key=lambda r: r[:2])
+            rows = sorted([*((key >> 64 - bits, *v) for key, v in held.items()), *((0, x, b"", n) for x, n in totals.items())])
             totals.clear()
             held.clear()
             cuts = [i for i, r in enumerate(rows) if not i or r[:2] != rows[i - 1][:2]]
-            offsets = pa.array([*cuts, len(rows)], type=pa.int32())
-            phrases = pa.ListArray.from_arrays(offsets, pa.array([r[2] for r in rows], type=pa.binary()).cast(pa.string()))
-            counts = pa.ListArray.from_arrays(offsets, pa.array([r[3] for r in rows], type=pa.int64()))
-            return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i in cuts], type=pa.int64()), pa.array([rows[i][1] for i in cuts], type=pa.string()), phrases, counts], ["bucket", "lang", "phrases", "counts"])
+            columns: list[list] = [[], [], [], [], [], []]
+            for i, j in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+                text = b"\n".join([r[2] for r in rows[i:j]])  # a line feed ends a piece, so no phrase has one
+                counts = np.array([r[3] for r in rows[i:j]], dtype="<i8")
+                for column, v in zip(columns, (*rows[i][:2], j - i, len(text), zipped(text), zipped(counts.tobytes())), strict=True):
+                    column.append(v)
+            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)], ["bucket", "lang", "n", "size", "phrases", "counts"])
 
         for own, langs in _stretches(batches, longest):
             for x, n in zip(langs, np.bincount(own.rows, minlength=len(langs)).tolist(), strict=True):
@@ -309,8 +320,10 @@ def _added(least: int) -> Callable:
                     if now is not None:
                         yield out()
                     now, sums = key, {}
-                for p, n in zip(batch.column(2)[i].as_py(), batch.column(3)[i].as_py(), strict=True):
-                    sums[p] = sums.get(p, 0) + n
+                n, size, text, counts = (batch.column(j)[i].as_py() for j in range(2, 6))
+                phrases = unzipped(text, size).decode().split("\n")
+                for p, k in zip(phrases, np.frombuffer(unzipped(counts, 8 * n), dtype="<i8").tolist(), strict=True):
+                    sums[p] = sums.get(p, 0) + k
         if now is not None:
             yield out()
 
@@ -324,9 +337,10 @@ def frequent_runs(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, t
     """
     texts = docs.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
     keys, shift = survivors(texts, least, longest)
-    table, at = _bit_table(keys, shift)
+    n = keys.count()
+    table, at = _bit_table(keys, shift, n)
     free(keys)
-    bits = 32 - shift
+    bits = max(4, (n // BUCKET).bit_length())
     held = texts.sparkSession.sparkContext.broadcast(table)
     parts = texts.mapInArrow(_counted(held, at, longest, bits), COUNTS).repartition(1 << bits, "bucket", "lang").sortWithinPartitions("bucket", "lang")
     found = parts.mapInArrow(_added(least), "lang string, phrase string, f long")

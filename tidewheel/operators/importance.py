@@ -8,12 +8,13 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.special import chi2_pvalue, f_pvalue
 from tidewheel.operators.integration import column_stats
-from tidewheel.operators.stats import average_ranks, quantiles
+from tidewheel.operators.shared import save
+from tidewheel.operators.stats import average_ranks, quantiles, running_counts, running_sums
 
 c, lit = F.col, F.lit
 SEED = 42
@@ -58,6 +59,49 @@ def mutual_information(df: DataFrame, group: str, columns: list[str], bins: int
     return each.groupBy("feature").agg(F.sum(c("n") / c("t") * F.ln(c("n") * c("t") / (c("ng") * c("nb")))).alias("mi_score"))
 
 
+def digamma(n: Column) -> Column:
+    """The digamma function of whole numbers from 1: sums below 16, the asymptotic series from there."""
+    x = n.cast("double")
+    small = F.aggregate(F.sequence(lit(1), F.greatest(lit(1), F.least(n, lit(16)).cast("int"))), lit(0.0), lambda s, j: s + F.when(j < n, 1 / j).otherwise(0.0)) - 0.5772156649015329
+    return F.when(n < 16, small).otherwise(F.ln(x) - 1 / (2 * x) - 1 / (12 * x**2) + 1 / (120 * x**4) - 1 / (252 * x**6))
+
+
+#: Parameter: rows of a class that one window of neighbours holds.
+CHUNK = 1 << 16
+
+
+def neighbour_information(df: DataFrame, group: str, columns: list[str], k: int = 3) -> DataFrame:
+    """(feature, mi_score) in nats between a group and a continuous feature by nearest neighbours; never below 0.
+
+    For each row the distance to its k-th neighbour of the same class (fewer in a small class), and m, the rows of any class nearer
+    than that, itself included, or equal if that distance is 0: psi(N) + mean psi(k) - mean psi(class size) - mean psi(m).  Rows of classes of one, and
+    missing values, are left out; ties are not jittered.  The rows of a class are numbered through range partitions, and windows of neighbours hold
+    a stretch of them and k rows at either end, so a large class is many tasks.
+    """
+    rows = save(_long(df, group, columns).where("v IS NOT NULL AND g IS NOT NULL").withColumn("r", F.monotonically_increasing_id()), "values")
+    placed = running_counts(rows.select("feature", "g", F.struct("v", "r").alias("at")), "at", ("feature", "g")).select("feature", "g", c("at.v").alias("v"), c("before").alias("p"))
+    sizes = rows.groupBy("feature", "g").agg(F.count("*").alias("n")).where("n > 1")
+    own = placed.join(F.broadcast(sizes), ["feature", "g"]).withColumn("home", F.floor(c("p") / CHUNK))
+    halo = F.array_distinct(F.array("home", F.floor((c("p") - k) / CHUNK), F.floor((c("p") + k) / CHUNK)))
+    near = own.withColumn("chunk", F.explode(halo))
+    w = Window.partitionBy("feature", "g", "chunk").orderBy("p")
+    gaps = [F.abs(f(c("v"), j).over(w) - c("v")) for f in (F.lag, F.lead) for j in range(1, k + 1)]
+    radius = F.sort_array(F.filter(F.array(*gaps), lambda d: d.isNotNull()))
+    reach = near.withColumn("d", radius).where("chunk = home").withColumn("k", F.least(lit(k), c("n") - 1)).select("feature", "v", "n", "k", c("d")[c("k").cast("int") - 1].alias("d"))
+    reach = save(reach, "reach")
+    # How many values are below each end: ends enter the sorted values with weight 0.
+    ends = reach.select("feature", F.explode(F.array(c("v") - c("d"), c("v") + c("d"))).alias("x"), lit(0).alias("w"))
+    counted = running_sums(reach.select("feature", c("v").alias("x"), lit(1).alias("w")).union(ends), "x", {"w": F.sum("w")}, ("feature",))
+    below = save(counted, "below")
+    low = below.select("feature", c("x").alias("lo"), c("w_before").alias("lo_below"), c("w").alias("lo_own"))
+    high = below.select("feature", c("x").alias("hi"), c("w_before").alias("hi_below"), c("w").alias("hi_own"))
+    same = reach.groupBy("feature", "v", "n", "k", "d").agg(F.count("*").alias("rows")).withColumns({"lo": c("v") - c("d"), "hi": c("v") + c("d")})
+    met = same.join(low, ["feature", "lo"]).join(high, ["feature", "hi"])
+    m = F.when(c("d") == 0, c("lo_own")).otherwise(c("hi_below") - c("lo_below") - c("lo_own"))
+    s = met.withColumn("m", m).groupBy("feature").agg(F.sum("rows").alias("N"), *[F.sum(c("rows") * digamma(c(x))).alias(x) for x in ("k", "n", "m")])
+    return s.select("feature", F.greatest(lit(0.0), digamma(c("N")) + (c("k") - c("n") - c("m")) / c("N")).alias("mi_score"))
+
+
 def forest_scores(df: DataFrame, label: str, columns: list[str], task: str = "classification", trees: int = 100) -> DataFrame:
     """(feature, importance) of a random forest on all rows with a label; missing values are medians."""
     if task not in ("classification", "regression"):

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
@@ -121,7 +125,7 @@ def column_stats(df: DataFrame, columns: list[str], shares: tuple[float, ...] =
 def preprocess(df: DataFrame, columns: list[str] | None = None, most_missing: float = 0.2, key: str = "entity_id") -> DataFrame:
     """Screen columns by missing share, set inf to missing, fill in medians, clip to the 1st and 99th percentile, scale (population sd).
 
-    Two aggregate passes over the table; statistics are a row for each column.
+    Statistics are a row for each column: missing shares, percentiles of the columns and of the filled ones, means and sds, each an aggregate of its own.
     """
     columns = columns or numeric_columns(df, (key,))
     stats = column_stats(df, columns)
@@ -137,21 +141,35 @@ def preprocess(df: DataFrame, columns: list[str] | None = None, most_missing: fl
 
 
 def correlations(df: DataFrame, columns: list[str], least: float = 0.8, key: str = "entity_id") -> DataFrame:
-    """(a, b, r, n) of feature pairs with |r| >= least, pairwise complete, strongest first: all sums in one aggregate."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
-    x = [c(n).cast("double") for n in columns]
-    both = lambda i, j, e: F.when(x[i].isNotNull() & x[j].isNotNull(), e)
-    stat = lambda i, j: F.struct(
-        F.count(both(i, j, lit(1))).alias("n"),
-        (F.covar_pop(both(i, j, x[i]), both(i, j, x[j])) / F.nullif(F.stddev_pop(both(i, j, x[i])) * F.stddev_pop(both(i, j, x[j])), lit(0.0))).alias("r"),
-        lit(columns[i]).alias("a"),
-        lit(columns[j]).alias("b"),
-    )
-    out = None
-    for k in range(0, len(pairs), 200):
-        part = df.agg(F.array(*[stat(i, j) for i, j in pairs[k : k + 200]]).alias("s")).select(F.inline("s"))
-        out = part if out is None else out.unionByName(part)
-    return out.select("a", "b", "r", "n").where(F.abs("r") >= least).orderBy(F.abs("r").desc(), "a", "b")
+    """(a, b, r, n) of feature pairs with |r| >= least, pairwise complete, strongest first.
+
+    Tasks add up counts, sums and products of all pairs in matrices, which are summed by pair: one pass, after one for
+    the means, by which values are shifted.  The table of sums has a row for each pair and task.
+    """
+    p = len(columns)
+    numbers = df.select(*[F.when(~F.isnan(c(x).cast("double")), c(x).cast("double")).alias(f"x{i}") for i, x in enumerate(columns)])
+    row = numbers.agg(*[F.coalesce(F.avg(f"x{i}"), lit(0.0)).alias(f"x{i}") for i in range(p)]).first()
+    means = np.array([row[f"x{i}"] for i in range(p)], dtype=float)
+    i, j = np.triu_indices(p, 1)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, p, p))
+        for b in batches:
+            x = b.to_numpy(dtype=float) - means
+            known = ~np.isnan(x)
+            x, m = np.where(known, x, 0.0), known.astype(float)
+            for at, (u, v) in enumerate(((m, m), (x, m), (m, x), (x * x, m), (m, x * x), (x, x))):
+                total[at] += u.T @ v
+        yield pd.DataFrame({"i": i, "j": j} | {f"s{k}": total[k][i, j] for k in range(6)})
+
+    parts = numbers.mapInPandas(sums, "i int, j int, " + ", ".join(f"s{k} double" for k in range(6)))
+    s = parts.groupBy("i", "j").agg(*[F.sum(f"s{k}").alias(x) for k, x in enumerate(("n", "x", "y", "xx", "yy", "xy"))])
+    # Sums of squares that are only rounding belong to constant columns.
+    spread = lambda q, v: F.when(c(q) - c(v) * c(v) / c("n") > 1e-14 * c(q), c(q) - c(v) * c(v) / c("n"))
+    name = lambda x: F.element_at(F.array(*[lit(v) for v in columns]), c(x) + 1)
+    r = (c("xy") - c("x") * c("y") / c("n")) / F.sqrt(spread("xx", "x") * spread("yy", "y"))
+    out = s.select(name("i").alias("a"), name("j").alias("b"), F.greatest(lit(-1.0), F.least(lit(1.0), r)).alias("r"), c("n").cast("long").alias("n"))
+    return out.where(F.abs("r") >= least).orderBy(F.abs("r").desc(), "a", "b")
 
 
 def select_features(df: DataFrame, method: str = "all", columns: list[str] | None = None, n: int | None = None, curated: tuple[str, ...] = ()) -> list[str]:

@@ -9,7 +9,6 @@ from functools import reduce
 import numpy as np
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import PCA, StandardScaler, StandardScalerModel, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GeneralizedLinearRegression, LinearRegression
@@ -17,7 +16,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.operators import validity
-from tidewheel.operators.stats import running_counts
+from tidewheel.operators.shapley import forest_of, forest_probabilities
+from tidewheel.operators.shared import free, save
+from tidewheel.operators.stats import average_ranks, running_counts
 
 c, lit = F.col, F.lit
 SEED = 42
@@ -84,13 +85,24 @@ METHODS: dict[str, Callable[[DataFrame, int], DataFrame]] = {"kmeans": kmeans, "
 
 def sweep(vectors: DataFrame, ks: range = range(2, 10), tries: int = 10) -> DataFrame:
     """(k, inertia, silhouette, calinski_harabasz, davies_bouldin, ch_gain, best) of k-means for every k; the best silhouette, of equal ones the least k."""
-    out = []
+    rows = []
     for k in ks:
         fit = kmeans_fit(vectors, k, tries)
-        p = _points(fit.transform(vectors)).persist()
-        out.append(_measured(p).select(lit(k).alias("k"), lit(float(fit.summary.trainingCost)).alias("inertia"), "*"))
+        rows.append((k, float(fit.summary.trainingCost), *_measures(_points(fit.transform(vectors)))))
     by_k = Window.orderBy("k")  # a row for each k
-    return reduce(DataFrame.unionByName, out).withColumns({"ch_gain": c("calinski_harabasz") - F.lag("calinski_harabasz").over(by_k), "best": F.row_number().over(Window.orderBy(F.desc("silhouette"), "k")) == 1})
+    out = vectors.sparkSession.createDataFrame(rows, f"k int, inertia double, {MEASURES}")
+    return out.withColumns({"ch_gain": c("calinski_harabasz") - F.lag("calinski_harabasz").over(by_k), "best": F.row_number().over(Window.orderBy(F.desc("silhouette"), "k")) == 1})
+
+
+MEASURES = "silhouette double, calinski_harabasz double, davies_bouldin double"
+
+
+def _measures(points: DataFrame) -> tuple[float, float, float]:
+    """The three measures of one clustering; its points are written once, as several jobs read them."""
+    held = save(points, "points")
+    out = tuple(_measured(held).first())
+    free(held)
+    return out
 
 
 def _measured(points: DataFrame) -> DataFrame:
@@ -102,8 +114,8 @@ def k_analysis(vectors: DataFrame, ks: range, method: str = "kmeans") -> DataFra
     """(k, silhouette, calinski_harabasz, davies_bouldin, ch_gain) of one method."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}")
-    rows = [_measured(_points(METHODS[method](vectors, k)).persist()).select(lit(k).alias("k"), "*") for k in ks]
-    return reduce(DataFrame.unionByName, rows).withColumn("ch_gain", c("calinski_harabasz") - F.lag("calinski_harabasz").over(Window.orderBy("k")))
+    rows = [(k, *_measures(_points(METHODS[method](vectors, k)))) for k in ks]
+    return vectors.sparkSession.createDataFrame(rows, f"k int, {MEASURES}").withColumn("ch_gain", c("calinski_harabasz") - F.lag("calinski_harabasz").over(Window.orderBy("k")))
 
 
 def method_grid(vectors: DataFrame, wanted: list[tuple[str, int]], least_size: int = 10, least_valid: float = 0.8) -> DataFrame:
@@ -113,11 +125,13 @@ def method_grid(vectors: DataFrame, wanted: list[tuple[str, int]], least_size: i
     """
     rows = []
     for method, k in wanted:
-        p = _points(METHODS[method](vectors, k)).persist()
-        sizes = p.groupBy("cluster").agg(F.count("*").alias("n"))
-        about = sizes.agg(F.count_if(c("cluster") >= 0).alias("n_clusters"), F.min(F.when(c("cluster") >= 0, c("n"))).alias("min_size"), F.sum(F.when(c("cluster") >= 0, c("n")).otherwise(0)).alias("_kept"), F.sum("n").alias("_all"))
-        rows.append(about.where("_kept >= 10").join(F.broadcast(_measured(p))).select(lit(method).alias("method"), lit(k).alias("k"), "n_clusters", "silhouette", "calinski_harabasz", "davies_bouldin", "min_size", (c("_kept") / c("_all")).alias("valid_share")))
-    out = reduce(DataFrame.unionByName, rows)
+        p = save(_points(METHODS[method](vectors, k)), "points")
+        sizes = {r[0]: r[1] for r in p.groupBy("cluster").count().collect()}  # a row for each cluster
+        kept = [n for x, n in sizes.items() if x >= 0]
+        if sum(kept) >= 10:
+            rows.append((method, k, len(kept), *_measured(p).first(), min(kept), sum(kept) / sum(sizes.values())))
+        free(p)
+    out = vectors.sparkSession.createDataFrame(rows, f"method string, k int, n_clusters long, {MEASURES}, min_size long, valid_share double")
     return out.withColumn("valid", (c("min_size") >= least_size) & (c("valid_share") >= least_valid)).orderBy(F.desc("valid"), F.desc("silhouette"))
 
 
@@ -148,16 +162,14 @@ def principal(vectors: DataFrame, k: int) -> DataFrame:
 
 def stability(vectors: DataFrame, k: int, draws: int = 100, share: float = 0.8) -> dict[str, float]:
     """Mean and sd of the agreement between clusterings of random parts and of the whole."""
-    whole = kmeans(vectors, k).select("entity_id", c("cluster").alias("whole")).persist()
-    found, n = [], 0
-    for i in range(draws):
-        # Exactly so many rows, without replacement: those with the least hashes of the draw.
-        drawn = vectors.withColumn("_h", F.xxhash64("entity_id", lit(SEED + i)))
-        n = vectors.count() if not i else n
-        size = int(share * n)
-        last = running_counts(drawn, "_h").agg(F.max(F.when(c("before") < size, c("_h")))).first()[0]
-        part = drawn.where(c("_h") <= lit(last)).drop("_h")
-        found.append(validity.agreement(kmeans(part, k, 1).join(whole, "entity_id"), "cluster", "whole").first())
+    whole = save(kmeans(vectors, k).select("entity_id", c("cluster").alias("whole")), "whole")
+    # Exactly so many rows of each draw, without replacement: those with the least hashes, all draws ranked at once.
+    hashed = vectors.select("v", "entity_id", F.explode(F.sequence(lit(0), lit(draws - 1))).alias("draw")).withColumn("_h", F.xxhash64("entity_id", c("draw") + SEED))
+    size = int(share * vectors.count())
+    ends = running_counts(hashed, "_h", ("draw",)).groupBy("draw").agg(F.max(F.when(c("before") < size, c("_h"))).alias("_end"))
+    drawn = save(hashed.join(F.broadcast(ends), "draw").where("_h <= _end").select("draw", "entity_id", "v"), "draws")
+    found = [validity.agreement(kmeans(drawn.where(c("draw") == i).drop("draw"), k, 1).join(whole, "entity_id"), "cluster", "whole").first() for i in range(draws)]
+    free(whole, drawn)
     ari, nmi = (np.array([r[x] for r in found], dtype=float) for x in ("ari", "nmi"))
     return {"ari_mean": ari.mean(), "ari_sd": ari.std(), "nmi_mean": nmi.mean(), "nmi_sd": nmi.std()}
 
@@ -178,6 +190,31 @@ def _weights(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn("weight", reduce(lambda e, kv: e.when(c(label) == lit(kv[0]), total / (2 * kv[1])), counts.items(), F.when(lit(False), 0.0)))
 
 
+def scored(fit, data: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """``keep`` and ``score``, the probability of class 1 by a fitted logistic model or forest, for column ``v``."""
+    if hasattr(fit, "coefficients"):
+        terms = F.zip_with(vector_to_array("v"), F.array(*[lit(float(b)) for b in fit.coefficients]), lambda x, b: x * b)
+        return data.select(*keep, (1 / (1 + F.exp(-F.aggregate(terms, lit(float(fit.intercept)), lambda s, x: s + x)))).alias("score"))
+    return forest_probabilities(data, forest_of(fit, data.sparkSession), keep)
+
+
+def auc(scored: DataFrame, label: str, score: str = "score") -> DataFrame:
+    """One row: auc, n, n_events; the share of pairs of one row of each class that the score orders rightly, by the rank sum of the positives."""
+    cells = scored.where(c(label).isNotNull() & c(score).isNotNull()).groupBy(score).agg(F.count("*").alias("w"), F.sum(c(label).cast("double")).alias("e"))
+    s = cells.join(average_ranks(cells, score, (), c("w")), score).agg(F.sum(c("e") * c("rank")).alias("r"), F.sum("e").alias("p"), F.sum("w").alias("n"))
+    area = (c("r") - c("p") * (c("p") + 1) / 2) / F.nullif(c("p") * (c("n") - c("p")), lit(0.0))
+    return s.select(area.alias("auc"), c("n"), c("p").cast("long").alias("n_events"))
+
+
+def binary_report(scored: DataFrame, label: str, score: str = "score", cut: float = 0.5) -> DataFrame:
+    """One row: auc, n, n_events, tn, fp, fn, tp, accuracy, precision, recall, f1; a score above the cut is class 1."""
+    is_, says = c(label) == 1, c(score) > cut
+    counts = scored.where(c(label).isNotNull() & c(score).isNotNull()).agg(*[F.count_if(x).alias(n) for n, x in (("tn", ~is_ & ~says), ("fp", ~is_ & says), ("fn", is_ & ~says), ("tp", is_ & says))])
+    share = lambda a, b: F.coalesce(a / F.nullif(b, lit(0)), lit(0.0))
+    rates = {"accuracy": share(c("tp") + c("tn"), c("n")), "precision": share(c("tp"), c("tp") + c("fp")), "recall": share(c("tp"), c("tp") + c("fn")), "f1": share(2 * c("tp"), 2 * c("tp") + c("fp") + c("fn"))}
+    return auc(scored, label, score).join(F.broadcast(counts)).withColumns(rates)  # one row each
+
+
 def classify(df: DataFrame, columns: list[str], label: str, kind: str = "logistic", k: int = 5) -> dict:
     """Balanced logistic regression or random forest: AUC by stratified folds and on all rows, coefficients or importances."""
     data = folds(_weights(assemble(df, columns, ("entity_id", label)), label), label, k).persist()
@@ -186,16 +223,17 @@ def classify(df: DataFrame, columns: list[str], label: str, kind: str = "logisti
         "logistic": lambda: LogisticRegression(featuresCol="v", labelCol=label, weightCol="weight", regParam=1 / total, standardization=False),
         "forest": lambda: RandomForestClassifier(featuresCol="v", labelCol=label, weightCol="weight", numTrees=100, seed=SEED),
     }[kind]
-    auc = BinaryClassificationEvaluator(labelCol=label)
-    scores = [auc.evaluate(make().fit(data.where(c("fold") != i)).transform(data.where(c("fold") == i))) for i in range(k)]
+    held = ("entity_id", label)
+    scores = [auc(scored(make().fit(data.where(c("fold") != i)), data.where(c("fold") == i), held), label).first()["auc"] for i in range(k)]
     fit = make().fit(data)
     weights = fit.coefficients if kind == "logistic" else fit.featureImportances
-    seen = fit.transform(data)
-    table = {(int(r[0]), int(r[1])): r["count"] for r in seen.groupBy(label, "prediction").count().collect()}
-    tn, fp, fn, tp = (table.get(x, 0) for x in ((0, 0), (0, 1), (1, 0), (1, 1)))
+    seen = save(scored(fit, data, held), "scores")
+    found = binary_report(seen, label).first()
+    free(seen)
+    tn, fp, fn, tp = (found[x] for x in ("tn", "fp", "fn", "tp"))
     n, ratio = tn + fp + fn + tp, lambda a, b: a / b if b else 0.0
     out = {
-        "cv_auc": float(np.mean(scores)), "cv_auc_sd": float(np.std(scores)), "cv_auc_scores": scores, "train_auc": auc.evaluate(seen), "accuracy": ratio(tp + tn, n), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn),
+        "cv_auc": float(np.mean(scores)), "cv_auc_sd": float(np.std(scores)), "cv_auc_scores": scores, "train_auc": found["auc"], "accuracy": ratio(tp + tn, n), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn),
         "f1": ratio(2 * tp, 2 * tp + fp + fn), "confusion": [[tn, fp], [fn, tp]], "weights": dict(zip(columns, weights.toArray().tolist(), strict=True)), "n": n, "n_events": fn + tp, "model": fit,
     }
     if kind == "logistic":
@@ -235,9 +273,8 @@ def linear(df: DataFrame, columns: list[str], label: str, k: int = 5) -> dict:
 
 def permutation_importance(model, df: DataFrame, columns: list[str], label: str, repeats: int = 10) -> dict[str, float]:
     """Mean loss of AUC when a column is shuffled: its values are dealt again by a random order within salts."""
-    auc = BinaryClassificationEvaluator(labelCol=label)
     own = df.dropna(subset=[*columns, label]).select("entity_id", label, *columns).persist()
-    rate = lambda d: auc.evaluate(model.transform(assemble(d, columns, ("entity_id", label))))
+    rate = lambda d: auc(scored(model, assemble(d, columns, ("entity_id", label)), ("entity_id", label)), label).first()["auc"]
     base, out = rate(own), {}
     for x in columns:
         losses = []

@@ -5,11 +5,10 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
+from tidewheel.operators.neighbours import all_pairs, indexed, pairwise
 from tidewheel.operators.stats import quantiles
 
 c, lit = F.col, F.lit
@@ -109,56 +108,40 @@ def arrays(series: DataFrame) -> DataFrame:
     return series.groupBy("entity_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "value"))), lambda x: x["value"]).alias("values"))
 
 
-def _pairs(series: DataFrame, salts: int | None) -> DataFrame:
-    """(a, x, b, y): every pair of entities a < b with their series as arrays.
-
-    Pairs are the result that is asked for.  They are dealt out by a salt of the second entity; salts grow with the cohort.
-    """
-    own = arrays(series)
-    salts = salts or max(8, own.count() // 500)
-    left = own.select(c("entity_id").alias("a"), c("values").alias("x"), F.explode(F.sequence(lit(0), lit(salts - 1))).alias("s"))
-    right = own.select(c("entity_id").alias("b"), c("values").alias("y"), F.pmod(F.xxhash64("entity_id"), lit(salts)).cast("int").alias("s"))
-    return left.join(right, "s").where("a < b").select("a", "x", "b", "y")
+def _numbered(series: DataFrame) -> DataFrame:
+    return indexed(arrays(series), "entity_id", "values")
 
 
-def distances(series: DataFrame, metric: str = "euclidean", salts: int | None = None) -> DataFrame:
+def distances(series: DataFrame, metric: str = "euclidean") -> DataFrame:
     """(a, b, distance) for every pair of entities a < b of a cohort, by equal positions: ``euclidean``, ``cosine`` or ``correlation``."""
-    total = lambda z: F.aggregate(z, lit(0.0), lambda s, v: s + v)
-    dot = lambda p, q: total(F.zip_with(p, q, lambda v, w: v * w))
-    if metric == "euclidean":
-        d = F.sqrt(total(F.zip_with("x", "y", lambda v, w: (v - w) * (v - w))))
-    elif metric == "cosine":
-        d = 1 - dot("x", "y") / F.nullif(F.sqrt(dot("x", "x") * dot("y", "y")), lit(0.0))
-    elif metric == "correlation":
-        n, sx, sy = F.size("x"), total(c("x")), total(c("y"))
-        d = 1 - (n * dot("x", "y") - sx * sy) / F.nullif(F.sqrt((n * dot("x", "x") - sx * sx) * (n * dot("y", "y") - sy * sy)), lit(0.0))
-    else:
-        raise ValueError(f"unknown metric {metric!r}")
-    return _pairs(series, salts).select("a", "b", d.alias("distance"))
+    return pairwise(_numbered(series), metric, "entity_id").withColumnRenamed("d", "distance")
 
 
-def dtw_distances(series: DataFrame, band: int | None = None, salts: int | None = None) -> DataFrame:
+#: Parameter: series that are warped against a tile at once.
+ROWS = 64
+
+
+def dtw_distances(series: DataFrame, band: int | None = None) -> DataFrame:
     """(a, b, distance): dynamic time warping with absolute costs for every pair a < b of a cohort.
 
-    A batch of pairs is one programme over the cells of the cost table, run for all its pairs at once.
+    Some series and a tile are one programme over the cells of the cost table, run for all their pairs at once.
     """
 
-    @F.pandas_udf(DoubleType())
-    def warp(x: pd.Series, y: pd.Series) -> pd.Series:
-        if not len(x):
-            return pd.Series([], dtype=float)
-        p, q = np.stack(x.to_list()), np.stack(y.to_list())
+    def warp(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        return np.concatenate([block(x[at : at + ROWS], y) for at in range(0, len(x), ROWS)])
+
+    def block(p: np.ndarray, q: np.ndarray) -> np.ndarray:
         n, m = p.shape[1], q.shape[1]
-        row = np.full((len(p), m + 1), np.inf)
-        row[:, 0] = 0
+        row = np.full((m + 1, len(p), len(q)), np.inf)
+        row[0] = 0
         for i in range(n):
             new = np.full_like(row, np.inf)
             for j in range(m) if band is None else range(max(0, i - band), min(m, i + band + 1)):
-                new[:, j + 1] = np.abs(p[:, i] - q[:, j]) + np.minimum(np.minimum(row[:, j + 1], row[:, j]), new[:, j])
+                new[j + 1] = np.abs(p[:, i, None] - q[None, :, j]) + np.minimum(np.minimum(row[j + 1], row[j]), new[j])
             row = new
-        return pd.Series(row[:, m])
+        return row[m]
 
-    return _pairs(series, salts).select("a", "b", warp("x", "y").alias("distance"))
+    return all_pairs(_numbered(series), warp, "entity_id").withColumnRenamed("d", "distance")
 
 
 def day_trajectory(events: DataFrame, days: int = 365) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewheel.functions.special import chi2_pvalue, f_pvalue, t_pvalue
+from tidewheel.operators.shared import save
 
 c, lit = F.col, F.lit
 
@@ -35,22 +36,28 @@ def anova(df: DataFrame, value: str, group: str) -> DataFrame:
     return out.select("*", f_pvalue("statistic", c("dof1").cast("double"), c("dof2").cast("double")).alias("p_value"))
 
 
-def running_counts(df: DataFrame, value: str, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
-    """(by, value, k, before): rows with each known value, and with smaller ones, within ``by``.
+def running_sums(df: DataFrame, value: str, sums: dict[str, Column], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+    """(by, value, <name>, <name>_before): aggregates of each known value within ``by``, and their sums over the smaller values (or larger, if descending).
 
-    Values are counted first.  The counts are numbered through range partitions of (by, value), so
-    no task sees all of a group; the counts of partitions, few rows, are summed up by a window.
-    The counts stay persisted until the session drops them, so that both readers see the same ranges.
+    Values are aggregated first and numbered through range partitions of (by, value), so no task sees all of
+    a group; the sums of partitions, few rows, are added up by a window.  The aggregates are written to the
+    shared folder, so both readers see the same ranges whatever executors are lost.
     """
-    known = df.where(c(value).isNotNull())
-    counts = known.groupBy(*by, value).agg((F.count("*") if weight is None else F.sum(weight)).alias("k"))
-    parts = counts.repartitionByRange(*by, value).withColumn("_p", F.spark_partition_id()).persist()
-    sums = parts.groupBy(*by, "_p").agg(F.sum("k").alias("_s"))
+    side = F.desc(value) if descending else F.asc(value)
+    cells = df.where(c(value).isNotNull()).groupBy(*by, value).agg(*[e.alias(n) for n, e in sums.items()])
+    parts = save(cells.repartitionByRange(*by, side).withColumn("_p", F.spark_partition_id()), "sums")
+    whole = parts.groupBy(*by, "_p").agg(*[F.sum(n).alias(f"_s_{n}") for n in sums])
     upto = Window.partitionBy(*by).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sums.withColumn("_base", F.coalesce(F.sum("_s").over(upto), lit(0))).drop("_s")
-    inner = F.coalesce(F.sum("k").over(Window.partitionBy("_p", *by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), lit(0))
-    joined = parts.withColumn("_in", inner).join(starts.withColumnsRenamed({x: f"_{x}" for x in (*by, "_p")}).withColumnRenamed("__p", "_q"), [c(x).eqNullSafe(c(f"_{x}")) for x in by] + [c("_p") == c("_q")])
-    return joined.select(*by, value, "k", (c("_base") + c("_in")).alias("before"))
+    starts = whole.select(*[c(x).alias(f"_k_{x}") for x in by], c("_p").alias("_q"), *[F.coalesce(F.sum(f"_s_{n}").over(upto), lit(0)).alias(f"_b_{n}") for n in sums])
+    inner = Window.partitionBy("_p", *by).orderBy(side).rowsBetween(Window.unboundedPreceding, -1)
+    own = parts.withColumns({f"_i_{n}": F.coalesce(F.sum(n).over(inner), lit(0)) for n in sums})
+    joined = own.join(starts, [c(x).eqNullSafe(c(f"_k_{x}")) for x in by] + [c("_p") == c("_q")])
+    return joined.select(*by, value, *[x for n in sums for x in (c(n), (c(f"_b_{n}") + c(f"_i_{n}")).alias(f"{n}_before"))])
+
+
+def running_counts(df: DataFrame, value: str, by: tuple[str, ...] = (), weight: Column | None = None) -> DataFrame:
+    """(by, value, k, before): rows with each known value, and with smaller ones, within ``by``."""
+    return running_sums(df, value, {"k": F.count("*") if weight is None else F.sum(weight)}, by).withColumnRenamed("k_before", "before")
 
 
 def quantiles(df: DataFrame, value: str, shares: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:

@@ -1,17 +1,18 @@
-"""Survival estimates from risk tables: one aggregate by time, then windows over distinct times.
+"""Survival estimates from risk tables: one aggregate by time, then sums over distinct times.
 
 Data come as (entity_id, time, event 0/1, group).  A risk table has a row for each distinct time of a
-group, which days or minutes of follow-up bound; the estimators are windows over it.
+group; what is summed up over times goes through range partitions of (group, time), so a group with most rows is many tasks.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewheel.functions.special import chi2_tail, normal_two_sided, t_two_sided
-from tidewheel.operators.stats import average_ranks
+from tidewheel.operators.shared import free, save
+from tidewheel.operators.stats import average_ranks, running_counts, running_sums
 
 c, lit = F.col, F.lit
 HORIZONS = (30, 90, 180, 365)
@@ -27,21 +28,20 @@ def prepare(df: DataFrame, event: Column, time: str, max_time: float | None = No
 
 def risk_table(df: DataFrame, group: str) -> DataFrame:
     """(group, time, deaths, at_risk)."""
-    t = df.groupBy(group, "time").agg(F.sum("event").alias("deaths"), F.count("*").alias("leaving"))
-    w = Window.partitionBy(group).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    return t.withColumn("at_risk", F.sum("leaving").over(w)).select(group, "time", "deaths", "at_risk", "leaving")
+    t = running_sums(df, "time", {"leaving": F.count("*"), "deaths": F.sum("event")}, (group,), descending=True)
+    return t.select(group, "time", "deaths", (c("leaving") + c("leaving_before")).alias("at_risk"), "leaving")
 
 
 def kaplan_meier(df: DataFrame, group: str, least: int = 2) -> DataFrame:
     """(group, time, at_risk, deaths, survival, low, high): log-log 95 % limits; groups below ``least`` are left out."""
     r = risk_table(df, group)
-    w = Window.partitionBy(group).orderBy("time").rowsBetween(Window.unboundedPreceding, 0)
-    size = F.max("at_risk").over(Window.partitionBy(group))
-    gone = F.max((c("deaths") == c("at_risk")).cast("int")).over(w) == 1
-    log_s = F.sum(F.ln(F.nullif(1 - c("deaths") / c("at_risk"), lit(0.0)))).over(w)
-    s = F.when(gone, 0.0).otherwise(F.coalesce(F.exp(log_s), lit(1.0)))
-    var = F.sum(c("deaths") / F.nullif(c("at_risk") * (c("at_risk") - c("deaths")), lit(0))).over(w)
-    out = r.withColumns({"survival": s, "_v": var, "_n": size}).where(c("_n") >= least)
+    sizes = r.groupBy(c(group).alias("_g")).agg(F.max("at_risk").alias("_n"))  # a row for each group
+    d, n = c("deaths"), c("at_risk")
+    terms = {"log": F.coalesce(F.ln(F.nullif(1 - d / n, lit(0.0))), lit(0.0)), "v": F.coalesce(d / F.nullif(n * (n - d), lit(0)), lit(0.0)), "end": (d == n).cast("int")}
+    sums = running_sums(r, "time", {"deaths": F.max("deaths"), "at_risk": F.max("at_risk")} | {x: F.sum(e) for x, e in terms.items()}, (group,))
+    upto = lambda x: c(x) + c(f"{x}_before")
+    s = F.when(upto("end") > 0, 0.0).otherwise(F.exp(upto("log")))
+    out = sums.join(sizes, c(group).eqNullSafe(c("_g"))).withColumns({"survival": s, "_v": upto("v")}).where(c("_n") >= least)
     inside = (c("survival") > 0) & (c("survival") < 1)
     se = F.sqrt("_v") / F.abs(F.ln(F.when(inside, c("survival"))))
     limit = lambda sign: F.when(inside, F.pow(c("survival"), F.exp(sign * 1.959963984540054 * se))).otherwise(c("survival"))
@@ -69,8 +69,8 @@ def log_rank(df: DataFrame, group: str) -> dict[str, float]:
     pairs = times.join(F.broadcast(r.select(group).distinct()))
     merged = pairs.join(r, [group, "time"], "left").select(group, "time", "d", F.coalesce("deaths", lit(0)).alias("own"), c("leaving"))
     more = merged.unionByName(r.join(times, "time", "left_anti").select(group, "time", lit(None).cast("bigint").alias("d"), lit(0).cast("bigint").alias("own"), "leaving"))
-    w = Window.partitionBy(group).orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-    risk = more.withColumn("y", F.coalesce(F.sum("leaving").over(w), lit(0))).where("d IS NOT NULL").select(c(group).alias("g"), "time", "d", "own", "y")
+    sums = running_sums(more, "time", {"leaving": F.coalesce(F.sum("leaving"), lit(0)), "d": F.max("d"), "own": F.max("own")}, (group,), descending=True)
+    risk = sums.where("d IS NOT NULL").select(c(group).alias("g"), "time", "d", "own", (c("leaving") + c("leaving_before")).alias("y"))
     at = risk.groupBy("time").agg(F.sum("y").alias("n"))
     risk = risk.join(at, "time").select("g", "time", c("d").cast("double"), c("own").cast("double"), c("y").cast("double"), c("n").cast("double"))
     v = c("d") * (c("n") - c("d")) / F.nullif(c("n") * c("n") * (c("n") - 1), lit(0.0))
@@ -91,24 +91,24 @@ def log_rank(df: DataFrame, group: str) -> dict[str, float]:
 def cox(df: DataFrame, covariates: list[str], penalty: float = 0.0, most_steps: int = 25) -> dict:
     """Cox proportional hazards with Efron ties, by Newton steps.
 
-    Each step is one aggregate by time and one window over the distinct times: risk-set sums of
-    w, wx and wxx'.  Only gradient and Hessian reach the driver.
+    Each step is one aggregate by time, whose risk-set sums of w, wx and wxx' go through range partitions of
+    the distinct times.  Only gradient and Hessian reach the driver.
     """
     own = df.dropna(subset=["time", "event", *covariates]).select("time", "event", *[c(x).cast("double").alias(x) for x in covariates])
     row = own.agg(*[F.avg(x).alias(x) for x in covariates], F.count("*").alias("n")).first()
-    own = own.select("time", "event", *[(c(x) - lit(row[x])).alias(x) for x in covariates]).persist()
+    own = own.select("time", "event", *[(c(x) - lit(row[x])).alias(x) for x in covariates])
+    own = save(own, "cox")
     p, beta, ll = len(covariates), np.zeros(len(covariates)), None
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     for _ in range(most_steps):
         w = F.exp(sum((c(x) * lit(float(b)) for x, b in zip(covariates, beta, strict=True)), lit(0.0)))
         terms = {"w": w} | {f"x{i}": w * c(x) for i, x in enumerate(covariates)} | {f"h{i}_{j}": w * c(covariates[i]) * c(covariates[j]) for i, j in pairs}
         died = c("event") == 1
-        t = own.groupBy("time").agg(
-            F.sum(died.cast("int")).alias("d"), F.sum(F.when(died, F.ln(w)).otherwise(0.0)).alias("lw"), *[F.sum(F.when(died, c(x)).otherwise(0.0)).alias(f"s{i}") for i, x in enumerate(covariates)],
-            *[F.sum(e).alias(f"a_{n}") for n, e in terms.items()], *[F.sum(F.when(died, e).otherwise(0.0)).alias(f"d_{n}") for n, e in terms.items()],
-        )
-        back = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)
-        risk = t.select("d", "lw", *[f"s{i}" for i in range(p)], *[F.sum(f"a_{n}").over(back).alias(f"r_{n}") for n in terms], *[f"d_{n}" for n in terms]).where("d > 0")
+        dead = lambda e: F.sum(F.when(died, e).otherwise(0.0))
+        totals = {"d": F.sum(died.cast("int")), "lw": dead(F.ln(w))} | {f"s{i}": dead(c(x)) for i, x in enumerate(covariates)} | {f"a_{n}": F.sum(e) for n, e in terms.items()} | {f"d_{n}": dead(e) for n, e in terms.items()}
+        t = running_sums(own, "time", totals, descending=True).where("d > 0")
+        kept = ["d", "lw", *[f"s{i}" for i in range(p)], *[f"d_{n}" for n in terms]]
+        risk = save(t.select(*kept, *[(c(f"a_{n}") + c(f"a_{n}_before")).alias(f"r_{n}") for n in terms]), "risk")
         # Efron: the l-th of d tied deaths sees the risk set less l/d of the tied ones; the terms of a time are summed up in place.
         shares = F.transform(F.sequence(lit(0), c("d").cast("int") - 1), lambda l: l / c("d"))
         part = lambda n, f: c(f"r_{n}") - f * c(f"d_{n}")
@@ -118,6 +118,7 @@ def cox(df: DataFrame, covariates: list[str], penalty: float = 0.0, most_steps:
             *[over(lambda f, i=i, j=j: part(f"h{i}_{j}", f) / part("w", f) - part(f"x{i}", f) * part(f"x{j}", f) / part("w", f) ** 2).alias(f"i{i}_{j}") for i, j in pairs],
         ).first()
         tops = risk.agg(F.sum("lw").alias("l"), *[F.sum(f"s{i}").alias(f"s{i}") for i in range(p)]).first()
+        free(risk)
         if sums["l"] is None:
             break
         new = tops["l"] - sums["l"] - penalty / 2 * float(beta @ beta)
@@ -132,7 +133,7 @@ def cox(df: DataFrame, covariates: list[str], penalty: float = 0.0, most_steps:
         if done:
             break
         beta = beta + step
-    own.unpersist()
+    free(own)
     se = np.sqrt(np.diag(np.linalg.pinv(info))) if ll is not None else np.full(p, np.nan)
     z = beta / se
     return {
@@ -142,29 +143,39 @@ def cox(df: DataFrame, covariates: list[str], penalty: float = 0.0, most_steps:
     }
 
 
-def concordance(df: DataFrame, coefficients: dict[str, float], cells: int = 256) -> float:
-    """The share of comparable pairs that the risk orders rightly, half for equal risks; exact for risks rounded to ``cells`` levels of rank.
+def concordance(df: DataFrame, coefficients: dict[str, float]) -> float:
+    """``concordance_table`` for the risk of a linear predictor; NaN without a comparable pair."""
+    risk = sum((c(x) * lit(float(b)) for x, b in coefficients.items()), lit(0.0))
+    row = concordance_table(df.dropna(subset=["time", "event", *coefficients]).select("time", "event", risk.alias("risk")), "risk").first()
+    return float("nan") if row["concordance"] is None else float(row["concordance"])
+
+
+def concordance_table(df: DataFrame, risk: str) -> DataFrame:
+    """One row: concordant, tied, pairs, concordance; exact at any size.
 
     A pair is comparable if the one with the shorter time had the event; of equal times one with and one without it.
-    Risks are cut at even ranks, so the rest is a table of times by levels, whatever the number of rows.
+    It is concordant if that one has the greater risk, and counts half if the risks are equal.
+
+    Two ranks differ first in one of their bits.  So a row enters, for every bit of its risk's rank, a cell of the higher bits: events with a 1
+    there meet the later rows with a 0 there.  All cells are summed up over time at once, through range partitions of (bit, higher bits, time).
     """
-    risk = sum((c(x) * lit(float(b)) for x, b in coefficients.items()), lit(0.0))
-    own = df.dropna(subset=["time", "event", *coefficients]).select("time", "event", risk.alias("risk"))
-    n = own.count()
-    if not n:
-        return float("nan")
-    ranked = average_ranks(own, "risk")
-    level = F.floor((c("rank") - 1) * cells / n).cast("int") if n > cells else c("rank")
-    at = own.join(ranked, "risk").withColumn("level", level).groupBy("time", "level").agg(F.sum((c("event") == 1).cast("int")).alias("died"), F.sum((c("event") != 1).cast("int")).alias("left"))
-    # Behind each time: all later ones, and of the same time those without an event.
-    back = Window.partitionBy("level").orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, -1)
-    times, levels = at.where("died > 0").select("time").distinct(), at.select("level").distinct()
-    grid = times.join(F.broadcast(levels)).join(at, ["time", "level"], "full").select("time", "level", F.coalesce("died", lit(0)).alias("died"), F.coalesce("left", lit(0)).alias("left"))
-    behind = grid.withColumn("later", F.coalesce(F.sum(c("died") + c("left")).over(back), lit(0)) + c("left"))
-    low = Window.partitionBy("time").orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
-    sums = behind.withColumn("below", F.coalesce(F.sum("later").over(low), lit(0))).withColumn("all", F.sum("later").over(Window.partitionBy("time")))
-    row = sums.where("died > 0").agg(F.sum(c("died") * (c("below") + c("later") / 2)).alias("right"), F.sum(c("died") * c("all")).alias("pairs")).first()
-    return float(row["right"] / row["pairs"]) if row["pairs"] else float("nan")
+    rows = df.where(c("time").isNotNull() & c("event").isNotNull() & c(risk).isNotNull())
+    own = rows.groupBy(F.struct("time", (c("event") != 1).cast("int").alias("left")).alias("at"), c(risk).alias("_risk")).agg(F.count("*").alias("w"))
+    ranks = running_counts(own, "_risk", (), c("w")).select("_risk", c("before").alias("rank"))
+    own = save(own.join(ranks, "_risk").select("at", "rank", "w"), "ranks")
+    bits = int(own.agg(F.max("rank")).first()[0] or 0).bit_length()
+    died = F.when(c("at.left") == 0, c("w")).otherwise(0)
+    # Bit -1: rows of equal risk.  Bit -2: all comparable pairs.
+    cell = lambda bit, key, low, high: F.struct(bit.alias("bit"), key.alias("key"), low.alias("low"), high.alias("high"))
+    one = lambda b: F.shiftright("rank", b).bitwiseAND(lit(1)) == 1
+    by_bit = [cell(lit(b), F.shiftright("rank", b + 1), F.when(one(b), 0).otherwise(c("w")), F.when(one(b), died).otherwise(0)) for b in range(bits)]
+    cells = own.select("at", F.inline(F.array(*by_bit, cell(lit(-1), c("rank"), c("w"), died), cell(lit(-2), lit(0).cast("long"), c("w"), died))))
+    sums = running_sums(cells, "at", {"low": F.sum("low"), "high": F.sum("high")}, ("bit", "key"), descending=True)
+    met = c("high").cast("decimal(38,0)") * c("low_before")
+    total = lambda where: F.coalesce(F.sum(F.when(where, met)), lit(0))
+    out = sums.where("high > 0").agg(total(c("bit") >= 0).alias("concordant"), total(c("bit") == -1).alias("tied"), total(c("bit") == -2).alias("pairs"))
+    share = (c("concordant") + c("tied") / 2).cast("double") / F.nullif(c("pairs").cast("double"), lit(0.0))
+    return out.select(*[c(x).cast("decimal(38,0)").alias(x) for x in ("concordant", "tied", "pairs")], share.alias("concordance"))
 
 
 def proportional_hazards(df: DataFrame, coefficients: dict[str, float]) -> DataFrame | None:
@@ -175,9 +186,8 @@ def proportional_hazards(df: DataFrame, coefficients: dict[str, float]) -> DataF
     names = list(coefficients)
     own = df.dropna(subset=["time", "event", *names]).select("time", "event", *[c(x).cast("double").alias(x) for x in names])
     w = F.exp(sum((c(x) * lit(float(b)) for x, b in coefficients.items()), lit(0.0)))
-    t = own.groupBy("time").agg(F.sum(w).alias("w"), *[F.sum(w * c(x)).alias(f"w_{i}") for i, x in enumerate(names)])
-    back = Window.orderBy(F.desc("time")).rowsBetween(Window.unboundedPreceding, 0)  # a row for each distinct time
-    means = t.select("time", *[(F.sum(f"w_{i}").over(back) / F.sum("w").over(back)).alias(f"m_{i}") for i in range(len(names))])
+    t = running_sums(own, "time", {"w": F.sum(w)} | {f"w_{i}": F.sum(w * c(x)) for i, x in enumerate(names)}, descending=True)
+    means = t.select("time", *[((c(f"w_{i}") + c(f"w_{i}_before")) / (c("w") + c("w_before"))).alias(f"m_{i}") for i in range(len(names))])
     died = own.where("event = 1").join(means, "time")
     died = died.join(average_ranks(died.select("time"), "time").select("time", "rank"), "time")
     out = died.select("rank", *[(c(x) - c(f"m_{i}")).alias(x) for i, x in enumerate(names)]).unpivot(["rank"], names, "covariate", "residual")

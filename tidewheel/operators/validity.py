@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewheel.operators.neighbours import indexed, sums_by_cluster
+from tidewheel.operators.shared import save
+
 c, lit = F.col, F.lit
 NOISE = -1
 
@@ -49,15 +52,12 @@ def davies_bouldin(points: DataFrame) -> DataFrame:
 def silhouettes(points: DataFrame) -> DataFrame:
     """(entity_id, cluster, silhouette) with Euclidean distances; 0 for noise and single points.
 
-    Every point is compared with all points, as the measure asks for; they are spread over the tasks by
-    a salt, of which there are more with more points; sums per (point, cluster) are combined before the shuffle.
+    Every point is compared with all points, as the measure asks for: tiles of points meet tiles, and give
+    sums per (point, cluster), which are combined before the shuffle.
     """
-    own = points.where(c("cluster") != NOISE).select("entity_id", "cluster", "features")
-    salts = max(8, own.count() // 4000)
-    left = own.withColumn("s", F.explode(F.sequence(lit(0), lit(salts - 1))))
-    right = own.select(c("entity_id").alias("other"), c("cluster").alias("to"), c("features").alias("g"), F.pmod(F.xxhash64("entity_id"), lit(salts)).cast("int").alias("s"))
-    d = F.sqrt(_sq("features", "g"))
-    sums = left.join(right, "s").where("entity_id <> other").groupBy("entity_id", "cluster", "to").agg(F.sum(d).alias("d"), F.count("*").alias("n"))
+    kept = points.where(c("cluster") != NOISE).select("entity_id", "cluster", "features")
+    own = save(indexed(kept).join(kept.select("entity_id", "cluster"), "entity_id").select("entity_id", "i", "x", "cluster"), "points")
+    sums = sums_by_cluster(own).join(own.select("i", "entity_id", "cluster"), "i")
     means = sums.withColumn("m", c("d") / c("n"))
     ab = means.groupBy("entity_id", "cluster").agg(F.max(F.when(c("to") == c("cluster"), c("m"))).alias("a"), F.min(F.when(c("to") != c("cluster"), c("m"))).alias("b"))
     s = F.when(c("a").isNull() | c("b").isNull(), 0.0).otherwise((c("b") - c("a")) / F.nullif(F.greatest("a", "b"), lit(0.0)))

@@ -6,6 +6,8 @@ import duckdb
 import pandas as pd
 import pytest
 from tidewheel import queries as Q
+from tidewheel import studies
+from tidewheel.plans import study_sql
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -23,9 +25,12 @@ def plain(df: pd.DataFrame) -> list:
     return sorted((tuple(None if x is None or x != x else f"{x:.5g}" if isinstance(x, float) else str(x) for x in r) for r in df.itertuples(index=False)), key=str)
 
 
-@pytest.mark.parametrize("name", sorted(Q.oracle_sql()))
+QUERIES, SQL = Q.queries() | studies.queries(), Q.oracle_sql() | study_sql.SQL
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_as_sql(spark, duck, name):
-    ours, theirs = Q.queries()[name](spark, FOLDER).toPandas(), duck.execute(Q.oracle_sql()[name]).df()
+    ours, theirs = QUERIES[name](spark, FOLDER).toPandas(), duck.execute(SQL[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert plain(ours) == plain(theirs)
 

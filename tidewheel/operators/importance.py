@@ -98,8 +98,8 @@ def neighbour_information(df: DataFrame, group: str, columns: list[str], k: int
     same = reach.groupBy("feature", "v", "n", "k", "d").agg(F.count("*").alias("rows")).withColumns({"lo": c("v") - c("d"), "hi": c("v") + c("d")})
     met = same.join(low, ["feature", "lo"]).join(high, ["feature", "hi"])
     m = F.when(c("d") == 0, c("lo_own")).otherwise(c("hi_below") - c("lo_below") - c("lo_own"))
-    s = met.withColumn("m", m).groupBy("feature").agg(F.sum("rows").alias("N"), *[F.sum(c("rows") * digamma(c(x))).alias(x) for x in ("k", "n", "m")])
-    return s.select("feature", F.greatest(lit(0.0), digamma(c("N")) + (c("k") - c("n") - c("m")) / c("N")).alias("mi_score"))
+    s = met.withColumn("m", m).groupBy("feature").agg(F.sum("rows").alias("total"), *[F.sum(c("rows") * digamma(c(x))).alias(f"psi_{x}") for x in ("k", "n", "m")])
+    return s.select("feature", F.greatest(lit(0.0), digamma(c("total")) + (c("psi_k") - c("psi_n") - c("psi_m")) / c("total")).alias("mi_score"))
 
 
 def forest_scores(df: DataFrame, label: str, columns: list[str], task: str = "classification", trees: int = 100) -> DataFrame:

@@ -168,7 +168,7 @@ def correlations(df: DataFrame, columns: list[str], least: float = 0.8, key: str
     spread = lambda q, v: F.when(c(q) - c(v) * c(v) / c("n") > 1e-14 * c(q), c(q) - c(v) * c(v) / c("n"))
     name = lambda x: F.element_at(F.array(*[lit(v) for v in columns]), c(x) + 1)
     r = (c("xy") - c("x") * c("y") / c("n")) / F.sqrt(spread("xx", "x") * spread("yy", "y"))
-    out = s.select(name("i").alias("a"), name("j").alias("b"), F.greatest(lit(-1.0), F.least(lit(1.0), r)).alias("r"), c("n").cast("long").alias("n"))
+    out = s.select(name("i").alias("a"), name("j").alias("b"), F.when(r.isNotNull(), F.greatest(lit(-1.0), F.least(lit(1.0), r))).alias("r"), c("n").cast("long").alias("n"))
     return out.where(F.abs("r") >= least).orderBy(F.abs("r").desc(), "a", "b")
 
 

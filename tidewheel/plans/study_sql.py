@@ -34,9 +34,9 @@ SQL: dict[str, str] = {
     + _r("SELECT entity_id, 'balance' AS feature, prediction, pa AS phi FROM m UNION ALL SELECT entity_id, 'n_orders', prediction, pb FROM m", "entity_id, feature", 3),
     "score_report": ENT + ", s AS (SELECT event, (balance + 1000) / 11000 AS score FROM x), p AS (SELECT sum((a.score > b.score)::INT + (a.score = b.score)::INT / 2) / count(*) AS auc FROM s a JOIN s b ON a.event = 1 AND b.event = 0), k AS (SELECT count(*) AS n, sum(event) AS n_events, count(*) FILTER (event = 0 AND score <= 0.5) AS tn, count(*) FILTER (event = 0 AND score > 0.5) AS fp, count(*) FILTER (event = 1 AND score <= 0.5) AS fn, count(*) FILTER (event = 1 AND score > 0.5) AS tp FROM s) "
     + _r("SELECT *, (tp + tn) / n AS accuracy, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1 FROM p, k"),
-    "neighbour_information": ENT + ", l AS (SELECT segment AS g, feature, v FROM (" + _long("(SELECT segment, round(balance * 100)::BIGINT AS cents, n_orders, time FROM x)", ("cents", "n_orders", "time"), "segment") + ") WHERE v IS NOT NULL), q AS (SELECT row_number() OVER () AS id, *, count(*) OVER (PARTITION BY feature, g) AS n FROM l), o AS (SELECT * FROM q WHERE n > 1), d AS (SELECT a.id, a.feature, a.v, a.n, least(3, a.n - 1) AS k, list_sort(list(abs(a.v - b.v)))[least(3, a.n - 1)] AS r FROM o a JOIN o b ON a.feature = b.feature AND a.g = b.g AND a.id <> b.id GROUP BY ALL), "
-    f"m AS (SELECT d.id, d.feature, d.n, d.k, count(*) FILTER (abs(o.v - d.v) < d.r OR o.v = d.v) AS m FROM d JOIN o ON o.feature = d.feature GROUP BY ALL), t AS (SELECT feature, count(*) AS c, avg({_digamma('k')}) AS pk, avg({_digamma('n')}) AS pn, avg({_digamma('m')}) AS pm FROM m GROUP BY feature) "
-    + _r(f"SELECT feature, greatest(0, {_digamma('c')} + pk - pn - pm) AS mi_score FROM t", "feature"),
+    "neighbour_information": ENT + ", l AS (SELECT segment AS g, feature, v FROM (" + _long("(SELECT segment, round(balance * 100)::BIGINT AS cents, n_orders, time FROM x)", ("cents", "n_orders", "time"), "segment") + ") WHERE v IS NOT NULL), q AS (SELECT row_number() OVER () AS id, *, count(*) OVER (PARTITION BY feature, g) AS n FROM l), o AS (SELECT * FROM q WHERE n > 1), c AS (SELECT a.id, a.feature, a.v, a.n, list_sort(list(abs(a.v - b.v))) AS ds FROM o a JOIN o b ON a.feature = b.feature AND a.g = b.g AND a.id <> b.id GROUP BY a.id, a.feature, a.v, a.n), d AS (SELECT id, feature, v, n, least(3, n - 1) AS k, ds[least(3, n - 1)] AS r FROM c), "
+    f"m AS (SELECT d.id, d.feature, d.n, d.k, count(*) FILTER (abs(o.v - d.v) < d.r OR o.v = d.v) AS m FROM d JOIN o ON o.feature = d.feature GROUP BY d.id, d.feature, d.n, d.k), t AS (SELECT feature, count(*) AS c_, avg({_digamma('k')}) AS pk, avg({_digamma('n')}) AS pn, avg({_digamma('m')}) AS pm FROM m GROUP BY feature) "
+    + _r(f"SELECT feature, greatest(0, {_digamma('c_')} + pk - pn - pm) AS mi_score FROM t", "feature"),
     "concordance_index": ENT + ", y AS (SELECT * FROM x WHERE time IS NOT NULL) " + _r(_concordance("n_orders") + " UNION ALL " + _concordance("balance"), "risk", 9),
     "survival_limits": _KM + ", v AS (SELECT *, sum(CASE WHEN at_risk > deaths THEN deaths / (at_risk * (at_risk - deaths)) ELSE 0 END) OVER (PARTITION BY segment ORDER BY time) AS v, max(at_risk) OVER (PARTITION BY segment) AS size FROM km), u AS (SELECT *, survival > 0 AND survival < 1 AS inside, sqrt(v) / abs(ln(CASE WHEN survival > 0 AND survival < 1 THEN survival END)) AS se FROM v WHERE size >= 2) "
     + _r("SELECT segment, time, at_risk, deaths, survival, CASE WHEN inside THEN power(survival, exp(1.959963984540054 * se)) ELSE survival END AS low, CASE WHEN inside THEN power(survival, exp(-1.959963984540054 * se)) ELSE survival END AS high FROM u", "segment, time"),

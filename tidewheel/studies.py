@@ -230,7 +230,7 @@ def percentile_states(spark, sf_dir):
 
 def correlated_features(spark, sf_dir):
     """Pairs of burden features with |r| of 0.8 or more, over all pairs."""
-    f = X.extract(history(spark, sf_dir), ("burden",), WINDOWS)
+    f = rounded(X.extract(history(spark, sf_dir), ("burden",), WINDOWS))  # without the noise of constant columns
     return rounded(I.correlations(f, sorted(I.numeric_columns(f, ("entity_id",)))), ("a", "b"), 5)
 
 

@@ -592,6 +592,39 @@ def test_lm_trains_on_every_window_once(monkeypatch):
     assert all(np.array_equal(seen[0], x) for x in seen)
 
 
+def test_lm_goes_over_few_windows_again(monkeypatch):
+    """The first model takes its least steps, all others see each window once; what is held for that is bounded."""
+    met = []
+    monkeypatch.setattr(lm_scoring.Attention, "gradients", lambda self, x, y: met.append(len(x)) or {})
+    texts = lm_texts(300)
+    ids, bounds = lm_scoring.encode(pa.array(texts), PATH, 1)
+    model = lm_scoring.Attention(np.bincount(ids, minlength=49408))
+    n = len(model.windows(ids, bounds)[0])
+    halves = lambda: iter([(ids[bounds[a] : bounds[b]], bounds[a : b + 1] - bounds[a]) for a, b in ((0, 120), (120, 300))])
+    for again, least, passes, want in ((False, 10**6, 16, 1), (True, 10**6, 3, 3), (True, 1, 16, 1), (True, -(-2 * n // lm_scoring.FEW), 16, 3), (True, 10**6, 16, 16)):
+        monkeypatch.setattr(lm_scoring, "LEAST", least)
+        monkeypatch.setattr(lm_scoring, "PASSES", passes)
+        met.clear()
+        assert lm_scoring._trained(model, model.packed(), halves(), again) == n
+        assert sum(met) == want * n
+
+
+def test_lm_beats_the_base_and_its_own_start(spark):
+    """Held-out texts of sf0.01, by log10 probability a token."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = [r for r in lm_scoring.score_texts(docs, PATH).collect() if zlib.crc32(str(r["doc_id"]).encode()) % 7 == 2]
+    tokens, base, score = (sum(r[x] for r in rows) for x in ("n_tokens", "base_score", "score"))
+    assert len(rows) > 100 and score / tokens > base / tokens + 0.02
+    texts = docs.toPandas()
+    held = np.array([zlib.crc32(str(i).encode()) % 7 == 2 for i in texts["doc_id"]])
+    ids, bounds = lm_scoring.encode(pa.array(texts["text"][~held]), PATH, 1)
+    start = lm_scoring.Attention(np.bincount(ids, minlength=49408))
+    ids, bounds = lm_scoring.encode(pa.array(texts["text"][held]), PATH, 1)
+    x, y, _ = start.windows(ids, bounds)
+    untrained = (start.log_probs(x, y).sum() + start.share[ids].sum()) / np.log(10)
+    assert score > untrained + 0.5 * tokens
+
+
 def test_lm_shares():
     for top in (1.0, 500.0):
         x = np.array([[top, 0, -1e9], [0, 0, 0]])

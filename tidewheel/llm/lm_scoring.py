@@ -10,7 +10,8 @@ least ``CONTEXT`` ids before it, as far as there are so many.
 Texts are encoded once.  The counts of ids over all training texts give the vocabulary.
 Training texts are dealt out by a hash of id and text into parts of about ``PART_TEXTS``, in
 one order, whatever partitions they come in.  One part trains a first model; from that all other parts go on, and their
-models are averaged, weighted by their windows.  So all windows of all training texts are learned from, each once,
+models are averaged, weighted by their windows.  The first model takes ``LEAST`` steps at least, so where its part has few windows
+it goes over them again, ``PASSES`` times at most; all other windows are learned from once.  So all windows of all training texts are learned from,
 the result does not depend on how the table is partitioned, and the driver gets one model.
 
 The base score needs the training count of every word.  Counts are exact and
@@ -40,8 +41,10 @@ from tidewheel.llm.scratch import doc_hash, free, save, small_batches
 
 #: Ids with a probability of their own, in CLASSES equal classes; sizes of embeddings and values, of queries and keys; inputs before the scored ones; scored ones.
 VOCAB, CLASSES, DIM, HEAD, CONTEXT, STEP = 2304, 48, 24, 8, 8, 24
-#: Training texts of a part; windows of a step; steps whose windows are mixed; counts kept in the tasks; texts handled at once.
-PART_TEXTS, BATCH, MIXED, TOP, ROWS = 4096, 256, 64, 1 << 16, 500
+#: Training texts of a part; windows scored at once; windows of a step; windows that are mixed; counts kept in the tasks; texts handled at once.
+PART_TEXTS, BATCH, FEW, MIXED, TOP, ROWS = 4096, 256, 64, 1 << 14, 1 << 16, 500
+#: The first model's least steps, and how often it goes over its windows at most for that.
+LEAST, PASSES = 4000, 16
 LEARN, SEED = 5e-2, 5
 SPAN, EACH, WIDTH = CONTEXT + STEP, VOCAB // CLASSES, 2 * (DIM + HEAD)
 E, Q, K, V = (slice(a, b) for a, b in ((0, DIM), (DIM, DIM + HEAD), (DIM + HEAD, DIM + 2 * HEAD), (DIM + 2 * HEAD, WIDTH)))
@@ -182,11 +185,11 @@ class Attention:
         g["t"][flat[order][first]] = np.add.reduceat(dt.reshape(-1, WIDTH)[order], first, axis=0)
         return g
 
-    def train(self, x: np.ndarray, y: np.ndarray) -> None:
-        """Adagrad over every window once, in a fixed random order."""
-        mixed = np.random.default_rng(SEED).permutation(len(x))
-        for i in range(0, len(x), BATCH):
-            pick = mixed[i : i + BATCH]
+    def train(self, x: np.ndarray, y: np.ndarray, nth: int = 0) -> None:
+        """Adagrad over every window once, in a fixed random order, another one for each pass."""
+        mixed = np.random.default_rng(SEED + nth).permutation(len(x))
+        for i in range(0, len(x), FEW):
+            pick = mixed[i : i + FEW]
             for n, g in self.gradients(x[pick], y[pick]).items():
                 self.squares[n] += g * g
                 g *= g.dtype.type(LEARN)
@@ -270,24 +273,40 @@ def id_counts(training: DataFrame, total: int) -> np.ndarray:
     return counts
 
 
-def _trained(model: Attention, start: bytes, rows: Iterator[tuple[np.ndarray, np.ndarray]]) -> int:
-    """Train from ``start`` on all windows of the texts, in their order, however they are batched; returns the number of windows."""
+def _trained(model: Attention, start: bytes, rows: Iterator[tuple[np.ndarray, np.ndarray]], again: bool = False) -> int:
+    """Train from ``start`` on all windows of the texts, in their order, however they are batched; returns the number of windows.
+
+    ``again``: go over them until there were LEAST steps, at most PASSES times.  Only texts of fewer windows are held for that.
+    """
     model.unpack(np.frombuffer(start, dtype="<f4"))
-    x, y, seen, most = [], [], 0, MIXED * BATCH
-    for ids, bounds in rows:
-        for kept, new in zip((x, y), model.windows(ids, bounds), strict=False):
-            kept.append(new)
-        while sum(map(len, x)) >= most:
-            x, y = ([np.concatenate(v)] for v in (x, y))
-            model.train(x[0][:most], y[0][:most])
-            x, y, seen = [x[0][most:]], [y[0][most:]], seen + most
-    left = sum(map(len, x))
-    if left:
-        model.train(np.concatenate(x), np.concatenate(y))
-    return seen + left
-
-
-def _train_parts(model) -> Callable:
+    held: list | None = [] if again else None
+
+    def once(texts: Iterator[tuple[np.ndarray, np.ndarray]], nth: int) -> int:
+        nonlocal held
+        x, y, seen = [], [], 0
+        for ids, bounds in texts:
+            if held is not None and not nth:
+                held.append((ids.copy(), bounds))
+            for kept, new in zip((x, y), model.windows(ids, bounds), strict=False):
+                kept.append(new)
+            while sum(map(len, x)) >= MIXED:
+                x, y = ([np.concatenate(v)] for v in (x, y))
+                model.train(x[0][:MIXED], y[0][:MIXED], nth)
+                x, y, seen = [x[0][MIXED:]], [y[0][MIXED:]], seen + MIXED
+            if seen >= LEAST * FEW:
+                held = None
+        left = sum(map(len, x))
+        if left:
+            model.train(np.concatenate(x), np.concatenate(y), nth)
+        return seen + left
+
+    n = once(rows, 0)
+    for nth in range(1, min(PASSES, -(-LEAST * FEW // n)) if held and n else 1):
+        once(iter(held), nth)
+    return n
+
+
+def _train_parts(model, first_model: bool = False) -> Callable:
     def train_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # The allocator keeps blocks up to the largest one that was ever freed: without this every large array is mapped anew.
         np.empty(31 << 20, dtype=np.uint8)
@@ -316,7 +335,7 @@ def _train_parts(model) -> Callable:
                 now, rest = int(first.column("part")[0].as_py()), (b for group in ([first], batches) for b in group if b.num_rows)
                 break
         while now is not None:
-            part, seen = now, _trained(own, start, of_part())
+            part, seen = now, _trained(own, start, of_part(), first_model)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(seen)]), pa.array([own.packed()], pa.binary())], ["part", "weight", "model"])
 
     return train_parts
@@ -339,9 +358,9 @@ def fit(training: DataFrame, total: int, part_texts: int | None = None) -> Atten
     model = Attention(id_counts(training, total))
     n = math.ceil(training.select("key").distinct().count() / (part_texts or PART_TEXTS))
     texts = training.select(F.pmod(F.xxhash64("key"), F.lit(max(1, n))).alias("part"), "key", "ids")
-    for some, tasks in ((texts.where("part = 0"), 1), (texts.where("part > 0"), 3 * n)):  # with more tasks than parts few have two
+    for first, some, tasks in ((True, texts.where("part = 0"), 1), (False, texts.where("part > 0"), 3 * n)):  # with more tasks than parts few have two
         shared = training.sparkSession.sparkContext.broadcast((model, model.packed()))
-        trained = some.repartition(tasks, "part").sortWithinPartitions("part", "key").mapInArrow(_train_parts(shared), SCHEMA)
+        trained = some.repartition(tasks, "part").sortWithinPartitions("part", "key").mapInArrow(_train_parts(shared, first), SCHEMA)
         for groups in (max(16, math.isqrt(n)), 16):  # no task adds up more than the root of the number of parts
             trained = trained.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part").applyInArrow(_average, SCHEMA)
         merged = sorted(trained.collect(), key=lambda r: r["part"])  # 16 rows at most

@@ -186,12 +186,17 @@ def test_hazards_check_against_plain_sums(spark):
     assert K.proportional_hazards(df.where("event = 0"), {"far": 0.3}) is None
 
 
-def test_report_sections(spark):
+def test_report_sections(spark, tmp_path):
     big = spark.range(1500).select(F.col("id").alias("P1"))
-    html = R.study("S", {"Phenotypes": big, "Survival": spark.range(1), "Features": None}, footer="<end>").render()
-    assert html.count("<tr>") == 1501 + 2 and "<h2>2. Survival</h2>" in html and "background" in html and "&lt;end&gt;" in html
+    tested = spark.createDataFrame([("a", 0.9), ("b", None), ("c", 0.01)], "variable string, p_value double")
+    sections = [R.Section("Groups", ((None, big),)), R.Section("Features", ((None, None),)), R.before_after("Heart", tested, None, tested, "by ultrasound"), R.Section("Times", ((None, spark.range(1)),))]
+    html = R.study("S", sections, footer="<end>", facts={"Entities": 1500}).render()
+    assert html.count("<tr>") == 1501 + 4 + 4 + 2 and "<h2>3. Times</h2>" in html and "background" in html and "&lt;end&gt;" in html and "<b>Entities:</b> 1500" in html and "Features" not in html
+    assert "<h3>2.1 Before</h3>" in html and "<h3>2.2 Change</h3>" in html and html.index("<td>c</td>") < html.index("<td>a</td>") < html.index("<td>b</td>")
+    R.study("S", sections).save(str(tmp_path / "r.html"))
+    assert (tmp_path / "r.html").read_text(encoding="utf-8") == R.study("S", sections).render()
     with pytest.raises(ValueError):
-        R.study("S", {})
+        R.study("S", sections[1:])
     assert R.display_columns(spark.createDataFrame([(1, 2)], "N int, a int")) == ["a"]
 
 

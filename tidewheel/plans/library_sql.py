@@ -1,6 +1,6 @@
 """DuckDB SQL for the library's other queries."""
 
-from tidewheel.plans.feature_sql import BASE, t_two_sided
+from tidewheel.plans.feature_sql import BASE, queries, t_two_sided
 
 WILD = """WITH w AS (SELECT user_id AS entity_id, event_id AS seq, ts, value AS d, 100 + 25 * CAST(json_extract_string(props, '$.k') AS DOUBLE) AS rr FROM events)"""
 ENT = """WITH per AS (SELECT o_custkey AS entity_id, count(*) AS n_orders, count(*) FILTER (o_orderstatus = 'F') AS n_final,
@@ -80,8 +80,7 @@ SQL: dict[str, str] = {
     "outcome_spearman": ENT + ", l AS (SELECT * FROM (" + _long("x", ("balance", "n_orders", "price_before"), "time AS y") + ") WHERE v IS NOT NULL AND y IS NOT NULL), r AS (SELECT feature, " + RANKS.format(c="v") + " AS rx, " + RANKS.format(c="y") + " AS ry FROM l) " + _r("SELECT *, " + t_two_sided("(r * sqrt((n - 2) / (1 - r * r)))", "(n - 2)", 4000) + " AS p_value FROM (SELECT feature, corr(rx, ry) AS r, count(*) AS n FROM r GROUP BY feature)", "feature"),
     "outcome_table": ENT + _r("SELECT segment, 'event' AS outcome, 'binary' AS kind, count(event) AS n, sum(event) AS events, avg(event) AS rate, NULL AS mean, NULL AS sd, NULL AS median FROM x GROUP BY segment UNION ALL SELECT segment, 'n_orders', 'continuous', count(n_orders), NULL, NULL, avg(n_orders), stddev_samp(n_orders), median(n_orders) FROM x GROUP BY segment", "segment, outcome, kind"),
 }
-_F6 = ("total_af_minutes", "n_episodes", "mean_episode_duration", "max_episode_duration", "std_episode_duration", "duration_p90")
-SQL["feature_correlations"] = BASE + ", k AS (SELECT entity_id, sum(d) AS total_af_minutes, count(*) AS n_episodes, avg(d) AS mean_episode_duration, max(d) AS max_episode_duration, stddev_pop(d) AS std_episode_duration, quantile_cont(d, 0.9) AS duration_p90 FROM e GROUP BY entity_id) " + _r(" UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r, count(*) AS n FROM k" for i, a in enumerate(_F6) for b in _F6[i + 1 :]), "a, b")
+SQL["feature_correlations"] = "WITH f AS (" + queries()["features_all"] + "), l AS (SELECT entity_id, name, v FROM (UNPIVOT (SELECT * EXCLUDE (has_plateau) FROM f) ON COLUMNS(* EXCLUDE (entity_id)) INTO NAME name VALUE v)), k AS (SELECT a.name AS a, b.name AS b, CASE WHEN stddev_pop(a.v) > 0 AND stddev_pop(b.v) > 0 THEN corr(a.v, b.v) END AS r, count(*) AS n FROM l a JOIN l b ON a.entity_id = b.entity_id AND a.name < b.name GROUP BY ALL) " + _r("SELECT a, b, r, n FROM k WHERE r IS NOT NULL AND abs(r) >= 0", "a, b", 4)
 _KM = ENT + ", t AS (SELECT segment, time, sum(event) AS deaths, count(*) AS k FROM x WHERE time IS NOT NULL GROUP BY ALL), r AS (SELECT *, sum(k) OVER (PARTITION BY segment ORDER BY time DESC) AS at_risk FROM t), km AS (SELECT segment, time, at_risk, deaths, product(1 - deaths / at_risk) OVER (PARTITION BY segment ORDER BY time) AS survival FROM r) "
 SQL["survival_curves"] = _KM + _r("SELECT * FROM km", "segment")
 SQL["survival_horizons"] = _KM + _r("SELECT x.segment, count(*) AS n, sum(event) AS events, avg(event) AS rate, " + ", ".join(f"(SELECT coalesce(arg_max(survival, km.time) FILTER (km.time <= {h}), 1) FROM km WHERE km.segment = x.segment) AS survival_{h}" for h in (90, 365, 730)) + " FROM x WHERE time IS NOT NULL GROUP BY x.segment", "segment")
@@ -112,7 +111,7 @@ SQL |= {
     "own_trajectories": BASE + ", kn AS (SELECT entity_id, t AS x, arg_max(cum, seq) AS y FROM e GROUP BY ALL UNION ALL SELECT entity_id, 0.0, 0.0 FROM e GROUP BY entity_id HAVING min(t) > 0), g AS (SELECT entity_id, r.g::INT AS pos, r.g * least(max(t), 365.0) / 9 AS x FROM e, range(0, 10) r(g) GROUP BY entity_id, r.g), b AS (SELECT g.entity_id, pos, g.x, max(kn.x) FILTER (kn.x <= g.x) AS xa, arg_max(kn.y, kn.x) FILTER (kn.x <= g.x) AS ya, min(kn.x) FILTER (kn.x >= g.x) AS xb, arg_min(kn.y, kn.x) FILTER (kn.x >= g.x) AS yb FROM g JOIN kn USING (entity_id) GROUP BY ALL) "
     + _r("SELECT entity_id, pos, x AS time, greatest(coalesce(CASE WHEN xb > xa THEN ya + (yb - ya) * (x - xa) / (xb - xa) ELSE ya END, 0), 0) AS value FROM b", "entity_id, pos"),
     "clinical_states": BASE + ", ids AS (SELECT DISTINCT entity_id FROM e), u AS (SELECT entity_id, floor(t)::INT AS unit, sum(d) AS b FROM e GROUP BY ALL) SELECT entity_id, unit, (coalesce(b, 0) >= 7.2)::INT + (coalesce(b, 0) >= 28.8)::INT AS state FROM (SELECT entity_id, g::INT AS unit FROM ids, range(0, 30) r(g)) LEFT JOIN u USING (entity_id, unit)",
-    "cluster_summary": PTS + _r("SELECT cluster, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct, " + ", ".join(f"avg(f[{i}]) AS {x}_mean, stddev_samp(f[{i}]) AS {x}_std" for i, x in enumerate("xyz", 1)) + " FROM p GROUP BY cluster", "cluster"),
+    "cluster_summary": PTS + _r("SELECT cluster, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct, " + ", ".join(f"avg(f[{i}]) AS x{i}_mean, stddev_samp(f[{i}]) AS x{i}_std" for i in range(1, 65)) + " FROM p GROUP BY cluster", "cluster", 5),
     "segment_scores": ENT + _FS + _r("SELECT feature, f_score, " + F4.format(f="f_score", d="d") + " AS p_value FROM fs", "feature"),
     "segment_ranks": ENT + ", l AS (" + _long("x", ("balance", "n_orders", "price_before", "time"), "segment") + ")" + _KR + _r("SELECT feature, statistic AS h, " + CHI4 + " AS p_value FROM ks", "feature"),
     "segment_information": ENT + ", l AS (SELECT * FROM (" + _long("x", ("balance", "n_orders", "price_before"), "segment") + ") WHERE v IS NOT NULL), q AS (SELECT feature, [" + ", ".join(f"quantile_cont(v, {i} / 5.0)" for i in range(1, 5)) + "] AS p FROM l GROUP BY feature), b AS (SELECT feature, segment, len(list_filter(p, lambda c: c < v)) AS b FROM l JOIN q USING (feature)), k AS (SELECT feature, segment, b, count(*)::DOUBLE AS n FROM b GROUP BY ALL), w AS (SELECT feature, n, sum(n) OVER (PARTITION BY feature) AS t, sum(n) OVER (PARTITION BY feature, segment) AS ng, sum(n) OVER (PARTITION BY feature, b) AS nb FROM k) "

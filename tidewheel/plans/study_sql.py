@@ -48,7 +48,6 @@ SQL: dict[str, str] = {
     "SELECT outcome, test, round(statistic, 6) + 0.0 AS statistic, round(p, 6) + 0.0 AS p_value, CASE WHEN p < 0.001 THEN '***' WHEN p < 0.01 THEN '**' WHEN p < 0.05 THEN '*' ELSE '' END AS stars, CASE WHEN p < 0.001 THEN '<0.001' ELSE printf('%.3f', p) END AS shown FROM p",
     "segment_odds_tested": OTHER["segment_odds"].split(" SELECT term,")[0] + " " + _r("SELECT 'segment_' || segment AS term, exp(l) AS odds_ratio, exp(l - 1.96 * s) AS low, exp(l + 1.96 * s) AS high, " + _z_two_sided("(l / s)") + " AS p_value FROM o", "term", 4),
     "nearest_neighbours": PTS.split(",\n")[0] + ", d AS (SELECT a.entity_id, b.entity_id AS other, sqrt(list_sum(list_transform(range(1, 65), lambda i: power(a.f[i] - b.f[i], 2)))) AS d FROM p a JOIN p b ON a.entity_id <> b.entity_id), n AS (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY d, other) AS rank FROM d) " + _r("SELECT entity_id, other, rank, d FROM n WHERE rank <= 5", "entity_id, other, rank"),
-    "cluster_means": PTS + _r("SELECT cluster, count(*) AS n, 100.0 * count(*) / sum(count(*)) OVER () AS pct, " + ", ".join(f"avg(f[{i}]) AS x{i}_mean, stddev_samp(f[{i}]) AS x{i}_std" for i in range(1, 65)) + " FROM p GROUP BY cluster", "cluster", 5),
     "series_cosine": _series("CASE WHEN xx * yy > 0 THEN 1 - xy / sqrt(xx * yy) END"),
     "series_correlation": _series("CASE WHEN n * xx - sx * sx > 1e-9 AND n * yy - sy * sy > 1e-9 THEN 1 - (n * xy - sx * sy) / sqrt((n * xx - sx * sx) * (n * yy - sy * sy)) END"),
     "weekly_counts": BASE + _r("SELECT i.entity_id, g::INT AS pos, count(e.t) AS value FROM (SELECT DISTINCT entity_id FROM e WHERE t <= 35) i CROSS JOIN range(0, 5) r(g) LEFT JOIN e ON e.entity_id = i.entity_id AND e.t <= 35 AND ceil(e.t / (35.0 / 4)) <= g GROUP BY ALL", "entity_id, pos"),

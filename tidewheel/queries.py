@@ -22,6 +22,8 @@ from tidewheel.plans import feature_sql, library_sql
 from tidewheel.sources import Catalog, Source, bind_events, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: The day from which the registered queries count.
+ANCHOR = "2024-01-01"
 
 
 def rounded(df: DataFrame, keys: tuple[str, ...] = ("entity_id",), digits: int = 6) -> DataFrame:
@@ -31,7 +33,7 @@ def rounded(df: DataFrame, keys: tuple[str, ...] = ("entity_id",), digits: int =
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The cleaned and aligned events."""
-    return E.align(E.clean(bind_events(table(spark, sf_dir, "events"))))
+    return E.align(E.clean(bind_events(table(spark, sf_dir, "events"), ANCHOR)))
 
 
 def span(events: DataFrame) -> int:
@@ -43,7 +45,7 @@ def span(events: DataFrame) -> int:
 def wild(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events whose rate intervals leave the plausible range at both ends."""
     events = table(spark, sf_dir, "events")
-    return bind_events(events).withColumn("rr", (F.col("rr") - 200) / 18 * 25 + 100)
+    return bind_events(events, ANCHOR).withColumn("rr", (F.col("rr") - 200) / 18 * 25 + 100)
 
 
 def entities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,8 +154,9 @@ def scaled_entities(spark, sf_dir):
 
 
 def feature_correlations(spark, sf_dir):
-    f = X.extract(history(spark, sf_dir), ("burden", "episode"))
-    return rounded(I.correlations(f, ["total_af_minutes", "n_episodes", "mean_episode_duration", "max_episode_duration", "std_episode_duration", "duration_p90"], 0.0), ("a", "b"))
+    """The correlation of every pair of the entity features that are numbers; constant ones have none."""
+    f = features_all(spark, sf_dir).drop("has_plateau")
+    return rounded(I.correlations(f, sorted(x for x in f.columns if x != "entity_id"), 0.0), ("a", "b"), 4)
 
 
 def segment_profile(spark, sf_dir):
@@ -352,8 +355,8 @@ def clinical_states(spark, sf_dir):
 
 
 def cluster_summary(spark, sf_dir):
-    p = points(spark, sf_dir).withColumn("features", F.slice("features", 1, 3))
-    return rounded(V.summary(p, ["x", "y", "z"]), ("cluster",))
+    """Size, and mean and sd of all 64 numbers, of every cluster of points."""
+    return rounded(V.summary(points(spark, sf_dir), [f"x{i}" for i in range(1, 65)]), ("cluster",), 5)
 
 
 def segment_scores(spark, sf_dir):

@@ -8,6 +8,8 @@ from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewheel.sources.sav import read_sav
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A parquet table of a folder."""
@@ -47,10 +49,11 @@ class Catalog:
 
     spark: SparkSession
     sources: dict[str, Source]
+    persist: bool = False
     _held: dict[str, DataFrame] = field(default_factory=dict)
 
     def load(self, name: str, use_cache: bool = True) -> DataFrame:
-        """The table, with its types coerced; kept by Spark for the next reader unless ``use_cache`` is False."""
+        """The table, with its types coerced; the same one for the next reader unless ``use_cache`` is False.  Its rows are kept by Spark only in a catalog that persists."""
         if use_cache and name in self._held:
             return self._held[name]
         source = self.sources[name]
@@ -58,6 +61,8 @@ class Catalog:
             raise ValueError(f"the path of {name!r} is not set")
         if source.format == "csv":
             df = read_csv(self.spark, source.path, source.schema)
+        elif source.format == "sav":
+            df = read_sav(self.spark, source.path)
         else:
             reader = self.spark.read.format(source.format)
             df = (reader.schema(source.schema) if source.schema else reader).load(source.path)
@@ -66,9 +71,9 @@ class Catalog:
         made = {x: F.col(quoted(x)).cast("string").try_cast("timestamp_ntz") for x in source.times if kinds.get(x) == "string"}
         made |= {x: F.col(quoted(x)).cast("timestamp_ntz") for x in source.times if kinds.get(x) in ("date", "timestamp")}
         made |= {x: F.col(quoted(x)).try_cast("double") for x in source.numbers if x in kinds}
-        df = df.select(*[made.get(x, F.col(quoted(x))).alias(source.renamed.get(x, x), metadata={"comment": source.labels[x]} if x in source.labels else {}) for x in df.columns])
+        df = df.select(*[made.get(x, F.col(quoted(x))).alias(source.renamed.get(x, x), metadata=df.schema[x].metadata | ({"comment": source.labels[x]} if x in source.labels else {})) for x in df.columns])
         if use_cache:
-            self._held[name] = df.cache()
+            self._held[name] = df.cache() if self.persist else df
         return df
 
     def load_all(self) -> dict[str, DataFrame]:
@@ -78,7 +83,9 @@ class Catalog:
     def metadata(self, name: str) -> dict:
         """name, rows, columns, their types and labels, and the megabytes of the files."""
         df = self.load(name)
-        files = self.spark.read.format(self.sources[name].format).load(self.sources[name].path).select("_metadata.file_path", "_metadata.file_size").distinct()
+        source = self.sources[name]
+        reader = self.spark.read.format("binaryFile" if source.format == "sav" else source.format)
+        files = reader.load(source.path).select("_metadata.file_path", "_metadata.file_size").distinct()
         size = files.agg(F.sum("file_size")).first()[0] or 0
         labels = {f.name: f.metadata["comment"] for f in df.schema.fields if "comment" in f.metadata}
         return {"name": name, "n_rows": df.count(), "n_columns": len(df.columns), "types": dict(df.dtypes), "labels": labels, "size_mb": size / 1e6}
@@ -96,13 +103,13 @@ class Catalog:
 
     def clear(self) -> None:
         """Forget all tables, also what Spark keeps of them."""
-        for df in self._held.values():
+        for df in self._held.values() if self.persist else ():
             df.unpersist()
         self._held.clear()
 
 
-def bind_events(events: DataFrame, anchor: str = "2024-01-01") -> DataFrame:
-    """The event schema from an ``events`` table: value is the duration, props.k gives the rate interval."""
+def bind_events(events: DataFrame, anchor: str) -> DataFrame:
+    """The event schema from an ``events`` table: value is the duration, props.k gives the rate interval; times count from the anchor."""
     hour = F.hour("ts")
     part = F.when(hour < 6, "night 00-05:59").when(hour < 12, "morning 6-11:59").when(hour < 18, "afternoon 12-17:59").otherwise("evening 18-23:59")
     rr = 200 + 18 * F.get_json_object("props", "$.k").cast("double")

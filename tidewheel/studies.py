@@ -18,7 +18,6 @@ from tidewheel.operators import shapes as C
 from tidewheel.operators import shapley as S
 from tidewheel.operators import stats as H
 from tidewheel.operators import survival as K
-from tidewheel.operators import validity as V
 from tidewheel.operators.shared import new_path
 from tidewheel.plans.feature_sql import WINDOWS
 from tidewheel.queries import Query, _rates, _vectors, entities, history, points, rounded, span
@@ -194,11 +193,6 @@ def cluster_stability(spark, sf_dir):
     return spark.createDataFrame(sorted(M.stability(_vectors(spark, sf_dir), 3, 5).items()), "measure string, value double")
 
 
-def cluster_means(spark, sf_dir):
-    """Size, and mean and sd of all 64 numbers, of every cluster of points."""
-    return rounded(V.summary(points(spark, sf_dir), [f"x{i}" for i in range(1, 65)]), ("cluster",), 5)
-
-
 # Series
 
 
@@ -282,7 +276,7 @@ def phenotype_names(spark, sf_dir):
 
 NAMED = (
     shapley_linear, shapley_forest, shapley_importance, score_report, permutation_importance, neighbour_information, concordance_index, survival_limits, survival_prepared, cox_by_group, outcome_pearson, test_yates, chosen_tests, segment_odds_tested,
-    nearest_neighbours, density_clusters, spanning_tree, *map(_agglomerative, G.LINKAGES), warped_hierarchy, shape_clusters, warped_clusters, spectral_clusters, k_sweep, mixture_bic, cluster_stability, cluster_means, _pairs("cosine"), _pairs("correlation"),
+    nearest_neighbours, density_clusters, spanning_tree, *map(_agglomerative, G.LINKAGES), warped_hierarchy, shape_clusters, warped_clusters, spectral_clusters, k_sweep, mixture_bic, cluster_stability, _pairs("cosine"), _pairs("correlation"),
     weekly_counts, percentile_states, correlated_features, complete_entities, numeric_totals, nation_names, loaded_tables, csv_round_trip, body_surfaces, phenotype_names,
 )
 

@@ -44,7 +44,7 @@ VOCAB, CLASSES, DIM, HEAD, CONTEXT, STEP = 2304, 48, 24, 8, 8, 24
 #: Training texts of a part; windows scored at once; windows of a step; windows that are mixed; counts kept in the tasks; texts handled at once.
 PART_TEXTS, BATCH, FEW, MIXED, TOP, ROWS = 4096, 256, 64, 1 << 14, 1 << 16, 500
 #: The first model's least steps, and how often it goes over its windows at most for that.
-LEAST, PASSES = 4000, 16
+LEAST, PASSES = 3000, 16
 LEARN, SEED = 5e-2, 5
 SPAN, EACH, WIDTH = CONTEXT + STEP, VOCAB // CLASSES, 2 * (DIM + HEAD)
 E, Q, K, V = (slice(a, b) for a, b in ((0, DIM), (DIM, DIM + HEAD), (DIM + HEAD, DIM + 2 * HEAD), (DIM + 2 * HEAD, WIDTH)))

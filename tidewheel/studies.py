@@ -150,23 +150,9 @@ def density_clusters(spark, sf_dir):
     return G.density_clusters(points(spark, sf_dir), 5)
 
 
-def spanning_tree(spark, sf_dir):
-    """The edges of the least spanning tree of all points, by length."""
-    return N.spanning_tree(N.indexed(points(spark, sf_dir)))[0]
-
-
-def _agglomerative(linkage):
-    def query(spark, sf_dir):
-        return G.agglomerative(points(spark, sf_dir), 8, linkage)[0]
-
-    query.__doc__ = f"Eight clusters of all points by {linkage} linkage."
-    query.__name__ = f"hierarchy_{linkage}"
-    return query
-
-
-def warped_hierarchy(spark, sf_dir):
-    """Four clusters of series by average linkage of their warped distances."""
-    return G.clusters_of(T.dtw_distances(_rates(spark, sf_dir)), 4)[0]
+def hierarchy_ward(spark, sf_dir):
+    """Eight clusters of all points by Ward's linkage."""
+    return G.agglomerative(points(spark, sf_dir), 8, "ward")[0]
 
 
 def shape_clusters(spark, sf_dir):
@@ -276,7 +262,7 @@ def phenotype_names(spark, sf_dir):
 
 NAMED = (
     shapley_linear, shapley_forest, shapley_importance, score_report, permutation_importance, neighbour_information, concordance_index, survival_limits, survival_prepared, cox_by_group, outcome_pearson, test_yates, chosen_tests, segment_odds_tested,
-    nearest_neighbours, density_clusters, spanning_tree, *map(_agglomerative, G.LINKAGES), warped_hierarchy, shape_clusters, warped_clusters, spectral_clusters, k_sweep, mixture_bic, cluster_stability, _pairs("cosine"), _pairs("correlation"),
+    nearest_neighbours, density_clusters, hierarchy_ward, shape_clusters, warped_clusters, spectral_clusters, k_sweep, mixture_bic, cluster_stability, _pairs("cosine"), _pairs("correlation"),
     weekly_counts, percentile_states, correlated_features, complete_entities, numeric_totals, nation_names, loaded_tables, csv_round_trip, body_surfaces, phenotype_names,
 )
 

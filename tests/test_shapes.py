@@ -122,14 +122,14 @@ def rings(n=40, seed=0):
 def test_spectral(spark):
     x = rings()
     df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "entity_id long, features array<double>")
-    found, values = S.spectral(df, 2, 8)
+    found, values = S.spectral(df, 2, 4)
     labels = {r["entity_id"]: r["cluster"] for r in found.collect()}
     assert agree([labels[i] for i in range(40)], [i % 2 for i in range(40)])
-    edges = S.affinities(indexed(df), 8).collect()
+    edges = S.affinities(indexed(df), 4).collect()
     w = np.zeros((40, 40))
     for i, j, v in edges:
         w[i, j] = v
-    assert np.allclose(w, w.T) and values == pytest.approx(np.sort(np.linalg.eigvalsh(w))[::-1][:2], abs=1e-5)
+    assert np.allclose(w, w.T) and values == pytest.approx(np.sort(np.linalg.eigvalsh(w))[::-1][:2], abs=1e-3)  # after 20 rounds at most
 
 
 def test_eigenvectors(spark):

@@ -279,7 +279,7 @@ def affinities(points: DataFrame, near: int) -> DataFrame:
     return save(both.select("i", "j", (c("w") / F.sqrt(c("s") * c("t"))).alias("w")), "affinities")
 
 
-def eigenvectors(edges: DataFrame, k: int, rounds: int = 60, tolerance: float = 1e-7, more: int = 4) -> tuple[DataFrame, np.ndarray]:
+def eigenvectors(edges: DataFrame, k: int, rounds: int = 40, tolerance: float = 1e-7, more: int = 4) -> tuple[DataFrame, np.ndarray]:
     """((i, v array), eigenvalues): the k greatest eigenvectors of a symmetric edge table, by orthogonal subspace iteration with some ``more`` columns.
 
     A round is a join of edges with the vectors' rows and a sum by row; what reaches the driver are two matrices of k + more rows and columns, by
@@ -288,7 +288,12 @@ def eigenvectors(edges: DataFrame, k: int, rounds: int = 60, tolerance: float =
     n = k + more
     now = edges.select("i").distinct().select("i", F.array(*[F.xxhash64("i", lit(SEED + j)).cast("double") / float(1 << 63) for j in range(n)]).alias("v"))
     now, held, values = save(now, "vectors"), None, np.zeros(k)
-    mixed = lambda by, columns: F.array(*[sum((c("v")[a] * lit(float(by[a, b])) for a in range(n)), lit(0.0)) for b in range(columns)]).alias("v")
+
+    def mixed(by: np.ndarray, columns: int):
+        # An array of constants, so that rounds share their compiled code.
+        turned = F.array(*[F.array(*[lit(float(by[a, b])) for a in range(n)]) for b in range(columns)])
+        return F.transform(turned, lambda column: F.aggregate(F.zip_with(c("v"), column, lambda p, q: p * q), lit(0.0), lambda s, x: s + x)).alias("v")
+
     for t in range(rounds):
         far = edges.join(now.withColumnRenamed("i", "j"), "j").select("i", *[(c("w") * c("v")[a]).alias(f"v{a}") for a in range(n)])
         new = save(far.groupBy("i").agg(*[F.sum(f"v{a}").alias(f"v{a}") for a in range(n)]).select("i", F.array(*[f"v{a}" for a in range(n)]).alias("v")), "vectors")
@@ -311,8 +316,8 @@ def eigenvectors(edges: DataFrame, k: int, rounds: int = 60, tolerance: float =
     raise ValueError("no round was asked for")
 
 
-def spectral(points: DataFrame, k: int = 4, near: int = 10) -> tuple[DataFrame, np.ndarray]:
-    """((entity_id, cluster), eigenvalues) of (entity_id, features): k-means on the rows, scaled to length 1, of the k greatest eigenvectors of the normalised affinities of near neighbours.
+def spectral(points: DataFrame, k: int = 4, near: int = 10, rounds: int = 20) -> tuple[DataFrame, np.ndarray]:
+    """((entity_id, cluster), eigenvalues) of (entity_id, features): k-means on the rows, scaled to length 1, of the k greatest eigenvectors of the normalised affinities of near neighbours, after so many rounds at most.
 
     Rows without an id or vector are left out, an id counts once, and an empty table stays empty.
     """
@@ -323,7 +328,7 @@ def spectral(points: DataFrame, k: int = 4, near: int = 10) -> tuple[DataFrame,
     own = indexed(points)
     if not own.limit(1).count():
         return own.select("entity_id", lit(0).alias("cluster")), np.zeros(0)
-    rows, values = eigenvectors(affinities(own, near), k)
+    rows, values = eigenvectors(affinities(own, near), k, rounds)
     size = F.sqrt(F.aggregate("v", lit(0.0), lambda s, x: s + x * x))
     unit = rows.select("i", F.transform("v", lambda x: F.coalesce(x / F.nullif(size, lit(0.0)), lit(0.0))).alias("v"))
     vectors = save(unit.join(own.select("i", "entity_id"), "i").select("entity_id", array_to_vector("v").alias("v")), "rows")

@@ -171,7 +171,7 @@ def stability(vectors: DataFrame, k: int, draws: int = 100, share: float = 0.8)
     found = [validity.agreement(kmeans(drawn.where(c("draw") == i).drop("draw"), k, 1).join(whole, "entity_id"), "cluster", "whole").first() for i in range(draws)]
     free(whole, drawn)
     ari, nmi = (np.array([r[x] for r in found], dtype=float) for x in ("ari", "nmi"))
-    return {"ari_mean": ari.mean(), "ari_sd": ari.std(), "nmi_mean": nmi.mean(), "nmi_sd": nmi.std()}
+    return {"ari_mean": float(ari.mean()), "ari_sd": float(ari.std()), "nmi_mean": float(nmi.mean()), "nmi_sd": float(nmi.std())}
 
 
 def folds(df: DataFrame, label: str, k: int = 5) -> DataFrame:
@@ -231,9 +231,10 @@ def classify(df: DataFrame, columns: list[str], label: str, kind: str = "logisti
     found = binary_report(seen, label).first()
     free(seen)
     tn, fp, fn, tp = (found[x] for x in ("tn", "fp", "fn", "tp"))
+    known = [x for x in scores if x is not None]  # a fold of one class has no AUC
     n, ratio = tn + fp + fn + tp, lambda a, b: a / b if b else 0.0
     out = {
-        "cv_auc": float(np.mean(scores)), "cv_auc_sd": float(np.std(scores)), "cv_auc_scores": scores, "train_auc": found["auc"], "accuracy": ratio(tp + tn, n), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn),
+        "cv_auc": float(np.mean(known)) if known else None, "cv_auc_sd": float(np.std(known)) if known else None, "cv_auc_scores": scores, "train_auc": found["auc"], "accuracy": ratio(tp + tn, n), "precision": ratio(tp, tp + fp), "recall": ratio(tp, tp + fn),
         "f1": ratio(2 * tp, 2 * tp + fp + fn), "confusion": [[tn, fp], [fn, tp]], "weights": dict(zip(columns, weights.toArray().tolist(), strict=True)), "n": n, "n_events": fn + tp, "model": fit,
     }
     if kind == "logistic":
@@ -285,7 +286,7 @@ def permutation_importance(model, df: DataFrame, columns: list[str], label: str,
             two = Window.partitionBy("_s").orderBy(F.rand(SEED + 1000 + i))
             values = salted.select("_s", F.row_number().over(two).alias("_r"), c(x).alias("_x"))
             mixed = salted.withColumn("_r", F.row_number().over(one)).join(values, ["_s", "_r"]).drop(x, "_s", "_r").withColumnRenamed("_x", x)
-            losses.append(base - rate(mixed))
+            losses.append((base or 0.0) - (rate(mixed) or 0.0))
         out[x] = float(np.mean(losses))
     own.unpersist()
     return out

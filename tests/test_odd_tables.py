@@ -29,7 +29,7 @@ def same(spark, folder: str, name: str) -> None:
     assert plain(ours) == plain(theirs)
 
 
-@pytest.mark.parametrize("name", ["entity_join", "missing_ids", "id_overlap"])
+@pytest.mark.parametrize("name", ["entity_join", "cohort_attrition", "missing_ids", "id_overlap"])
 def test_events_that_cleaning_removes_are_recorded(spark, tmp_path, name):
     # Some durations of every entity, and all of a third of them, are 0.
     events = "SELECT * REPLACE (CASE WHEN user_id % 3 = 0 OR event_id % 5 = 0 THEN 0.0 ELSE value END AS value) FROM events"

@@ -4,7 +4,12 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 from test_queries import FOLDER, QUERIES, SQL, plain
+from tidewheel.operators import features as X
+from tidewheel.operators import importance as P
+from tidewheel.operators import series as T
+from tidewheel.operators import stats as H
 
 
 def folder_with(path, **changed: str) -> str:
@@ -34,3 +39,34 @@ def test_events_that_cleaning_removes_are_recorded(spark, tmp_path, name):
     # Some durations of every entity, and all of a third of them, are 0.
     events = "SELECT * REPLACE (CASE WHEN user_id % 3 = 0 OR event_id % 5 = 0 THEN 0.0 ELSE value END AS value) FROM events"
     same(spark, folder_with(tmp_path, events=events), name)
+
+
+def _three_out_of_order(spark):
+    """Durations of 0.1, 0.2 and 0.3 in that order of time, the first one last: their sums by time and by arrival differ in the last bit."""
+    rows = [(1, 2, 0.2, 0.2), (1, 3, 0.3, 0.3), (1, 1, 0.1, 0.1)]
+    return spark.createDataFrame(spark.sparkContext.parallelize(rows, 1), "entity_id int, seq int, days double, duration double").withColumn("start_ts", F.lit("2024-01-01").cast("timestamp_ntz"))
+
+
+def test_burdens_are_added_up_by_time(spark):
+    assert (0.1 + 0.2) + 0.3 != (0.2 + 0.3) + 0.1
+    assert [r["burden"] for r in T.unit_burden(_three_out_of_order(spark), "daily").collect()] == [0.1 + 0.2 + 0.3]
+
+
+def test_features_are_added_up_by_time(spark):
+    got = X.extract(_three_out_of_order(spark), ("burden", "trajectory")).first()
+    assert got["total_af_minutes"] == 0.1 + 0.2 + 0.3
+
+
+def test_scores_of_large_values_keep_their_digits(spark):
+    rows = [("abc"[i % 3], 1e9 + i % 3 + i % 5) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    far = df.withColumn("v", F.col("v") - 1e9)
+    want = P.f_scores(far, "g", ["v"]).first()["f_score"]
+    assert P.f_scores(df, "g", ["v"]).first()["f_score"] == pytest.approx(want, rel=1e-6)
+    assert H.anova(df, "v", "g").first()["statistic"] == pytest.approx(want, rel=1e-6)
+
+
+def test_groups_of_the_same_ranks_have_no_statistic(spark):
+    df = spark.range(200_006).select((F.col("id") % 2).cast("string").alias("g"), F.floor(F.col("id") / 2).cast("double").alias("v"))
+    assert P.kruskal_scores(df, "g", ["v"]).first()["h"] == 0
+    assert H.kruskal(df, "v", "g").first()["statistic"] == 0

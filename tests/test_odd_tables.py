@@ -3,13 +3,16 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_queries import FOLDER, QUERIES, SQL, plain
 from tidewheel.operators import features as X
 from tidewheel.operators import importance as P
+from tidewheel.operators import neighbours as N
 from tidewheel.operators import series as T
 from tidewheel.operators import stats as H
+from tidewheel.operators import validity as V
 
 
 def folder_with(path, **changed: str) -> str:
@@ -70,3 +73,23 @@ def test_groups_of_the_same_ranks_have_no_statistic(spark):
     df = spark.range(200_006).select((F.col("id") % 2).cast("string").alias("g"), F.floor(F.col("id") / 2).cast("double").alias("v"))
     assert P.kruskal_scores(df, "g", ["v"]).first()["h"] == 0
     assert H.kruskal(df, "v", "g").first()["statistic"] == 0
+
+
+def test_equal_points_are_one_row_with_a_weight(spark, monkeypatch):
+    for name, value in (("TILE", 4), ("BLOCK", 8)):
+        monkeypatch.setattr(N, name, value)
+    rng = np.random.default_rng(1)
+    x, k, w = rng.normal(size=(30, 3)), rng.integers(0, 3, 30), rng.integers(1, 6, 30)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(k[i]), int(w[i])) for i in range(30)], "i long, x array<double>, cluster int, weight long")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {(r["i"], r["to"]): (r["d"], r["n"]) for r in N.sums_by_cluster(df).collect()}
+    want = {(i, t): ((d[i] * w)[k == t].sum(), w[k == t].sum() - (k[i] == t)) for i in range(30) for t in range(3)}
+    assert set(got) == {key for key, (_, n) in want.items() if n > 0}
+    for key, (total, n) in got.items():
+        assert total == pytest.approx(want[key][0]) and n == want[key][1]
+    copies = df.select(F.explode(F.sequence(F.lit(1).cast("long"), "weight")).alias("copy"), (F.col("i") * 10 + F.col("copy")).alias("entity_id"), "cluster", F.col("x").alias("features"))
+    a = np.array([want[i, k[i]][0] / max(1, want[i, k[i]][1]) for i in range(30)])
+    b = np.array([min(want[i, t][0] / want[i, t][1] for t in range(3) if t != k[i]) for i in range(30)])
+    for r in V.silhouettes(copies).collect():
+        i = (r["entity_id"] - 1) // 10
+        assert r["silhouette"] == pytest.approx((b[i] - a[i]) / max(a[i], b[i]))

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 import random
+import uuid
 
 import numpy as np
 import pytest
@@ -224,3 +225,23 @@ def test_feature_table(spark):
     raw = spark.createDataFrame([(1, i, T0 + dt.timedelta(days=i), d, T0) for i, d in enumerate((5.0, -1.0, 20.0, 0.0))], "entity_id long, seq long, start_ts timestamp_ntz, duration double, anchor_ts timestamp_ntz")
     r = X.feature_table(raw, groups=("burden",)).first()
     assert r["total_af_minutes"] == 25 and r["follow_up_days"] == 2
+
+
+def once(spark, folder, n=60):
+    """A table of two groups of points whose tasks leave a file each time they run."""
+
+    def rows(parts):
+        for p in parts:
+            (folder / uuid.uuid4().hex).touch()
+            yield p.assign(x=(p["id"] % 2) * 50.0 + p["id"] % 7, y=p["id"] % 5 * 1.0).rename(columns={"id": "entity_id"})
+
+    return spark.range(n).coalesce(1).mapInPandas(rows, "entity_id long, x double, y double")
+
+
+def test_stability_reads_its_vectors_once(spark, tmp_path, monkeypatch):
+    drawn, fit = [], M.kmeans_fit
+    monkeypatch.setattr(M, "kmeans_fit", lambda v, k, tries=10: drawn.append(sorted(r[0] for r in v.select("entity_id").collect())) or fit(v, k, tries))
+    assert M.stability(M.assemble(once(spark, tmp_path), ["x", "y"]), 2, 2)["ari_mean"] == pytest.approx(1)
+    hashes = [{r[0]: r[1] for r in spark.range(60).select("id", F.xxhash64("id", F.lit(M.SEED + i))).collect()} for i in range(2)]
+    assert drawn[1:] == [sorted(sorted(h, key=h.get)[:48]) for h in hashes]
+    assert len(list(tmp_path.iterdir())) == 1

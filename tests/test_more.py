@@ -238,6 +238,13 @@ def once(spark, folder, n=60):
     return spark.range(n).coalesce(1).mapInPandas(rows, "entity_id long, x double, y double")
 
 
+def test_correlations_read_their_table_once(spark, tmp_path):
+    got = I.correlations(once(spark, tmp_path), ["x", "y"], 0.0).first()
+    x, y = [i % 2 * 50.0 + i % 7 for i in range(60)], [i % 5 * 1.0 for i in range(60)]
+    assert got["r"] == pytest.approx(np.corrcoef(x, y)[0, 1]) and got["n"] == 60
+    assert len(list(tmp_path.iterdir())) == 1
+
+
 def test_stability_reads_its_vectors_once(spark, tmp_path, monkeypatch):
     drawn, fit = [], M.kmeans_fit
     monkeypatch.setattr(M, "kmeans_fit", lambda v, k, tries=10: drawn.append(sorted(r[0] for r in v.select("entity_id").collect())) or fit(v, k, tries))

@@ -121,3 +121,28 @@ def test_dtw(spark):
 
     got = {(r["a"], r["b"]): r["distance"] for r in T.dtw_distances(df).collect()}
     assert got == pytest.approx({(i, j): dtw(x[i], x[j]) for i in range(6) for j in range(i + 1, 6)})
+
+
+def _runs(spark, rows):
+    """The table with a counter of how often its rows are made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(parts):
+        for p in parts:
+            made.add(len(p))
+            yield p
+
+    return rows.mapInPandas(counted, rows.schema), made
+
+
+def test_cox_makes_its_rows_once_and_concordance_only_if_asked(spark):
+    rows = spark.createDataFrame([(float(i % 7 + 1), int(i % 3 > 0), "ab"[i % 2], float(i * i % 11)) for i in range(80)], "time double, event int, g string, x double")
+    df, made = _runs(spark, rows)
+    whole = K.cox_by_group(rows, "g", ["x"])
+    found = K.cox_by_group(df, "g", ["x"], with_concordance=False)
+    assert made.value == 80 and found["concordance"] is None and 0 < whole["concordance"] < 1
+    assert found["coefficients"] == pytest.approx(whole["coefficients"])
+    df, made = _runs(spark, rows)
+    assert K.cox(df, ["x"])["concordance"] is not None and made.value == 80
+    df, made = _runs(spark, rows)
+    assert K.proportional_hazards(df, {"x": 0.1}).count() == 1 and made.value == 80

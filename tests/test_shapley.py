@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressor
+from tidewheel import studies
 from tidewheel.operators import models as M
 from tidewheel.operators import shapley as S
 
@@ -104,3 +105,21 @@ def test_scores_are_the_models_own(spark, kind):
     want = {r["entity_id"]: r["probability"][1] for r in fit.transform(data).collect()}
     got = {r["entity_id"]: r["score"] for r in M.scored(fit, data, ("entity_id",)).collect()}
     assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_forest_makes_its_rows_once(spark, monkeypatch):
+    made, entities = spark.sparkContext.accumulator(0), studies.entities
+
+    def counted(parts):
+        for p in parts:
+            made.add(len(p))
+            yield p
+
+    def watched(spark, sf_dir):
+        e = entities(spark, sf_dir)
+        return e.mapInPandas(counted, e.schema)
+
+    monkeypatch.setattr(studies, "entities", watched)
+    rows = studies.shapley_forest(spark, "/root/testdata/sf0.001").count()
+    n = entities(spark, "/root/testdata/sf0.001").count()
+    assert made.value == n and rows == 4 * n

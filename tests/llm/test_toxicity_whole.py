@@ -35,3 +35,29 @@ def test_cuts_against_the_plain_form(spark):
         own = (lang == x) | (x == -1)
         assert got[x] == (pytest.approx(toxicity.Model._best(logit[own], toxic[own], 9.0)), toxic[own].sum(), own.sum())
     assert got[2][1] == 0
+
+
+def test_the_driver_gets_averages_in_single_precision(spark, monkeypatch):
+    """Two rounds bring the model once with its sums of squares and once without, four bytes a number, and words by language."""
+    got = []
+    collect = type(spark.range(1)).collect
+    monkeypatch.setattr(type(spark.range(1)), "collect", lambda self: [got.append(sum(len(x) for x in r if isinstance(x, bytes | bytearray))) or r for r in collect(self)])
+    monkeypatch.setattr(toxicity, "PART_ROWS", 100)
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("word "), F.col("id") % 7).alias("text"), F.lit("en").alias("lang"))
+    assert toxicity.fit(docs, docs.select("doc_id", (F.col("doc_id") % 7 == 0).cast("int").alias("toxic"))) is not None
+    rows, languages, rest = 1 << toxicity.BITS, 2 * 8 << 15, 1 << 16
+    assert 0 < sum(got) <= 4 * rows * (3 * toxicity.DIM + 2) + languages + rest
+
+
+def test_averages_of_parts():
+    """A row counts the parts that have met it; what none has met stays."""
+    cnn = toxicity.Cnn(np.random.default_rng(1))
+    before, size, width = cnn.table.copy(), (1 << toxicity.BITS) // toxicity.BLOCKS, toxicity.DIM + 1
+    total = np.zeros((toxicity.BLOCKS, size, width))
+    total[1, 5] = [3.0] * toxicity.DIM + [2]
+    rest = np.concatenate([x.ravel() for x in cnn.rest()]).astype(float)
+    found = {f"table {k}": x.ravel() for k, x in enumerate(total)} | {"rest": np.append(rest * 3, 3)}
+    toxicity._averaged(cnn, {n: np.frombuffer(toxicity._mean(n, x, width).tobytes(), dtype="<f4") for n, x in found.items()})
+    before[size + 5] = 1.5
+    assert np.array_equal(cnn.table, before)
+    assert np.allclose(np.concatenate([x.ravel() for x in cnn.rest()]), rest)

@@ -72,7 +72,8 @@ class Cnn:
     """Hashed embeddings, filters of several widths, max pooling, a logistic layer."""
 
     def __init__(self, rng: np.random.Generator):
-        self.table = np.vstack([rng.normal(0, 0.1, (1 << BITS, DIM)), np.zeros((1, DIM))]).astype(np.float32)
+        self.table = np.zeros(((1 << BITS) + 1, DIM), dtype=np.float32)
+        self.table[:-1] = rng.normal(0, 0.1, (1 << BITS, DIM))
         self.filters = [rng.normal(0, 0.3, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
         self.bias = np.zeros((len(WIDTHS), FILTERS), dtype=np.float32)
         self.out = rng.normal(0, 0.1, len(WIDTHS) * FILTERS).astype(np.float32)
@@ -223,7 +224,10 @@ TRAINED = "part long, name string, found binary"
 
 
 def _train_part(start) -> Callable:
-    """What a part teaches, by name: sums of embedding rows that it has met, with a count of 1 for each, of the other weights, and words by language."""
+    """What a part teaches, by name: embedding rows that it has met, with a count of 1 for each, the other weights, and words by language.
+
+    The embeddings' sums of squares go along from the first part only, as nothing is trained after the others.
+    """
 
     def train_part(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = pa.Table.from_batches(list(batches)).sort_by("key")
@@ -243,7 +247,8 @@ def _train_part(start) -> Callable:
         found = {}
         if len(train):
             met = np.ones(1 << BITS) if first else (cnn.squares["table"][:-1] != before[:-1]).any(axis=1)
-            sums = np.column_stack([cnn.table[:-1] * met[:, None], cnn.squares["table"][:-1] * met[:, None], met])
+            learned = [cnn.table[:-1], cnn.squares["table"][:-1]] if first else [cnn.table[:-1]]
+            sums = np.column_stack([*[x * met[:, None] for x in learned], met])
             found = {f"table {k}": x for k, x in enumerate(np.split(sums, BLOCKS))} | {"rest": np.append(np.concatenate([x.ravel() for x in cnn.rest()]), 1)}
         for x in sorted({x for x in lang if x is not None}):
             words = [(h[0] >> np.uint64(49)).astype(np.int64) for h, own in zip(docs, lang, strict=True) if own == x]
@@ -254,37 +259,52 @@ def _train_part(start) -> Callable:
     return train_part
 
 
-def _added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for batch in batches:
-        for x in batch.column("found"):
-            own = np.frombuffer(x.as_py(), dtype="<f8")
-            total = own if total is None else total + own
-    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([key[1].as_py()], pa.string()), pa.array([total.tobytes()], pa.binary())], ["part", "name", "found"])
+def _mean(name: str, total: np.ndarray, width: int) -> np.ndarray:
+    """What the driver gets of a sum over all parts: averages in single precision, with a 1 after each embedding row that was met; of a language its counts."""
+    if name.startswith("lang "):
+        return total
+    rows = total.reshape(-1, width if name.startswith("table ") else len(total))
+    return np.column_stack([rows[:, :-1] / np.maximum(rows[:, -1:], 1), rows[:, -1:] > 0]).astype("<f4")
+
+
+def _added(width: int, last: bool) -> Callable:
+    def added(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, name = None, key[1].as_py()
+        for batch in batches:
+            for x in batch.column("found"):
+                own = np.frombuffer(x.as_py(), dtype="<f8")
+                total = own if total is None else total + own
+        found = _mean(name, total, width) if last else total
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([name]), pa.array([found.tobytes()], pa.binary())], ["part", "name", "found"])
+
+    return added
 
 
 def _taught(rows: DataFrame, parts: int, start: Cnn | None) -> dict[str, np.ndarray]:
-    """The sums over the parts of ``rows``: a row for each block of the model and each language."""
+    """The averages over the parts of ``rows``: a row for each block of the model, and counts for each language."""
     shared = rows.sparkSession.sparkContext.broadcast(start)
-    tasks = 1 if parts == 1 else 3 * parts  # with more tasks than parts few have two
+    tasks, width = 1 if parts == 1 else 3 * parts, (2 * DIM if start is None else DIM) + 1  # with more tasks than parts few have two
     found = rows.repartition(tasks, "part").groupBy("part").applyInArrow(_train_part(shared), TRAINED)
-    for groups in (max(1, math.isqrt(parts)), 1):  # no task adds up more than the root of the number of parts
-        found = found.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part", "name").applyInArrow(_added, TRAINED)
-    sums = {r["name"]: np.frombuffer(r["found"], dtype="<f8") for r in found.collect()}
+    # No task adds up more than the root of the number of parts.
+    for groups, last in ((max(1, math.isqrt(parts)), False), (1, True)):
+        found = found.withColumn("part", F.pmod("part", F.lit(groups))).groupBy("part", "name").applyInArrow(_added(width, last), TRAINED)
+    means = {r["name"]: np.frombuffer(r["found"], dtype="<f8" if r["name"].startswith("lang ") else "<f4") for r in found.collect()}
     shared.destroy()
-    return sums
+    return means
 
 
-def _averaged(cnn: Cnn, sums: dict[str, np.ndarray]) -> Cnn:
-    """``cnn`` with the averages of what parts have learned; rows of the embeddings that none has met stay."""
-    if "rest" not in sums:
+def _averaged(cnn: Cnn, means: dict[str, np.ndarray]) -> Cnn:
+    """``cnn`` with the averages of what parts have learned, which are taken out of ``means``; rows of the embeddings that none has met stay."""
+    if "rest" not in means:
         return cnn
-    table = np.concatenate([sums[f"table {k}"].reshape(-1, 2 * DIM + 1) for k in range(BLOCKS)])
-    met = np.flatnonzero(table[:, -1])
-    mean = (table[met, :-1] / table[met, -1:]).astype(np.float32)
-    cnn.table[met] = mean[:, :DIM]
-    cnn.squares.setdefault("table", np.full_like(cnn.table, 1e-6))[met] = mean[:, DIM:]
-    cnn.set_rest((sums["rest"][:-1] / sums["rest"][-1]).astype(np.float32))
+    size = (1 << BITS) // BLOCKS
+    for k in range(BLOCKS):
+        table = means.pop(f"table {k}").reshape(size, -1)
+        met = np.flatnonzero(table[:, -1])
+        cnn.table[k * size + met] = table[met, :DIM]
+        if table.shape[1] > DIM + 1:
+            cnn.squares.setdefault("table", np.full_like(cnn.table, 1e-6))[k * size + met] = table[met, DIM:-1]
+    cnn.set_rest(means.pop("rest")[:-1])
     return cnn
 
 
@@ -326,8 +346,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         return None
     parts = max(1, math.ceil(size["n"] / PART_ROWS), math.ceil((size["bytes"] or 0) / PART_BYTES))
     dealt = rows.withColumn("part", F.pmod("key", F.lit(parts)))
-    sums = _taught(dealt.where("part = 0"), 1, None)
-    cnn, counts = _averaged(Cnn(np.random.default_rng(SEED)), sums), [sums]
+    # Once the averages are in the model only the counts of languages are held.
+    counts = [_taught(dealt.where("part = 0"), 1, None)]
+    cnn = _averaged(Cnn(np.random.default_rng(SEED)), counts[0])
     if parts > 1:
         counts.append(_taught(dealt.where("part > 0"), parts, cnn))
         cnn = _averaged(cnn, counts[1])
